@@ -39,8 +39,8 @@ def fixed_text(x: Column, digits: int) -> Column:
 
 def settle(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column, so that summation order no longer shows."""
-    return df.select(*[
-        round_half_up(F.col(f.name), digits).alias(f.name)
-        if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+    return df.selectExpr(*[
+        f"floor(`{f.name}` * 1e{digits} + 0.5e0) / 1e{digits} as `{f.name}`"
+        if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`"
         for f in df.schema.fields
     ])

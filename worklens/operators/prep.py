@@ -30,17 +30,17 @@ def group_key(df: DataFrame, preferred: str = "Assignee", fallback: str = "Assig
 
 def fill_missing(df: DataFrame) -> DataFrame:
     """Null -> 0, and '0' in string columns."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
+    def filled(f: T.StructField) -> str:
+        name, kind = f"`{f.name}`", f.dataType.simpleString()
         if isinstance(f.dataType, T.StringType):
-            c = F.coalesce(c, F.lit("0"))
-        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            c = F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)).cast(f.dataType)
-        elif isinstance(f.dataType, T.NumericType):
-            c = F.coalesce(c, F.lit(0)).cast(f.dataType)
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            return f"coalesce({name}, '0') as {name}"
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            return f"coalesce(nanvl({name}, cast(0 as {kind})), cast(0 as {kind})) as {name}"
+        if isinstance(f.dataType, T.NumericType):
+            return f"coalesce({name}, cast(0 as {kind})) as {name}"
+        return name
+
+    return df.selectExpr(*[filled(f) for f in df.schema.fields])
 
 
 def binarize_labels(df: DataFrame, thresholds: Mapping[str, float] = LABEL_THRESHOLDS) -> DataFrame:
@@ -48,17 +48,15 @@ def binarize_labels(df: DataFrame, thresholds: Mapping[str, float] = LABEL_THRES
 
     The branch follows the column type; columns that are absent are skipped.
     """
-    def flag(field: T.StructField) -> Column:
-        c = F.col(field.name)
-        if field.name not in thresholds:
-            return c
-        if isinstance(field.dataType, T.StringType):
-            hit = c == "Yes"
-        else:
-            hit = c > F.lit(float(thresholds[field.name]))
-        return F.when(hit, 1).otherwise(0).cast("int").alias(field.name)
-
-    return df.select(*[flag(f) for f in df.schema.fields])
+    def flag(f: T.StructField) -> str:
+        name = f"`{f.name}`"
+        if f.name not in thresholds:
+            return name
+        hit = (f"{name} = 'Yes'" if isinstance(f.dataType, T.StringType)
+               else f"{name} > cast({thresholds[f.name]} as double)")
+        return f"if({hit}, 1, 0) as {name}"
+
+    return df.selectExpr(*[flag(f) for f in df.schema.fields])
 
 
 def prepare(df: DataFrame) -> DataFrame:

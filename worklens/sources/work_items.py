@@ -7,7 +7,7 @@ instead of three, and splits customers that hold too many rows for one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 WORK_ITEMS_SQL = """
 with li as (
@@ -93,18 +93,6 @@ from x
 HOT_ROWS = 1_000_000
 LOOKBACK = 3
 
-# fixed values: category names by code
-PEOPLE = ("Alice", "Bob", "Carol", "David", "Eve", "Frank", "Grace", "Henry")
-SUMMARIES = ("Fix login bug", "Add search", "Refactor API", "Update DB", "Deploy CI")
-TAGS = ("feature", "bug", "tech-debt", "regression", "hotfix")
-POINTS = (1, 2, 3, 5, 8)
-TYPE_BY_DIGIT = ("Bug",) * 3 + ("Story",) * 3 + ("Task",) * 2 + ("Epic", "Sub-task")
-
-
-def _pick(values: tuple, code: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), code.cast("int") + 1)
-
-
 def _hot_customers(orders: DataFrame, hot_rows: int) -> DataFrame | None:
     hot = (orders.groupBy("o_custkey").count().where(F.col("count") > hot_rows)
            .select("o_custkey", F.lit(True).alias("is_hot")))
@@ -154,82 +142,68 @@ def with_history(df: DataFrame, hot: DataFrame | None) -> DataFrame:
 def work_items(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
-    qty = F.col("l_quantity")
-    flag = F.col("l_returnflag")
     lines = (
         spark.read.parquet(f"{sf_dir}/lineitem.parquet")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(
-            F.sum(qty).alias("planned"),
-            F.sum(F.when(F.col("l_linestatus") == "F", qty).otherwise(0.0)).alias("completed"),
-            F.sum(F.when(flag == "R", 1).otherwise(0)).cast("double").alias("blocked"),
-            F.sum(F.when(flag == "A", 1).when(flag == "N", -1).otherwise(0)).cast("double").alias("scope_chg"),
-            F.count(F.lit(1)).cast("int").alias("n_lines"),
-        ))
+        .agg(*map(F.expr, (
+            "sum(l_quantity) as planned",
+            "sum(case when l_linestatus = 'F' then l_quantity else 0e0 end) as completed",
+            "cast(sum(if(l_returnflag = 'R', 1, 0)) as double) as blocked",
+            "cast(sum(case l_returnflag when 'A' then 1 when 'N' then -1 else 0 end) as double) as scope_chg",
+            "cast(count(*) as int) as n_lines",
+        ))))
     joined = (
         orders.join(lines, "o_orderkey", "left")
-        .withColumn("wl", (F.lit(60) + F.floor("o_totalprice") % 101).cast("double"))
-        .withColumns({"planned0": F.coalesce("planned", F.lit(0.0)),
-                      "over": (F.col("wl") > 110).cast("int")}))
+        .selectExpr("*", "cast(60 + floor(o_totalprice) % 101 as double) as wl", "coalesce(planned, 0e0) as planned0")
+        .selectExpr("*", "cast(wl > 110 as int) as over"))
     seen = with_history(joined, _hot_customers(orders, hot_rows))
-
-    prev = [F.col("prev")[k] for k in range(LOOKBACK)]
-    known = sum((p.isNotNull().cast("int") for p in prev[1:]), prev[0].isNotNull().cast("int"))
-    total = sum((F.coalesce(p["planned"], F.lit(0.0)) for p in prev[1:]),
-                F.coalesce(prev[0]["planned"], F.lit(0.0)))
-    run = [F.coalesce(p["over"], F.lit(0)) for p in prev]
-    streak = F.col("over") * (1 + run[0] * (1 + run[1] * (1 + run[2])))
-    cust, key = F.col("o_custkey"), F.col("o_orderkey")
-
-    base = seen.select(
+    return seen.selectExpr(
         "*",
-        F.when(known > 0, total / known).otherwise(F.lit(0.0)).alias("velocity"),
-        streak.cast("int").alias("consec"),
-        (F.lit(13) - (F.dayofmonth("o_orderdate") - 1) % 14).cast("double").alias("days_rem"),
-        (F.col("planned0") % 40).alias("est"),
-        _pick(POINTS, F.coalesce("n_lines", F.lit(0)) % 5).cast("int").alias("sp"),
-        _pick(PEOPLE, cust % 8).alias("who"),
-    )
-    c = F.col
-    text_key = key.cast("string")
-    success = (c("planned") > 0) & (c("completed") * 100 > c("planned") * 60) & (c("blocked") < 3) & (c("days_rem") > 1)
-    return base.select(
-        key.alias("row_id"),
-        F.concat(F.lit("SP"), text_key).alias("Sprint_ID"),
-        ((F.year("o_orderdate") - 1995) * 3 + F.floor((F.month("o_orderdate") - 1) / 4.0) + 1)
-        .cast("int").alias("Sprint_Number"),
-        c("planned").alias("Planned_Story_Points_Sprint"),
-        c("completed").alias("Completed_Story_Points"),
-        F.when(c("planned") > 0, c("completed") / c("planned") * 100).alias("Percent_Done"),
-        c("days_rem").alias("Days_Remaining_Sprint"),
-        c("velocity").alias("Historical_Velocity"),
-        c("blocked").alias("Blocked_Stories"),
-        c("scope_chg").alias("Scope_Change"),
-        F.when(success, "Yes").otherwise("No").alias("Success_Label"),
-        c("who").alias("Assignee"),
-        (c("planned") * 0.8).alias("Planned_Story_Points_Resource"),
-        (c("planned") * (F.lit(0.7) + (cust % 7).cast("double") / 10.0)).alias("Current_Assigned_SP"),
-        (c("velocity") * 0.9).alias("Historical_Avg_SP"),
-        c("days_rem").alias("Remaining_Days_Resource"),
-        (key % 5).cast("double").alias("High_Priority_Tasks_Resource"),
-        c("wl").alias("Current_Workload_Percent"),
-        ((c("wl") - 60) / 100.0).alias("Expected_Overload"),
-        F.concat(F.lit("ISS"), text_key).alias("Issue_ID"),
-        _pick(TYPE_BY_DIGIT, (key * 3 + cust) % 10).alias("Issue_Type"),
-        F.when(c("o_orderpriority").isin("1-URGENT", "2-HIGH"), "High")
-        .when(c("o_orderpriority") == "3-MEDIUM", "Medium").otherwise("Low").alias("Priority"),
-        c("est").alias("Original_Estimate_Hours"),
-        c("sp").alias("Story_Points_Issue"),
-        (c("est") * (F.lit(0.5) + (cust % 14).cast("double") / 10.0)).alias("Resolution_Time_Hours"),
-        c("planned").alias("Total_SP_This_Sprint"),
-        (c("velocity") * 0.85).alias("Historical_Avg_SP_Burnout"),
-        ((key + cust) % 5).cast("double").alias("High_Priority_Tasks_Burnout"),
-        c("consec").alias("Consecutive_Overloads"),
-        F.when((c("consec") >= 2) | (c("wl") > 130), 1.0).otherwise(0.0).alias("Risk_Flag"),
-        _pick(SUMMARIES, (key * 7 + cust) % 5).alias("Summary"),
-        _pick(TAGS, (key + cust * 3) % 5).alias("Labels"),
-        c("est").alias("Original_Estimate_Resource"),
-        c("sp").alias("Story_Points_Resource"),
-        c("who").alias("Assignee_Resource"),
-        cust.alias("Resource_ID"),
+        "coalesce(try_divide(coalesce(prev[0].planned, 0e0) + coalesce(prev[1].planned, 0e0) + coalesce(prev[2].planned, 0e0),"
+        " size(filter(prev, p -> p is not null))), 0e0) as velocity",
+        "cast(over * (1 + coalesce(prev[0].over, 0) * (1 + coalesce(prev[1].over, 0) * (1 + coalesce(prev[2].over, 0))))"
+        " as int) as consec",
+        "cast(13 - (day(o_orderdate) - 1) % 14 as double) as days_rem",
+        "planned0 % 40 as est",
+        "cast(array(1, 2, 3, 5, 8)[coalesce(n_lines, 0) % 5] as int) as sp",
+        "array('Alice', 'Bob', 'Carol', 'David', 'Eve', 'Frank', 'Grace', 'Henry')[o_custkey % 8] as who",
+    ).selectExpr(
+        "o_orderkey as row_id",
+        "concat('SP', o_orderkey) as Sprint_ID",
+        "cast((year(o_orderdate) - 1995) * 3 + floor((month(o_orderdate) - 1) / 4e0) + 1 as int) as Sprint_Number",
+        "planned as Planned_Story_Points_Sprint",
+        "completed as Completed_Story_Points",
+        "case when planned > 0 then completed / planned * 100 end as Percent_Done",
+        "days_rem as Days_Remaining_Sprint",
+        "velocity as Historical_Velocity",
+        "blocked as Blocked_Stories",
+        "scope_chg as Scope_Change",
+        "if(planned > 0 and completed * 100 > planned * 60 and blocked < 3 and days_rem > 1, 'Yes', 'No') as Success_Label",
+        "who as Assignee",
+        "planned * 0.8e0 as Planned_Story_Points_Resource",
+        "planned * (0.7e0 + cast(o_custkey % 7 as double) / 1e1) as Current_Assigned_SP",
+        "velocity * 0.9e0 as Historical_Avg_SP",
+        "days_rem as Remaining_Days_Resource",
+        "cast(o_orderkey % 5 as double) as High_Priority_Tasks_Resource",
+        "wl as Current_Workload_Percent",
+        "(wl - 60) / 1e2 as Expected_Overload",
+        "concat('ISS', o_orderkey) as Issue_ID",
+        "array('Bug', 'Bug', 'Bug', 'Story', 'Story', 'Story', 'Task', 'Task', 'Epic', 'Sub-task')"
+        "[(o_orderkey * 3 + o_custkey) % 10] as Issue_Type",
+        "case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'High' when o_orderpriority = '3-MEDIUM' then 'Medium'"
+        " else 'Low' end as Priority",
+        "est as Original_Estimate_Hours",
+        "sp as Story_Points_Issue",
+        "est * (0.5e0 + cast(o_custkey % 14 as double) / 1e1) as Resolution_Time_Hours",
+        "planned as Total_SP_This_Sprint",
+        "velocity * 0.85e0 as Historical_Avg_SP_Burnout",
+        "cast((o_orderkey + o_custkey) % 5 as double) as High_Priority_Tasks_Burnout",
+        "consec as Consecutive_Overloads",
+        "if(consec >= 2 or wl > 130, 1e0, 0e0) as Risk_Flag",
+        "array('Fix login bug', 'Add search', 'Refactor API', 'Update DB', 'Deploy CI')[(o_orderkey * 7 + o_custkey) % 5] as Summary",
+        "array('feature', 'bug', 'tech-debt', 'regression', 'hotfix')[(o_orderkey + o_custkey * 3) % 5] as Labels",
+        "est as Original_Estimate_Resource",
+        "sp as Story_Points_Resource",
+        "who as Assignee_Resource",
+        "o_custkey as Resource_ID",
     )
