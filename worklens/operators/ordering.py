@@ -19,12 +19,12 @@ SPLITS = 64
 def _with_bucket(df: DataFrame, keys: Sequence[str], value: str, splits: int) -> DataFrame:
     """Adds ``_bucket``, non-decreasing in ``value`` within a key."""
     cuts = F.percentile_approx(value, F.array(*[F.lit(i / splits) for i in range(1, splits)]), 1000)
-    place = lambda edges: F.size(F.filter(edges, lambda e: e <= F.col(value)))
-    if not keys:
-        edges = df.agg(cuts.alias("edges")).scalar()
-        return df.withColumn("_bucket", place(edges))
-    edges = df.groupBy(*keys).agg(cuts.alias("_edges"))
-    return (df.join(edges, list(keys)).withColumn("_bucket", place(F.col("_edges"))).drop("_edges"))
+    place = F.size(F.filter("_edges", lambda e: e <= F.col(value)))
+    if keys:
+        with_edges = df.join(df.groupBy(*keys).agg(cuts.alias("_edges")), list(keys))
+    else:
+        with_edges = df.withColumn("_edges", df.agg(cuts.alias("_edges")).scalar())
+    return with_edges.withColumn("_bucket", place).drop("_edges")
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column | str],

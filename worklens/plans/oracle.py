@@ -6,8 +6,12 @@ by floor to six decimals, the form both engines evaluate alike.
 
 from __future__ import annotations
 
+import math
+
 from worklens import columns as C
+from worklens.functions import noise as N
 from worklens.operators import risk_scan as S
+from worklens.operators import whatif as W
 from worklens.sources.work_items import WORK_ITEMS_SQL
 
 _KIND = {"string": "s", "double": "d", "int": "i", "bigint": "l"}
@@ -373,5 +377,196 @@ def flat_sql() -> dict[str, str]:
     }
 
 
+# -- what-if -----------------------------------------------------------------
+
+_BASE = {PL: "pl", CO: "co", "Percent_Done": "pc", DA: "da", VE: "ve", BL: "bl", SC: "sc"}
+SHORT = (f"s as (select row_id, Sprint_Number, {PL} as pl, {CO} as co, Percent_Done as pc, {DA} as da, {VE} as ve, "
+         f"{BL} as bl, {SC} as sc, {WL} as wl, {CN} as cn from p)")
+
+
+def score(**change: str) -> str:
+    x = {k: k for k in ("pl", "co", "pc", "da", "ve", "bl", "sc", "wl", "cn")} | change
+    feats = core_features(x)
+    z = f"{W.RULE_INTERCEPT}e0" + "".join(
+        f" + {w}e0 * ({x[_BASE[n]] if n in _BASE else feats[n]})" for n, w in W.RULE_COEFFICIENTS.items())
+    return f"(1e0 / (1e0 + exp(-({z}))))"
+
+
+def simulated(n: int, seed: int = 42) -> list[str]:
+    """Noisy inputs per (row, draw), mixed step by step in CTEs, then scored."""
+    h0 = ", ".join(f"((row_id % {N.PRIME}) * {N.ROW_STEP} + i * {N.DRAW_STEP} + {d * N.DIM_STEP + seed}) % {N.PRIME} as h{d}"
+                   for d in range(8))
+    ctes = [SHORT, f"m0 as (select s.*, {h0} from s, (select unnest(range(1, {n + 1})) as i))"]
+    base = "row_id, pl, co, pc, da, ve, bl, sc, wl, cn"
+    for step, (shift, mult) in enumerate(zip(N.SHIFTS, N.MIX), 1):
+        ctes.append(f"m{step} as (select {base}, " + ", ".join(
+            f"(xor(h{d}, h{d} >> {shift}) * {mult}) % {N.PRIME} as h{d}" for d in range(8)) + f" from m{step - 1})")
+    u = lambda d: f"((cast(h{d} as double) + 1e0) / {N.PRIME + 1}e0)"
+    zs = []
+    for pair in range(4):
+        radius = f"sqrt(-2e0 * ln({u(2 * pair)}))"
+        angle = f"{2.0 * math.pi!r}e0 * {u(2 * pair + 1)}"
+        zs += [f"{radius} * cos({angle})", f"{radius} * sin({angle})"]
+    ctes.append(f"zz as (select {base}, " + ", ".join(f"{e} as z{j}" for j, e in enumerate(zs[:7])) + " from m3)")
+    ctes.append(
+        "nn as (select row_id, pl + z0 * (pl * 0.05e0) as pl, co + z1 * (co * 0.05e0 + 0.5e0) as co, "
+        f"{clip('pc + z2 * 3e0', '0e0', '1e2')} as pc, da + z3 * 0.5e0 as da, ve + z4 * (ve * 0.05e0) as ve, "
+        "greatest(0e0, bl + z5 * 0.3e0) as bl, sc + z6 as sc, wl, cn from zz)")
+    ctes.append(f"sim as (select row_id, {score()} as p from nn)")
+    return ctes
+
+
+def monte_carlo(n: int) -> str:
+    q = lambda v: f"quantile_cont(p, {v})"
+    return on(
+        f"select row_id, {r(f'count(case when p >= 0.5e0 then 1 end) / {n}e0')} as success_rate, "
+        + ", ".join(f"{r(q(v / 100))} as p{v}" for v in (5, 25, 50, 75, 95))
+        + f", {r(q(0.95) + ' - ' + q(0.05))} as uncertainty from sim group by row_id", *simulated(n))
+
+
+def monte_carlo_histogram(n: int) -> str:
+    return on("select cast(b as int) as bin, " + r("b / 2e1") + " as bin_start, coalesce(records, 0) as records from range(20) g(b) "
+              "left join (select least(cast(floor(p * 2e1) as int), 19) as k, count(*) as records from sim group by 1) on k = b",
+              *simulated(n))
+
+
+def optimal_path() -> str:
+    planned = "greatest(co + 1e0, pl - n)"
+    tries = " union all ".join([
+        f"select row_id, 1 as kind, 'unblock stories' as action, cast(n as double) as cost, {score(bl='greatest(0e0, bl - n)')} as p "
+        "from (select *, unnest(range(1, cast(floor(bl) as bigint) + 2)) as n from lo)",
+        f"select row_id, 2, 'descope sprint', cast(n as double), {score(pl=planned, pc=f'least(1e2, co / {planned} * 1e2)')} "
+        "from (select *, unnest(range(1, cast(floor(pl - co) as bigint) + 1, 2)) as n from lo)",
+        f"select row_id, 3, 'extend sprint', cast(n as double), {score(da='(da + n)')} from (select *, unnest(range(1, 11)) as n from lo)",
+        f"select row_id, 4, 'freeze scope', sc, {score(sc='0e0')} from lo where sc > 0"])
+    return on(
+        f"select row_id, {r('now_p')} as current_p, coalesce(choice, 1) as choice, "
+        "coalesce(action, case when now_p >= 0.8e0 then 'none needed' else 'combine actions' end) as action, "
+        f"{r('cost')} as cost, {r('p')} as new_p, {r('p - now_p')} as gain from sc0 left join "
+        "(select row_id as rid, cast(row_number() over (partition by row_id order by cost, kind) as int) as choice, action, cost, p "
+        "from hits) on rid = row_id",
+        SHORT, f"sc0 as (select *, {score()} as now_p from s)", "lo as (select * from sc0 where now_p < 0.8e0)",
+        f"hits as (select * from (select *, row_number() over (partition by row_id, kind order by cost) as o from ({tries}) where p >= 0.8e0) where o = 1)")
+
+
+def trajectory() -> str:
+    done = "least(pl, co + ve * 0.8e0)"
+    pct_ = f"case when pl > 0 then least(1e2, {done} / pl * 1e2) else pc end"
+    steps = " union all ".join(
+        f"select row_id, now_p, {i} as step, least(1e1, bl + {0.3 * i!r}e0) as b, sc + {0.5 * i!r}e0 as c, "
+        + clip(score(co=done, pc=pct_, bl=f"least(1e1, bl + {0.3 * i!r}e0)", sc=f"(sc + {0.5 * i!r}e0)") + f" + slope * {i}", "0.05e0", "0.98e0")
+        + " as p from sc0, sl" for i in (1, 2, 3))
+    return on(
+        f"select row_id, step, {r('now_p')} as current_p, {r('b')} as projected_blocked, {r('c')} as projected_scope, {r('p')} as p, "
+        "case when p >= 0.5e0 then 'on track' else 'at risk' end as outlook, "
+        "case when max(case when step = 3 then p end) over (partition by row_id) >= now_p then 'improving' else 'declining' end as overall from t",
+        SHORT, f"sc0 as (select *, {score()} as now_p from s)",
+        "sl as (select (arg_max(m, k) - arg_min(m, k)) / greatest(count(*) - 1, 1) as slope from "
+        "(select Sprint_Number as k, avg(now_p) as m from sc0 group by 1 order by 1 desc limit 5))",
+        f"t as ({steps})")
+
+
+def risk_factors() -> str:
+    parts = " union all ".join(
+        f"select row_id, {_q(n.replace('_', ' '))} as feature, {i} as i, {n} * {W.RULE_COEFFICIENTS[n]}e0 as impact from p"
+        for i, n in enumerate(C.BASE_SPRINT))
+    return on(f"select row_id, cast(row_number() over (partition by row_id order by impact, i) as int) as position, feature, {r('impact')} as impact, "
+              "case when impact > 0 then 'Helping' else 'Hurting' end as direction, "
+              f"{r('least(abs(impact) / (max(abs(impact)) over (partition by row_id) + 1e-9) * 1e2, 1e2)')} as bar_pct from rf", f"rf as ({parts})")
+
+
+# -- encoders, metrics, neighbours ---------------------------------------------
+
+def zscores(cols, keep: str, source: str, fit: str) -> list[str]:
+    stats = "zst as (select " + ", ".join(
+        f"avg({c}) as m{j}, case when stddev_pop({c}) = 0 then 1e0 else stddev_pop({c}) end as s{j}" for j, c in enumerate(cols)) + f" from {fit})"
+    rows = lambda name, src: f"{name} as (select {keep}, " + ", ".join(
+        f"({c} - m{j}) / s{j} as f{j}" for j, c in enumerate(cols)) + f" from {src}, zst)"
+    return [stats, rows("z", source), rows("zf", fit)]
+
+
+def nearest(width: int, k: int, tag: str, where: str) -> str:
+    d2 = " + ".join(f"(a.f{j} - b.f{j}) * (a.f{j} - b.f{j})" for j in range(width))
+    return (f"nb as (select query_id, unnest(l) as e from (select a.row_id as query_id, "
+            f"min({{'d': floor(sqrt({d2}) * 1e6 + 0.5e0), 'n': b.row_id, 'tag': b.{tag}}}, {k}) as l "
+            f"from z a, zf b where {where} group by a.row_id))")
+
+
+def similar() -> list[str]:
+    return [*zscores(C.BASE_SPRINT, "row_id, Success_Label", "p", "p"), nearest(7, 5, "Success_Label", "a.row_id <> b.row_id")]
+
+
+CODED = ("enc as (select *, (select count(*) from (select distinct Summary as v from p) where v < p.Summary) as Summary_enc, "
+         "(select count(*) from (select distinct Labels as v from p) where v < p.Labels) as Labels_enc from p)")
+PART = "('0x' || substr(md5(cast(row_id as varchar)), 1, 8))::bigint % 5"
+
+
+def classify() -> str:
+    return on(
+        "select query_id, tag as predicted from (select query_id, tag, row_number() over (partition by query_id "
+        "order by floor(w * 1e6 + 0.5e0) desc, tag) as o from votes) where o = 1",
+        CODED, f"tr as (select * from enc where {PART} <> 0)", f"te as (select * from enc where {PART} = 0)",
+        *zscores(C.ALLOC, "row_id, Assignee_Resource", "te", "tr"), nearest(4, 5, "Assignee_Resource", "true"),
+        "nz as (select query_id, e.d / 1e6 as d, e.tag as tag, min(e.d) over (partition by query_id) as d0 from nb)",
+        "votes as (select query_id, tag, sum(case when d0 = 0 then 1e0 else 1e0 / d end) as w from nz where d0 > 0 or d = 0 group by query_id, tag)")
+
+
+RULE = ("rp as (select Success_Label as y, case when Percent_Done / 1e2 > 0.5e0 then 1 else 0 end as pred, Percent_Done / 1e2 as p from p)")
+
+
+def report_rows() -> str:
+    f1 = "case when precision + recall > 0 then precision * recall * 2e0 / (precision + recall) else 0e0 end"
+    per = ("select c as label, count(case when y = c then 1 end) as support, "
+           "coalesce(count(case when y = c and pred = c then 1 end) * 1e0 / nullif(count(case when pred = c then 1 end), 0), 0e0) as precision, "
+           "coalesce(count(case when y = c and pred = c then 1 end) * 1e0 / nullif(count(case when y = c then 1 end), 0), 0e0) as recall "
+           "from rp, (select unnest([0, 1]) as c) group by c")
+    avg_row = lambda name, f: (f"select '{name} avg', {r(f('precision'))}, {r(f('recall'))}, {r(f('f1'))}, cast(sum(support) as bigint), '' from pc")
+    acc = "(select avg(case when y = pred then 1e0 else 0e0 end) from rp)"
+    return on(
+        f"select cast(label as varchar) as label, {r('precision')} as precision, {r('recall')} as recall, {r('f1')} as f1, support, '' as note from pc union all "
+        f"select 'accuracy', null, null, {r(acc)}, (select count(*) from rp), case when {acc} < 0.6e0 then 'low signal' else '' end union all "
+        + avg_row("macro", lambda c: f"avg({c})") + " union all " + avg_row("weighted", lambda c: f"sum({c} * support) / sum(support)"),
+        RULE, f"pc as (select *, {f1} as f1 from ({per}))")
+
+
+def wide_sql(draws: int = 100) -> dict[str, str]:
+    onehot = [(c, v) for c, vs in (("Issue_Type", C.ISSUE_TYPES), ("Priority", C.PRIORITIES)) for v in sorted(vs)]
+    scored = (f"ps as (select *, {score()} as prob from (select *, {PL} as pl, {CO} as co, Percent_Done as pc, {DA} as da, {VE} as ve, "
+              f"{BL} as bl, {SC} as sc, {WL} as wl, {CN} as cn from p))")
+    est, act = "Original_Estimate_Hours", "Resolution_Time_Hours"
+    return {
+        "label_encode": on("select row_id, cast(Summary_enc as int) as Summary_enc, cast(Labels_enc as int) as Labels_enc from enc", CODED),
+        "standardize": on("select row_id, " + ", ".join(f"{r(f'f{j}')} as {c}" for j, c in enumerate(C.BASE_SPRINT)) + " from z",
+                          *zscores(C.BASE_SPRINT, "row_id", "p", "p")),
+        "one_hot": on("select row_id, " + ", ".join(f"case when {c} = {_q(v)} then 1e0 else 0e0 end as \"{c}_{v}\"" for c, v in onehot) + " from p"),
+        "split_80_20": on(f"select row_id, case when {PART} = 0 then 'test' else 'train' end as part from p"),
+        "stratified_folds": on("select row_id, Success_Label, cast((row_number() over (partition by Success_Label order by "
+                               "md5(cast(row_id as varchar)), row_id) - 1) % 5 as int) as fold from p"),
+        "class_weights": on(f"select Success_Label, records, {r('sum(records) over () * 1e0 / (count(*) over () * records)')} as weight "
+                            "from (select Success_Label, count(*) as records from p group by 1)"),
+        "classification_report": report_rows(),
+        "roc_auc": on(
+            f"select {r('sum(case when y = 1 then below + ties / 2e0 end) / (count(case when y = 1 then 1 end) * cast(count(case when y = 0 then 1 end) as double))')} as auc from "
+            "(select y, sum(1 - y) over (order by p range between unbounded preceding and current row) - sum(1 - y) over (partition by p) as below, "
+            "sum(1 - y) over (partition by p) as ties from rp)", RULE),
+        "brier_score": on(f"select {r('avg((p - y) * (p - y))')} as brier from rp", RULE),
+        "regression_metrics": on(
+            f"select {r('1e0 - mse / spread')} as r2, {r('mse')} as mse, {r('sqrt(mse)')} as rmse, {r('mae')} as mae from "
+            f"(select avg(({act} - {est}) * ({act} - {est})) as mse, avg(abs({act} - {est})) as mae, var_pop({act}) as spread from p)"),
+        "agent_scan_scored": on("select * from fi", scored, *scan_ctes(
+            ("Sprint_Number",), "ps", "not prob >= 0.5e0", "prob", f"least({WL} / 220e0, 1e0) >= 0.5e0", f"least({WL} / 220e0, 1e0)", f"{CN} >= 2")),
+        "monte_carlo": monte_carlo(draws), "monte_carlo_histogram": monte_carlo_histogram(draws),
+        "optimal_path": optimal_path(), "trajectory": trajectory(), "risk_factors": risk_factors(),
+        "knn_similar": on(
+            f"select query_id, cast(row_number() over (partition by query_id order by e.d, e.n) as int) as position, e.n as neighbor_id, "
+            f"{r('e.d / 1e6')} as distance, {r('1e0 / (1e0 + e.d / 1e6)')} as similarity, "
+            "case when e.tag = 1 then 'Success' else 'Spilled' end as outcome from nb", *similar()),
+        "knn_verdict": on(
+            "select query_id, cast(sum(e.tag) as int) as succeeded, cast(count(*) as int) as compared, "
+            "case when sum(e.tag) >= 3 then 'supports' else 'contradicts' end as verdict from nb group by query_id", *similar()),
+        "knn_classify": classify(),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return flat_sql()
+    return flat_sql() | wide_sql()

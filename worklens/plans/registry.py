@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from worklens import columns as C
 from worklens import storage
 from worklens.functions import settle
-from worklens.operators import features, prep, profile, risk_scan, rollups
+from worklens.operators import encode, features, metrics, neighbors, prep, profile, risk_scan, rollups, whatif
 from worklens.sources import scan_csv, scan_parquet, work_items, write_csv, write_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,5 +139,75 @@ def _flat_queries() -> dict[str, Query]:
     }
 
 
+# Draws per row in the registered simulation; the operator's default is 1000.
+DRAWS = 100
+
+
+def _allocation_rows(df: DataFrame) -> DataFrame:
+    return encode.label_encode(df, {"Summary": "Summary_enc", "Labels": "Labels_enc"})
+
+
+def _one_hot(df: DataFrame) -> DataFrame:
+    flags = encode.one_hot({"Issue_Type": C.ISSUE_TYPES, "Priority": C.PRIORITIES})
+    return df.select("row_id", *[e.alias(n) for n, e in flags.items()])
+
+
+def _regression(df: DataFrame) -> DataFrame:
+    return metrics.regression_metrics(df, "Resolution_Time_Hours", "Original_Estimate_Hours")
+
+
+def _scored_scan(df: DataFrame) -> DataFrame:
+    scored = whatif.scored(df, whatif.rule_score()).withColumns({
+        "pred_success": (F.col("p") >= 0.5).cast("int"),
+        "p_over": F.least(F.col("Current_Workload_Percent") / 220.0, F.lit(1.0)),
+    }).withColumns({"pred_over": (F.col("p_over") >= 0.5).cast("int"),
+                    "pred_burn": (F.col("Consecutive_Overloads") >= 2).cast("int")})
+    signals = risk_scan.prediction_signals(("pred_success", "p"), ("pred_over", "p_over"), "pred_burn")
+    return risk_scan.agent_scan(risk_scan.scan(scored, BY_SPRINT, signals), BY_SPRINT)
+
+
+def similar_items(df: DataFrame) -> DataFrame:
+    """The five most similar other items of every item."""
+    z = encode.standardize(df, C.BASE_SPRINT, keep=("row_id", "Success_Label"))
+    return neighbors.knn_join(z, z, C.BASE_SPRINT, 5, payload="Success_Label", exclude_self=True)
+
+
+def _knn_classify(df: DataFrame) -> DataFrame:
+    rows = _allocation_rows(df)
+    train, test = encode.split_80_20(rows)
+    keep = ("row_id", "Assignee_Resource")
+    matches = neighbors.knn_join(
+        encode.standardize(test, C.ALLOC, keep, fit_on=train), encode.standardize(train, C.ALLOC, keep),
+        C.ALLOC, 5, payload="Assignee_Resource")
+    return neighbors.knn_vote(matches)
+
+
+def _wide_queries() -> dict[str, Query]:
+    rule = whatif.rule_score()
+    on = _on_prepared
+    report = lambda df: metrics.classification_report(prep.rule_prediction(df))
+    return {
+        "label_encode": on(lambda df: _allocation_rows(df).select("row_id", "Summary_enc", "Labels_enc")),
+        "standardize": on(lambda df: encode.standardize(df, C.BASE_SPRINT)),
+        "one_hot": on(_one_hot),
+        "split_80_20": on(encode.split_rows),
+        "stratified_folds": on(lambda df: encode.stratified_folds(df.select("row_id", "Success_Label"), "Success_Label")),
+        "class_weights": on(lambda df: encode.class_weights(df, "Success_Label")),
+        "classification_report": on(report),
+        "roc_auc": on(lambda df: metrics.roc_auc(prep.rule_prediction(df))),
+        "brier_score": on(lambda df: metrics.brier_score(prep.rule_prediction(df))),
+        "regression_metrics": on(_regression),
+        "agent_scan_scored": on(_scored_scan),
+        "monte_carlo": on(lambda df: whatif.monte_carlo(df, rule, DRAWS)),
+        "monte_carlo_histogram": on(lambda df: whatif.monte_carlo_histogram(df, rule, DRAWS)),
+        "optimal_path": on(lambda df: whatif.optimal_path(df, rule)),
+        "trajectory": on(lambda df: whatif.trajectory(df, rule)),
+        "risk_factors": on(lambda df: whatif.risk_factors(df, whatif.RULE_COEFFICIENTS)),
+        "knn_similar": on(lambda df: neighbors.knn_similar(similar_items(df))),
+        "knn_verdict": on(lambda df: neighbors.knn_verdict(similar_items(df))),
+        "knn_classify": on(_knn_classify),
+    }
+
+
 def queries() -> dict[str, Query]:
-    return _flat_queries()
+    return _flat_queries() | _wide_queries()
