@@ -568,5 +568,21 @@ def wide_sql(draws: int = 100) -> dict[str, str]:
     }
 
 
+def gaussian_nb() -> str:
+    """Closed form: class means, population variances (plus 1e-9 of the largest overall variance) and priors."""
+    w = range(len(C.WORKLOAD))
+    stats = ("gs as (select label, count(*) as n, " + ", ".join(f"avg(f{j}) as m{j}, var_pop(f{j}) as v{j}" for j in w)
+             + " from zf group by label)")
+    eps = "ge as (select 1e-9 * greatest(" + ", ".join(f"var_pop(f{j})" for j in w) + ") as eps, count(*) as total from zf)"
+    lik = " + ".join(f"-0.5e0 * (ln({2.0 * math.pi!r}e0 * (v{j} + eps)) + (f{j} - m{j}) * (f{j} - m{j}) / (v{j} + eps))" for j in w)
+    ll = f"gl as (select row_id, z.label as y, gs.label as c, ln(n * 1e0 / total) + {lik} as ll from z, gs, ge)"
+    return on(
+        f"select row_id, y, cast(case when l1 > l0 then 1 else 0 end as int) as pred, {r('1e0 / (1e0 + exp(l0 - l1))')} as p from "
+        "(select row_id, any_value(y) as y, max(case when c = 0 then ll end) as l0, max(case when c = 1 then ll end) as l1 from gl group by row_id)",
+        f"lw as (select *, Expected_Overload as label from p)",
+        f"tr as (select * from lw where {PART} <> 0)", f"te as (select * from lw where {PART} = 0)",
+        *zscores(C.WORKLOAD, "row_id, label", "te", "tr"), stats, eps, ll)
+
+
 def oracle_sql() -> dict[str, str]:
-    return flat_sql() | wide_sql()
+    return flat_sql() | wide_sql() | {"fit_gnb": gaussian_nb()}

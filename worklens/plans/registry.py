@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from worklens import columns as C
 from worklens import storage
 from worklens.functions import settle
-from worklens.operators import encode, features, metrics, neighbors, prep, profile, risk_scan, rollups, whatif
+from worklens.operators import (
+    encode, ensembles, features, metrics, models, neighbors, prep, profile, risk_scan, rollups, unsupervised, whatif,
+)
 from worklens.sources import scan_csv, scan_parquet, work_items, write_csv, write_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,5 +211,128 @@ def _wide_queries() -> dict[str, Query]:
     }
 
 
+# Settings of the registered fits; the operators' defaults are the full sizes.
+ROUNDS, TREES, BOOSTS, FOLDS = 8, 10, 8, 3
+
+
+def _split(df: DataFrame, objective: str, **options) -> models.Split:
+    return models.prepare_split(df, models.OBJECTIVES[objective], **options)
+
+
+def _classifier(objective: str, make: Callable[[models.Split], object], **options) -> Query:
+    def op(df: DataFrame) -> DataFrame:
+        s = _split(df, objective, **options)
+        return models.classify(make(s).fit(s.train), s.test)
+    return _on_prepared(op)
+
+
+def _regressor(make: Callable[[models.Split], object], **options) -> Query:
+    def op(df: DataFrame) -> DataFrame:
+        s = _split(df, "ttr", **options)
+        return models.regress(make(s).fit(s.train), s.test)
+    return _on_prepared(op)
+
+
+def _members(n: int) -> dict[str, object]:
+    return ensembles.default_members(n, TREES, ROUNDS, BOOSTS)
+
+
+def _adaboost_allocation(df: DataFrame) -> DataFrame:
+    people = sorted(C.ASSIGNEES)
+    code = F.array_position(F.array(*[F.lit(a) for a in people]), F.col("Assignee_Resource")) - 1
+    s = _split(df.withColumn("Assignee_Resource", code.cast("int")), "alloc")
+    model = ensembles.AdaBoost(BOOSTS, classes=len(people)).fit(s.train)
+    names = F.array(*[F.lit(a) for a in people])
+    return model.transform(s.test).select("row_id", names[F.col("label").cast("int")].alias("y"),
+                                          names[F.col("prediction").cast("int")].alias("predicted"))
+
+
+def _vote(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    s = _split(df, "sprint", extra=C.ENGINEERED)
+    members = _members(s.n_train)
+    return ensembles.vote_soft(ensembles.fit_members(members, s.train), s.test), list(members)
+
+
+def _comparison(df: DataFrame) -> DataFrame:
+    voted, names = _vote(df)
+    return ensembles.model_comparison(voted, names)
+
+
+def _stacking(df: DataFrame) -> DataFrame:
+    s = _split(df, "sprint", extra=C.ENGINEERED)
+    return ensembles.stacking(_members(s.n_train), s.train, s.test, FOLDS)
+
+
+def _scorecard(df: DataFrame) -> DataFrame:
+    s = _split(df, "sprint", extra=C.ENGINEERED)
+    members = _members(s.n_train)
+    return ensembles.cv_scorecard(ensembles.out_of_fold(members, s.train, FOLDS), list(members))
+
+
+def _calibrated(df: DataFrame) -> DataFrame:
+    s = _split(df, "sprint", extra=C.ENGINEERED[:6] + C.NOVEL)
+    return ensembles.calibrated_gbt(s.train, s.test, FOLDS, ROUNDS)
+
+
+def _baseline_delta(df: DataFrame) -> DataFrame:
+    base = _split(df, "sprint", balanced=True)
+    baseline = models.classify(models.logistic(base.n_train, weighted=True).fit(base.train), base.test)
+    rich = _split(df, "sprint", extra=C.ENGINEERED[:6] + C.NOVEL)
+    enriched = models.classify(models.gbt(ROUNDS).fit(rich.train), rich.test)
+    return ensembles.baseline_delta(baseline, enriched)
+
+
+def _importance(df: DataFrame) -> DataFrame:
+    s = _split(df, "sprint", extra=C.ENGINEERED)
+    return models.feature_importance(models.gbt(ROUNDS).fit(s.train), df.sparkSession, s.names)
+
+
+def _scenarios(df: DataFrame) -> DataFrame:
+    makers = {
+        "sprint": (True, lambda n, rows: models.tree(6)),
+        "workload": (False, lambda n, rows: models.gaussian_nb()),
+        "ttr": (False, lambda n, rows: models.ridge(n, models.label_deviation(rows))),
+        "burnout": (True, lambda n, rows: models.tree(5)),
+    }
+    fitted = {name: models.fit_pipeline(df, models.OBJECTIVES[name], make, balanced)[0]
+              for name, (balanced, make) in makers.items()}
+    return models.score_scenarios(df, fitted)
+
+
+def _anomalies(df: DataFrame) -> DataFrame:
+    return unsupervised.anomaly_flags(features.engineer_features(df), C.ANOMALY)
+
+
+def _clusters(df: DataFrame) -> DataFrame:
+    return unsupervised.cluster_resources(rollups.resource_vectors(df, "Resource_ID"), "Resource_ID", restarts=3)
+
+
+def _model_queries() -> dict[str, Query]:
+    on = _on_prepared
+    return {
+        "fit_logistic": _classifier("workload", lambda s: models.logistic(s.n_train, weighted=True), balanced=True),
+        "fit_tree": _classifier("sprint", lambda s: models.tree(6), balanced=True),
+        "fit_forest": _classifier("burnout", lambda s: models.forest(TREES, weighted=True), balanced=True,
+                                  extra=C.ENGINEERED[:4]),
+        "fit_gbt": _classifier("sprint", lambda s: models.gbt(ROUNDS), extra=C.ENGINEERED),
+        "fit_gbt_reg": _regressor(lambda s: models.gbt_regressor(ROUNDS), extra=C.ENGINEERED),
+        "fit_gnb": _classifier("workload", lambda s: models.gaussian_nb()),
+        "fit_ols": _regressor(lambda s: models.ols(), drop_first=True),
+        "fit_ridge": _regressor(lambda s: models.ridge(s.n_train, models.label_deviation(s.train))),
+        "fit_adaboost": on(_adaboost_allocation),
+        "vote_soft": on(lambda df: _vote(df)[0]),
+        "model_comparison": on(_comparison),
+        "stacking": on(_stacking),
+        "cv_scorecard": on(_scorecard),
+        "calibrated_gbt": on(_calibrated),
+        "baseline_delta": on(_baseline_delta),
+        "feature_importance": on(_importance),
+        "score_scenarios": on(_scenarios),
+        "cluster_resources": on(_clusters),
+        "anomaly_flags": on(_anomalies),
+        "anomaly_topk": on(lambda df: unsupervised.anomaly_topk(_anomalies(df))),
+    }
+
+
 def queries() -> dict[str, Query]:
-    return _flat_queries() | _wide_queries()
+    return _flat_queries() | _wide_queries() | _model_queries()
