@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from worklens.storage import stage
+
 SPLITS = 64
 
 
@@ -36,7 +38,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
     non-decreasing in ``order``; otherwise edges are taken from ``order[0]``.
     """
     keys = list(keys)
-    df = df.withColumns({f"_{n}": (F.col(e) if isinstance(e, str) else e) for n, e in sums.items()})
+    # The input is read three times (edges, bucket totals, rows): stage it once.
+    df = stage(df.withColumns({f"_{n}": (F.col(e) if isinstance(e, str) else e) for n, e in sums.items()}))
     bucketed = (df.withColumn("_bucket", bucket) if bucket is not None
                 else _with_bucket(df, keys, order[0], splits))
     per_bucket = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(f"_{n}").alias(f"_{n}_sum") for n in sums])

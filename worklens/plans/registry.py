@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,6 +25,12 @@ def _on_prepared(op: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: settle(op(prepared(spark, sf_dir)))
 
 
+def _on_staged(cols: Sequence[str], op: Callable[[DataFrame], DataFrame]) -> Query:
+    """For operators that read their input more than once: the needed columns are
+    written to the shared folder first, instead of deriving the table per pass."""
+    return lambda spark, sf_dir: settle(op(storage.stage(prepared(spark, sf_dir).select(*dict.fromkeys(cols)))))
+
+
 def _on_raw(op: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: settle(op(work_items(spark, sf_dir)))
 
@@ -65,6 +71,11 @@ def _align(df: DataFrame) -> DataFrame:
     return prep.align(df, wanted)
 
 
+# the columns the numeric description covers: the first eight that are numeric once prepared
+NUMERIC = [n for n, t in C.WORK_ITEM_FIELDS if n in C.LABEL_THRESHOLDS or t.typeName() != "string"][:8]
+ALLOCATION = ("row_id", "Summary", "Labels", "Original_Estimate_Resource", "Story_Points_Resource", "Assignee_Resource")
+SPRINT_INPUTS = ("row_id", "Sprint_Number", *features.INPUTS.values())
+LOOKUP = ("row_id", "Success_Label", *C.BASE_SPRINT)
 BY_SPRINT, BY_RESOURCE = ("Sprint_Number",), ("Resource_ID",)
 
 
@@ -112,14 +123,15 @@ def _flat_queries() -> dict[str, Query]:
         "assignee_stats": _on_prepared(rollups.assignee_stats),
         "sprint_stats": _on_prepared(rollups.sprint_stats),
         "profile_columns": _on_raw(profile.profile_columns),
-        "describe_numeric": _on_prepared(profile.describe_numeric),
+        "describe_numeric": _on_staged(NUMERIC, profile.describe_numeric),
         "feature_means": _on_prepared(_feature_means),
         "resource_vectors": _on_prepared(lambda df: rollups.resource_vectors(df, "Resource_ID")),
         "distinct_assignees": _on_prepared(lambda df: rollups.distinct_values(df, "Assignee")),
         "label_variety": _on_prepared(lambda df: rollups.label_variety(df, list(C.LABEL_THRESHOLDS))),
         "score_histogram": _on_prepared(lambda df: rollups.score_histogram(prep.rule_prediction(df), "p")),
         "recent_slope": _on_prepared(lambda df: rollups.recent_slope(df, F.col("Percent_Done") / 100.0)),
-        "cycle_time_matrix": _on_prepared(rollups.cycle_time_matrix),
+        "cycle_time_matrix": _on_staged(("Issue_Type", "Priority", "Assignee", "Resolution_Time_Hours"),
+                                        rollups.cycle_time_matrix),
         "bug_density": _on_prepared(rollups.bug_density),
         "velocity_forecast": _on_prepared(rollups.velocity_forecast),
         "estimation_by_type": _on_prepared(rollups.estimation_by_type),
@@ -189,8 +201,8 @@ def _wide_queries() -> dict[str, Query]:
     on = _on_prepared
     report = lambda df: metrics.classification_report(prep.rule_prediction(df))
     return {
-        "label_encode": on(lambda df: _allocation_rows(df).select("row_id", "Summary_enc", "Labels_enc")),
-        "standardize": on(lambda df: encode.standardize(df, C.BASE_SPRINT)),
+        "label_encode": _on_staged(("row_id", "Summary", "Labels"), lambda df: _allocation_rows(df).select("row_id", "Summary_enc", "Labels_enc")),
+        "standardize": _on_staged(("row_id", *C.BASE_SPRINT), lambda df: encode.standardize(df, C.BASE_SPRINT)),
         "one_hot": on(_one_hot),
         "split_80_20": on(encode.split_rows),
         "stratified_folds": on(lambda df: encode.stratified_folds(df.select("row_id", "Success_Label"), "Success_Label")),
@@ -203,11 +215,11 @@ def _wide_queries() -> dict[str, Query]:
         "monte_carlo": on(lambda df: whatif.monte_carlo(df, rule, DRAWS)),
         "monte_carlo_histogram": on(lambda df: whatif.monte_carlo_histogram(df, rule, DRAWS)),
         "optimal_path": on(lambda df: whatif.optimal_path(df, rule)),
-        "trajectory": on(lambda df: whatif.trajectory(df, rule)),
+        "trajectory": _on_staged(SPRINT_INPUTS, lambda df: whatif.trajectory(df, rule)),
         "risk_factors": on(lambda df: whatif.risk_factors(df, whatif.RULE_COEFFICIENTS)),
-        "knn_similar": on(lambda df: neighbors.knn_similar(similar_items(df))),
-        "knn_verdict": on(lambda df: neighbors.knn_verdict(similar_items(df))),
-        "knn_classify": on(_knn_classify),
+        "knn_similar": _on_staged(LOOKUP, lambda df: neighbors.knn_similar(similar_items(df))),
+        "knn_verdict": _on_staged(LOOKUP, lambda df: neighbors.knn_verdict(similar_items(df))),
+        "knn_classify": _on_staged(ALLOCATION, _knn_classify),
     }
 
 
@@ -319,7 +331,7 @@ def _model_queries() -> dict[str, Query]:
         "fit_gnb": _classifier("workload", lambda s: models.gaussian_nb()),
         "fit_ols": _regressor(lambda s: models.ols(), drop_first=True),
         "fit_ridge": _regressor(lambda s: models.ridge(s.n_train, models.label_deviation(s.train))),
-        "fit_adaboost": on(_adaboost_allocation),
+        "fit_adaboost": _on_staged(ALLOCATION, _adaboost_allocation),
         "vote_soft": on(lambda df: _vote(df)[0]),
         "model_comparison": on(_comparison),
         "stacking": on(_stacking),
