@@ -36,7 +36,8 @@ class Objective:
     name: str
     label: str
     features: tuple[str, ...]
-    one_hot: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    # factor -> its levels; None means: look them up in the data
+    one_hot: Mapping[str, Sequence[str] | None] = field(default_factory=dict)
 
 
 _TTR_LEVELS = {"Issue_Type": C.ISSUE_TYPES, "Priority": C.PRIORITIES}
@@ -61,7 +62,8 @@ def training_table(df: DataFrame, objective: Objective, extra: Sequence[str] = (
         df = engineer_features(df, novel=any(e in C.NOVEL for e in extra))
     if objective.name == "alloc":
         df = encode.label_encode(df, {"Summary": "Summary_enc", "Labels": "Labels_enc"})
-    levels = {c: sorted(v)[1 if drop_first else 0:] for c, v in objective.one_hot.items() if c in df.columns}
+    levels = {c: sorted(v or encode.levels_of(df, [c])[c])[1 if drop_first else 0:]
+              for c, v in objective.one_hot.items() if c in df.columns}
     flags = encode.one_hot(levels)
     numeric = present(df, [*objective.features, *extra])
     names = [*flags, *numeric]

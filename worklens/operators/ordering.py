@@ -15,7 +15,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from worklens.storage import stage
 
-SPLITS = 64
+SPLITS, MAX_SPLITS = 64, 1024
+
+
+def _splits(df: DataFrame) -> int:
+    """Buckets per key: as many as the session has shuffle partitions, within limits."""
+    return min(MAX_SPLITS, max(SPLITS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _with_bucket(df: DataFrame, keys: Sequence[str], value: str, splits: int) -> DataFrame:
@@ -30,7 +35,7 @@ def _with_bucket(df: DataFrame, keys: Sequence[str], value: str, splits: int) ->
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column | str],
-                   bucket: Column | None = None, splits: int = SPLITS) -> DataFrame:
+                   bucket: Column | None = None, splits: int | None = None) -> DataFrame:
     """``df`` plus, for each sum: ``<name>_before`` (strictly earlier rows of the
     key) and ``<name>_total`` (the whole key).
 
@@ -41,7 +46,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
     # The input is read three times (edges, bucket totals, rows): stage it once.
     df = stage(df.withColumns({f"_{n}": (F.col(e) if isinstance(e, str) else e) for n, e in sums.items()}))
     bucketed = (df.withColumn("_bucket", bucket) if bucket is not None
-                else _with_bucket(df, keys, order[0], splits))
+                else _with_bucket(df, keys, order[0], splits or _splits(df)))
     per_bucket = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(f"_{n}").alias(f"_{n}_sum") for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

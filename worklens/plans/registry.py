@@ -319,6 +319,20 @@ def _clusters(df: DataFrame) -> DataFrame:
     return unsupervised.cluster_resources(rollups.resource_vectors(df, "Resource_ID"), "Resource_ID", restarts=3)
 
 
+FITTED = (*C.BASE_SPRINT, *C.ENGINEERED, *C.NOVEL)
+
+
+def _fitted_score(df: DataFrame) -> whatif.ModelScore:
+    """A balanced logistic model on base, engineered and novel features."""
+    pipeline, _, _ = models.fit_pipeline(df, models.OBJECTIVES["sprint"], lambda n, rows: models.logistic(n, weighted=True),
+                                         balanced=True, extra=C.ENGINEERED + C.NOVEL)
+    return whatif.ModelScore(pipeline, FITTED)
+
+
+def _with_fitted(op: Callable[[DataFrame, whatif.ModelScore], DataFrame]) -> Query:
+    return _on_staged((*SPRINT_INPUTS, "Success_Label"), lambda df: op(df, _fitted_score(df)))
+
+
 def _model_queries() -> dict[str, Query]:
     on = _on_prepared
     return {
@@ -340,6 +354,9 @@ def _model_queries() -> dict[str, Query]:
         "baseline_delta": on(_baseline_delta),
         "feature_importance": on(_importance),
         "score_scenarios": on(_scenarios),
+        "monte_carlo_fitted": _with_fitted(lambda df, score: whatif.monte_carlo(df, score, DRAWS)),
+        "optimal_path_fitted": _with_fitted(whatif.optimal_path),
+        "trajectory_fitted": _with_fitted(whatif.trajectory),
         "cluster_resources": on(_clusters),
         "anomaly_flags": on(_anomalies),
         "anomaly_topk": on(lambda df: unsupervised.anomaly_topk(_anomalies(df))),

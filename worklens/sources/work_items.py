@@ -140,8 +140,10 @@ def with_history(df: DataFrame, hot: DataFrame | None) -> DataFrame:
 
 
 def work_items(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+    # calendar fields are those of UTC, whatever the session time zone
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice",
+        "to_utc_timestamp(o_orderdate, current_timezone()) as o_orderdate")
     lines = (
         spark.read.parquet(f"{sf_dir}/lineitem.parquet")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
