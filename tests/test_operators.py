@@ -253,3 +253,17 @@ def test_sinks(spark, tmp_path, prepared):
 
 def test_cycle_time_falls_back_without_hours(spark, prepared):
     assert "avg_days_remaining" in rollups.cycle_time(prepared.drop("Resolution_Time_Hours")).columns
+
+
+def test_fitted_model_as_score(spark, prepared):
+    from worklens.operators import models
+    few = prepared.where("Sprint_Number <= 4")
+    pipeline, _, _ = models.fit_pipeline(prepared, models.OBJECTIVES["sprint"],
+                                         lambda n, rows: models.logistic(n, weighted=True), balanced=True,
+                                         extra=C.ENGINEERED + C.NOVEL)
+    score = whatif.ModelScore(pipeline, (*C.BASE_SPRINT, *C.ENGINEERED, *C.NOVEL))
+    steps = whatif.trajectory(few, score).collect()
+    assert len(steps) == 3 * few.count() and all(0.05 <= r["p"] <= 0.98 for r in steps)
+    paths = whatif.optimal_path(few, score).collect()
+    assert {r["row_id"] for r in paths} == {r["row_id"] for r in few.select("row_id").collect()}
+    assert all(r["new_p"] >= 0.8 for r in paths if r["cost"] is not None)

@@ -201,6 +201,10 @@ def export_health(scanned: DataFrame, group_cols: Sequence[str] = ()) -> DataFra
         F.col("title").alias("Finding"), F.col("action").alias("Action"))
 
 
+def export_actions(scanned: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    return action_table(scanned, group_cols).drop("seq")
+
+
 def report_markdown(scanned: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """The written report, one text per group."""
     band = band_health(F.col("health"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from worklens.functions import (
-    band_heat_risk, band_heat_score, band_person, clip, fixed_text, percent_text, ratio, round_half_up,
+    band_heat_risk, band_heat_score, band_person, clip, percent_text, ratio, round_half_up,
 )
 from worklens.operators.features import estimation_error
 from worklens.operators.ordering import exact_quantiles
@@ -108,13 +108,14 @@ def heatmap_bands(df: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def sprint_trend(df: DataFrame) -> DataFrame:
+    """Per sprint; the blocked average is left out when its column is absent."""
     m = _risk_means(df)
-    return df.groupBy("Sprint_Number").agg(
-        round_half_up(m["sprint_risk"] * 100.0, 1).alias("sprint_risk_pct"),
-        round_half_up(m["workload"], 1).alias("avg_workload"),
-        round_half_up(F.avg("Blocked_Stories"), 2).alias("avg_blocked"),
-        round_half_up(m["burnout"] * 100.0, 1).alias("burnout_pct"),
-    ).orderBy("Sprint_Number")
+    measures = {"sprint_risk_pct": round_half_up(m["sprint_risk"] * 100.0, 1),
+                "avg_workload": round_half_up(m["workload"], 1)}
+    if "Blocked_Stories" in df.columns:
+        measures["avg_blocked"] = round_half_up(F.avg("Blocked_Stories"), 2)
+    measures["burnout_pct"] = round_half_up(m["burnout"] * 100.0, 1)
+    return df.groupBy("Sprint_Number").agg(*[e.alias(n) for n, e in measures.items()]).orderBy("Sprint_Number")
 
 
 def workload_pivot(df: DataFrame, people: Sequence[str], by: str | None = None) -> DataFrame:
@@ -296,11 +297,3 @@ def score_histogram(df: DataFrame, p: str, bins: int = 20) -> DataFrame:
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(counted, "bin", "left").select(
         "bin", (F.col("bin") / float(bins)).alias("bin_start"), F.coalesce("records", F.lit(0)).alias("records"))
-
-
-def percent_of(hit: Column) -> Column:
-    return share(hit) * 100.0
-
-
-def fixed_mean(name: str, digits: int) -> Column:
-    return fixed_text(F.avg(name), digits)

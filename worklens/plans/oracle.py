@@ -372,6 +372,7 @@ def flat_sql() -> dict[str, str]:
         "health_score": on(f"select criticals, warnings, health, {BAND} as band from he", *scan_ctes(())),
         "health_score_by_resource": on(f"select Resource_ID, criticals, warnings, health, {BAND} as band from he", *scan_ctes(res)),
         "action_table": actions(()), "action_table_by_resource": actions(res),
+        "export_actions": "select Priority, Objective, Issue, Action from (" + actions(()) + ")",
         "export_health": on("select objective as Objective, upper(severity) as Severity, title as Finding, action as Action from fi", *scan_ctes(())),
         "report_markdown": report(()), "report_markdown_by_sprint": report(spr),
     }

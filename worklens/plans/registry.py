@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,7 +37,6 @@ def _on_raw(op: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _fresh_path(spark: SparkSession, name: str) -> str:
-    import uuid
     return f"{storage.shared_dir(spark)}/worklens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
@@ -84,9 +84,8 @@ def _scanned(product, group_cols=()) -> Query:
 
 
 def _flat_queries() -> dict[str, Query]:
-    ok, flag = F.col, F.col
-    failed = lambda: ok("Success_Label") == 0
-    burned = lambda: flag("Risk_Flag") == 1
+    failed = lambda: F.col("Success_Label") == 0
+    burned = lambda: F.col("Risk_Flag") == 1
     return {
         "work_items": _on_raw(lambda df: df),
         "scan_csv": _on_raw(_csv_roundtrip),
@@ -148,6 +147,7 @@ def _flat_queries() -> dict[str, Query]:
         "action_table": _scanned(risk_scan.action_table),
         "action_table_by_resource": _scanned(risk_scan.action_table, BY_RESOURCE),
         "export_health": _scanned(risk_scan.export_health),
+        "export_actions": _scanned(risk_scan.export_actions),
         "report_markdown": _scanned(risk_scan.report_markdown),
         "report_markdown_by_sprint": _scanned(risk_scan.report_markdown, BY_SPRINT),
     }
