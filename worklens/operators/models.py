@@ -102,11 +102,11 @@ def prepare_split(df: DataFrame, objective: Objective, extra: Sequence[str] = ()
                   drop_first: bool = False) -> Split:
     """80/20 hash split, scaled on the training part and staged for repeated passes."""
     table, names = training_table(df, objective, extra, drop_first)
-    table = stage(table)
+    table = stage(table, by="row_id")
     train, test = encode.split_80_20(table)
     scaler = fit_scaler(train, names)
     weight = encode.binary_weight(train, "label") if balanced else F.lit(1.0)
-    train_v = stage(_vectors(train, scaler, weight))
+    train_v = stage(_vectors(train, scaler, weight), by="row_id")
     return Split(train_v, _vectors(test, scaler, F.lit(1.0)), scaler, names, train_v.count())
 
 
@@ -115,7 +115,7 @@ def prepare_split(df: DataFrame, objective: Objective, extra: Sequence[str] = ()
 def logistic(total_weight: float, weighted: bool = False, max_iter: int = 300, c: float = 1.0) -> Estimator:
     """Ridge-penalised logistic regression with inverse penalty ``c`` on scaled features."""
     est = LogisticRegression(regParam=1.0 / (c * total_weight), elasticNetParam=0.0, standardization=False,
-                             maxIter=max_iter, tol=1e-8)
+                             maxIter=max_iter)
     return est.setWeightCol("weight") if weighted else est
 
 
@@ -188,11 +188,11 @@ def fit_pipeline(df: DataFrame, objective: Objective, make, balanced: bool = Fal
     ``make(n, train_vectors)`` builds the estimator.
     """
     table, names = training_table(df, objective, extra)
-    table = stage(table)
+    table = stage(table, by="row_id")
     train, test = encode.split_80_20(table)
     scaler = fit_scaler(train, names)
     weight = encode.binary_weight(train, "label") if balanced else F.lit(1.0)
-    vectors = stage(_vectors(train, scaler, weight))
+    vectors = stage(_vectors(train, scaler, weight), by="row_id")
     model = make(vectors.count(), vectors).fit(vectors)
     return PipelineModel(stages=[*scaler.stages, model]), train, test
 

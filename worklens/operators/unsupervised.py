@@ -86,7 +86,7 @@ def isolation_scores(df: DataFrame, features: Sequence[str], trees: int = 100, s
     trees. The forest (trees x at most 511 nodes) is shipped to the scoring tasks.
     """
     spark = df.sparkSession
-    rows = stage(df.select("row_id", F.array(*[F.col(f).cast("double") for f in features]).alias("f")))
+    rows = stage(df.select("row_id", F.array(*[F.col(f).cast("double") for f in features]).alias("f")), by="row_id")
     n = rows.count()
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(max(1, n // pool))) == 0)
     # every tree's lowest hashes; the group limit is applied before the shuffle

@@ -32,13 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and scan it from there.
 
     Used before multi-pass work (iterative fits): every pass then reads pruned
     columns from files instead of recomputing the plan, and survives lost executors.
+    ``by`` spreads the rows over all shuffle partitions first, so that later passes
+    use every core and the layout does not depend on the input's.
     """
     spark = df.sparkSession
+    if by:
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), by)
     path = f"{shared_dir(spark)}/worklens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
