@@ -18,6 +18,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,7 +37,7 @@ def best_fit(sizes: list[int], sources: list[int | None], clusters: list[int], c
     """The bin of each piece, in the given order.
 
     Bins of one residual stand under the bitmap of their sources, so that those which hold a
-    piece's source are passed over together; ``used`` has a bit for every residual in use.
+    piece's source are passed over together, the oldest first; ``used`` has a bit for every residual in use.
     """
     by_residual: dict[int, dict[int, list[int]]] = {}
     cluster_bits: list[int] = []
@@ -70,7 +71,7 @@ def best_fit(sizes: list[int], sources: list[int | None], clusters: list[int], c
         cluster_bits[number] |= cluster_bit
         left -= size
         if left:
-            by_residual.setdefault(left, {}).setdefault(held | source_bit, []).append(number)
+            insort(by_residual.setdefault(left, {}).setdefault(held | source_bit, []), number)
             used |= 1 << left
         yield number
 

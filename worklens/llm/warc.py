@@ -128,4 +128,4 @@ with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_b
 r as (select *, max(page_id) over (partition by payload_digest) as response, count(*) over (partition by payload_digest) as n from p)
 select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= {LEAST} and n > 1 and response is not null and page_id is distinct from response then 'revisit' else 'response' end as record_type,
-  case when payload_bytes >= {LEAST} and n > 1 and response is not null and page_id is distinct from response then response end as refers_to from r"""
+  case when payload_bytes >= {LEAST} and n > 1 and response is not null and page_id is distinct from response then response end::bigint as refers_to from r"""
