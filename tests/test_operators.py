@@ -267,3 +267,12 @@ def test_fitted_model_as_score(spark, prepared):
     paths = whatif.optimal_path(few, score).collect()
     assert {r["row_id"] for r in paths} == {r["row_id"] for r in few.select("row_id").collect()}
     assert all(r["new_p"] >= 0.8 for r in paths if r["cost"] is not None)
+
+
+def test_pivot_keeps_people_outside_the_usual_list(spark, prepared):
+    from pyspark.sql import functions as F
+    from worklens.operators import rollups
+    by = rollups.group_key(prepared)
+    first = prepared.select(F.min(by)).first()[0]
+    renamed = prepared.withColumn(by, F.when(F.col(by) == first, "Zoe").otherwise(F.col(by)))
+    assert "Zoe" in rollups.workload_pivot(renamed).columns and first not in rollups.workload_pivot(renamed).columns

@@ -5,9 +5,10 @@ import pytest
 
 import __spark_entry__ as contract
 from tests.conftest import SF
+from worklens.plans import oracle, registry
 
 TABLES = ("orders", "lineitem")
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = registry.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")

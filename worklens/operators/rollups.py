@@ -118,12 +118,18 @@ def sprint_trend(df: DataFrame) -> DataFrame:
     return df.groupBy("Sprint_Number").agg(*[e.alias(n) for n, e in measures.items()]).orderBy("Sprint_Number")
 
 
-def workload_pivot(df: DataFrame, people: Sequence[str], by: str | None = None) -> DataFrame:
-    """Mean workload, one row per sprint and one column per listed person.
+def observed(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
+    """The values of a column that is to become columns; raises above ``limit`` of them."""
+    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
+    if len(values) > limit:
+        raise ValueError(f"{column} has more than {limit} values")
+    return sorted(values)
 
-    The values are explicit, so no extra pass looks for them.
-    """
+
+def workload_pivot(df: DataFrame, people: Sequence[str] | None = None, by: str | None = None) -> DataFrame:
+    """Mean workload, one row per sprint and one column per person, of the list or else of those in the table."""
     by = by or group_key(df)
+    people = observed(df, by) if people is None else people
     wide = (df.groupBy("Sprint_Number").pivot(by, list(people))
             .agg(F.avg("Current_Workload_Percent")))
     return wide.select("Sprint_Number", *[round_half_up(F.col(p), 1).alias(p) for p in people])
@@ -204,11 +210,8 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def label_variety(df: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Classes per label; a fit needs more than one.
-
-    Labels are 0/1 here, so min and max decide without a distinct.
-    """
-    agg = df.agg(*[(F.max(c) - F.min(c) + 1).cast("int").alias(c) for c in labels])
+    """Classes per label, of any type; a fit needs more than one."""
+    agg = df.agg(*[F.count_distinct(c).cast("int").alias(c) for c in labels])
     return (agg.unpivot([], list(labels), "label", "classes")
             .withColumn("can_fit", F.col("classes") > 1))
 

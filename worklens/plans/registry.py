@@ -109,7 +109,7 @@ def _flat_queries() -> dict[str, Query]:
         "health_heatmap": _on_prepared(rollups.health_heatmap),
         "heatmap_bands": _on_prepared(rollups.heatmap_bands),
         "sprint_trend": _on_prepared(rollups.sprint_trend),
-        "workload_pivot": _on_prepared(lambda df: rollups.workload_pivot(df, C.ASSIGNEES)),
+        "workload_pivot": _on_prepared(lambda df: rollups.workload_pivot(df)),
         "issue_type_counts": _on_prepared(lambda df: rollups.value_counts(df, "Issue_Type")),
         "workload_by_assignee": _on_prepared(
             lambda df: rollups.mean_by(df, "Assignee", "Current_Workload_Percent", "avg_workload")),
@@ -316,7 +316,7 @@ def _anomalies(df: DataFrame) -> DataFrame:
 
 
 def _clusters(df: DataFrame) -> DataFrame:
-    return unsupervised.cluster_resources(rollups.resource_vectors(df, "Resource_ID"), "Resource_ID", restarts=3)
+    return unsupervised.cluster_resources(rollups.resource_vectors(df, "Resource_ID"), "Resource_ID")
 
 
 FITTED = (*C.BASE_SPRINT, *C.ENGINEERED, *C.NOVEL)

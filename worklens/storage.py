@@ -26,12 +26,6 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and scan it from there.
 
