@@ -40,6 +40,11 @@ def rows_of(batch: pa.RecordBatch, step: int = 512) -> Iterator[list]:
         yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """Two tasks a core: enough for rows on links, which are few beside the documents, without a file for each shuffle partition."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Connected components of the links (a, b): every node that has a link, with the smallest node it reaches.
 
@@ -48,27 +53,23 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     gathered in one task; each step is a table in the shared folder. Raises if the
     links have not settled after ``max_rounds``.
     """
-    spark = edges.sparkSession
-    state = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                  .where("a <> b").distinct())
+    state = stage(few(few(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")).distinct()))
     before = None
     for _ in range(max_rounds):
         both = state.union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stage(large.distinct())
+        large = stage(few(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .union(low.select("a", F.col("m").alias("b"))))
-        state = stage(small.where("a <> b").distinct())
+        small = few(large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")))
+        state = stage(few(small.select("e.a", "e.b").where("a <> b").distinct()))
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("links have not settled")
-    roots = state.select(F.col("b").alias("node"), F.col("b").alias("root"))
-    return state.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots).distinct()
+    both = state.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))).alias("e"))
+    return stage(few(both.select("e.node", "e.root").distinct()))
 
 
-__all__ = ["components", "partitions", "rows_of", "ship", "stage", "table", "utf8"]
+__all__ = ["components", "few", "partitions", "rows_of", "ship", "stage", "table", "utf8"]

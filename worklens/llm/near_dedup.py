@@ -3,17 +3,22 @@
 A document's set holds the distinct five-word shingles of its whole text, each under one
 64-bit hash. The ``SKETCH`` smallest hashes are its bottom-k sketch. Equal sets are one node,
 so copies never meet each other. Inverted lists of retained values bring overlapping nodes
-together; values that more than ``LIST`` nodes retain (passages, boiler-plate) head a list only
-for nodes whose sketch consists of them to a third, as their rarer values bring the others
 together. Pairs whose union sketch estimates a similarity under ``FLOOR`` are dropped, the
 others are confirmed on full sets.
 
+Values that more than ``LIST`` nodes retain (passages, boiler-plate, large groups) head no list
+of sketches. Nodes whose sketch consists of them to a third are a crowd: their full sets are
+listed instead, under as many first values as sets of the least similarity must share one of,
+values rare in the crowd before common ones. Two nodes that meet at a common value, but at no rare one,
+differ in all their rare members, which rules most pairs of a crowd out by two counts.
+
 No list is expanded into all pairs while it may hold one group: for ``ROUNDS`` rounds every
-list compares its members with one pivot, and only members of different groups so far. Lists
-that still hold several groups then compare the members of different groups with one another,
-in full and whatever their length: nothing is capped. A pair at the threshold escapes only if
-no shared shingle is among the first twelve or more values of either list (odds near 0.15^12)
-or the estimate is off by nine deviations.
+list compares its members with one pivot (at first the one with the fewest rare members), and
+only members of different groups so far. Lists that still hold several groups then compare
+the members of different groups with one another, in full and whatever their length: nothing
+is capped. Outside crowds a pair at the threshold escapes only if no shared shingle is among
+the first two dozen rare values (odds near 0.15^24), anywhere only if the estimate is off by
+seven deviations.
 
 Edge cases: null and empty texts (no word) have an empty set and are linked with nothing. Under
 five words the whole sequence is the one shingle. Rows of equal sets are one group whatever
@@ -30,16 +35,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from worklens.llm.common import components, rows_of, ship, stage, table, utf8
+from worklens.llm.common import components, few, rows_of, ship, stage, table, utf8
 
 ship(__name__)
 
 SHINGLE = 5
 SKETCH = 48
-RARE, COMMON, LIST, SHARE = 24, 12, 32, 16
+RARE, LIST, CROWD, CROWD_LIST = 24, 8, 3, 40
 MOST_COMMON = 200_000
 FLOOR = 0.45
-ROUNDS = 3
+ROUNDS, PIVOTS = 2, 3
+_CROWD = np.int64(0x5851F42D4C957F2D)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,7 +84,8 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([shingle_hashes(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "members"])
+            [batch.column(0), pa.array([shingle_hashes(t.as_py()).tobytes() for t in batch.column(1)], pa.binary()), batch.column(2)],
+            names=["node", "members", "crowd"])
 
 
 def estimated(x: np.ndarray, y: np.ndarray) -> float:
@@ -107,28 +114,64 @@ def confirmer(percent: int):
 
 
 def lister(common: np.ndarray):
-    """Emits (value, node, n) for the retained values of each node."""
+    """Emits (value, node, n) for the rare retained values of each node, and without a value for each node of a crowd."""
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, nodes, sizes = [], [], []
+            values, sizes = [], []
             for i in range(batch.num_rows):
                 v = np.asarray(batch.column(2)[i].values)
-                often = np.isin(v, common, assume_unique=True) if len(common) else np.zeros(len(v), dtype=bool)
-                rare, often = v[~often][:RARE], v[often]
-                often = often[:COMMON] if 3 * len(often) >= len(v) else often[:0]
-                values += [rare, often]
-                nodes.append(len(rare) + len(often))
-            picked = np.repeat(np.arange(batch.num_rows), nodes)
-            flat = np.concatenate(values) if values else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), batch.column(0).take(pa.array(picked)), batch.column(1).take(pa.array(picked))],
-                                             names=["value", "node", "n"])
+                often = np.isin(v, common, assume_unique=True)
+                picked = v[~often][:RARE].tolist()
+                picked += [None] * (CROWD * int(often.sum()) >= len(v))
+                values += picked
+                sizes.append(len(picked))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], names=["value", "node", "n"])
     return lists
 
 
-def _join_labels(lists: DataFrame, groups: DataFrame | None) -> DataFrame:
-    if groups is None:
-        return lists.withColumn("root", F.col("node"))
-    return (lists.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")))
+def all_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for members in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(members.as_py(), dtype=np.int64))], names=["value"])
+
+
+def prefix_lister(common: np.ndarray, percent: int):
+    """Emits (value, node, n, r, often) for the first values of each set, rare ones before common ones.
+
+    Sets of which at most ``100 - percent`` of a hundred members may differ share one of so many
+    first values under any one order. ``r`` is how many rare members the set has.
+    """
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, many, ns, rs, oftens = [], [], [], [], []
+            for members in batch.column(1):
+                v = np.frombuffer(members.as_py(), dtype=np.int64)
+                often = np.isin(v, common, assume_unique=True)
+                first = len(v) - -(-percent * len(v) // 100) + 1
+                rare, shared = v[~often], v[often]
+                picked = [rare[:first], shared[:max(0, first - len(rare))]]
+                values += picked
+                many.append(len(picked[0]) + len(picked[1]))
+                oftens.append(np.repeat([False, True], [len(picked[0]), len(picked[1])]))
+                ns.append(len(v))
+                rs.append(len(rare))
+            flat = np.concatenate(values) ^ _CROWD if values else np.zeros(0, dtype=np.int64)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), many))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat, pa.int64()), batch.column(0).take(at), pa.array(ns, pa.int64()).take(at), pa.array(rs, pa.int64()).take(at),
+                 pa.array(np.concatenate(oftens) if oftens else np.zeros(0, dtype=bool), pa.bool_())], names=["value", "node", "n", "r", "often"])
+    return lists
+
+
+def most_common(values: DataFrame, rows: int) -> np.ndarray:
+    """The values that more than so many rows have, at most ``MOST_COMMON`` of them; which ones only matters for speed."""
+    found = (values.groupBy("value").count().where(F.col("count") > rows).orderBy(F.desc("count"), "value").limit(MOST_COMMON).select("value").toPandas())
+    return np.sort(found["value"].to_numpy(dtype=np.int64))
+
+
+def shared_lists(postings: DataFrame) -> DataFrame:
+    return postings.join(postings.groupBy("value").count().where("count > 1").select("value"), "value")
 
 
 def links(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
@@ -136,50 +179,53 @@ def links(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
 
     ``nodes`` has node, row, idh, n and sketch, one row each; ``docs`` the bytes under row and idh.
     """
-    often = (nodes.select(F.explode("sketch").alias("value")).groupBy("value").count()
-             .where(F.col("count") > LIST).orderBy(F.desc("count"), "value").limit(MOST_COMMON).select("value").toPandas())
-    common = np.sort(often["value"].to_numpy(dtype=np.int64))
+    common = most_common(nodes.select(F.explode("sketch").alias("value")), LIST)
     postings = stage(nodes.select("node", "n", "sketch").mapInArrow(lister(common), "value long, node string, n long"))
-    shared = postings.groupBy("value").count().where("count > 1").select("value")
-    lists = stage(postings.join(shared, "value"))
-    met = lists.select("node").distinct()
-    heads = nodes.join(met, "node", "left_semi").select("node", "row", "idh")
-    sets = stage(docs.join(heads, ["row", "idh"]).dropDuplicates(["row", "idh"]).select("node", "bytes")
-                 .mapInArrow(full_sets, "node string, members binary"))
-    sketch = stage(nodes.select("node", "sketch").join(met, "node", "left_semi"))
-
-    found, tested, groups = None, None, None
+    rare = stage(shared_lists(postings.where("value is not null")))
+    crowd = postings.where("value is null").select("node", F.lit(True).alias("crowd"))
+    met = rare.select("node", F.lit(False).alias("crowd")).union(crowd).groupBy("node").agg(F.max("crowd").alias("crowd"))
+    heads = nodes.join(met, "node").select("node", "row", "idh", "crowd")
+    sets = stage(docs.join(heads, ["row", "idh"]).dropDuplicates(["row", "idh"]).select("node", "bytes", "crowd")
+                 .mapInArrow(full_sets, "node string, members binary, crowd boolean"))
+    crowded = sets.where("crowd").select("node", "members")
+    again = most_common(crowded.select("members").mapInArrow(all_values, "value long"), CROWD_LIST)
+    dense = stage(crowded.mapInArrow(prefix_lister(again, percent), "value long, node string, n long, r long, often boolean"))
+    lists = stage(rare.select("value", "node", "n", F.lit(0).cast("long").alias("r"), F.lit(False).alias("often")).union(shared_lists(dense).select(dense.columns)))
+    sketch = stage(nodes.select("node", "sketch").join(lists.select("node").distinct(), "node", "left_semi"))
+
+    # lists: those that still hold several groups, each member with the root of its group
+    lists, found, tested, groups = lists.withColumn("root", F.col("node")), None, None, None
+    # sets that meet at a common value and share no rare one differ in all their rare members, and by their sizes
+    apart = F.greatest(F.col("r"), F.col("r2") + F.col("n") - F.col("m")) + F.greatest(F.col("r2"), F.col("r") + F.col("m") - F.col("n"))
+    similar = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (
+        ~F.col("often") | ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m"))))
     for turn in range(ROUNDS + 1):
-        labelled = _join_labels(lists, groups)
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root")
-        split = (labelled.groupBy("value").agg(F.min(order).alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-                 .where("r0 <> r1"))
         if turn < ROUNDS:
-            met_pairs = labelled.join(split.select("value", "p"), "value").where("root <> p.root").select(
-                "node", "n", F.col("p.node").alias("other"), F.col("p.n").alias("m"))
+            drawn = F.struct((F.col("r") if turn == 0 else F.lit(0)).alias("first"), F.xxhash64("node", F.pmod("value", F.lit(PIVOTS)), F.lit(turn)).alias("h"), "node", "n", "r", "root")
+            pivots = lists.groupBy("value").agg(F.min(drawn).alias("p"))
+            met = lists.join(pivots, "value").where("root <> p.root").select(
+                "node", "n", "r", "often", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.r").alias("r2")).where(similar)
         else:
-            rest = stage(labelled.join(split.select("value"), "value", "left_semi"))
-            other = rest.select("value", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("root2"))
-            met_pairs = rest.join(other, (rest["value"] == other["value"]) & (F.col("root") < F.col("root2"))
-                                  & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("node", "n", "other", "m")
-        pairs = (met_pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-                 .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs)
+            other = lists.select("value", F.col("node").alias("other"), F.col("n").alias("m"), F.col("r").alias("r2"), F.col("root").alias("root2"))
+            met = lists.join(other, (lists["value"] == other["value"]) & (F.col("root") < F.col("root2")) & similar)
+        pairs = few(few(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))).distinct())
+        pairs = stage(pairs if tested is None else few(pairs.join(tested, ["a", "b"], "left_anti")))
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.union(pairs)
-        near = (pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
-                .join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-                .select("a", "b", "x", "y").mapInArrow(likely, "a string, b string"))
-        near = stage(near)
-        sure = stage(near.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-                     .join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-                     .select("a", "b", "x", "y").mapInArrow(confirmer(percent), "a string, b string"))
-        if not sure.isEmpty():
-            found = sure if found is None else found.union(sure)
-            groups = components(found)
+        side = lambda t, c, as_: t.select(F.col("node").alias(c), F.col(t.columns[1]).alias(as_))
+        near = stage(few(few(pairs.join(side(sketch, "a", "x"), "a")).join(side(sketch, "b", "y"), "b")
+                         .select("a", "b", "x", "y").mapInArrow(likely, "a string, b string")))
+        sure = stage(few(few(near.join(side(sets, "a", "x"), "a")).join(side(sets, "b", "y"), "b")
+                         .select("a", "b", "x", "y").mapInArrow(confirmer(percent), "a string, b string")))
+        if sure.isEmpty():
+            continue
+        found = sure if found is None else found.union(sure)
+        groups = components(found)
+        if turn < ROUNDS:
+            named = stage(few(lists.drop("root").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))))
+            split = named.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("value")
+            lists = stage(few(named.join(split, "value")))
     return groups
 
 
