@@ -71,13 +71,13 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(3):
             values = shingle_hashes(text.as_py())
             sizes.append(len(values))
-            nodes.append(xxhash.xxh3_128_hexdigest(values.tobytes()))
+            nodes.append(xxhash.xxh3_128_digest(values.tobytes()))
             sketch.append(values[:SKETCH])
         flat = np.concatenate(sketch) if sketch else np.zeros(0, dtype=np.int64)
         ends = np.cumsum([0, *map(len, sketch)], dtype=np.int32)
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:3], pa.array(sizes, pa.int64()),
-             pa.array(nodes, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+             pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
             names=["doc_id", "row", "idh", "n", "node", "sketch"])
 
 
@@ -180,16 +180,16 @@ def links(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     ``nodes`` has node, row, idh, n and sketch, one row each; ``docs`` the bytes under row and idh.
     """
     common = most_common(nodes.select(F.explode("sketch").alias("value")), LIST)
-    postings = stage(nodes.select("node", "n", "sketch").mapInArrow(lister(common), "value long, node string, n long"))
+    postings = stage(nodes.select("node", "n", "sketch").mapInArrow(lister(common), "value long, node binary, n long"))
     rare = stage(shared_lists(postings.where("value is not null")))
     crowd = postings.where("value is null").select("node", F.lit(True).alias("crowd"))
     met = rare.select("node", F.lit(False).alias("crowd")).union(crowd).groupBy("node").agg(F.max("crowd").alias("crowd"))
     heads = nodes.join(met, "node").select("node", "row", "idh", "crowd")
     sets = stage(docs.join(heads, ["row", "idh"]).dropDuplicates(["row", "idh"]).select("node", "bytes", "crowd")
-                 .mapInArrow(full_sets, "node string, members binary, crowd boolean"))
+                 .mapInArrow(full_sets, "node binary, members binary, crowd boolean"))
     crowded = sets.where("crowd").select("node", "members")
     again = most_common(crowded.select("members").mapInArrow(all_values, "value long"), CROWD_LIST)
-    dense = stage(crowded.mapInArrow(prefix_lister(again, percent), "value long, node string, n long, r long, often boolean"))
+    dense = stage(crowded.mapInArrow(prefix_lister(again, percent), "value long, node binary, n long, r long, often boolean"))
     lists = stage(rare.select("value", "node", "n", F.lit(0).cast("long").alias("r"), F.lit(False).alias("often")).union(shared_lists(dense).select(dense.columns)))
     sketch = stage(nodes.select("node", "sketch").join(lists.select("node").distinct(), "node", "left_semi"))
 
@@ -215,9 +215,9 @@ def links(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
         tested = pairs if tested is None else tested.union(pairs)
         side = lambda t, c, as_: t.select(F.col("node").alias(c), F.col(t.columns[1]).alias(as_))
         near = stage(few(few(pairs.join(side(sketch, "a", "x"), "a")).join(side(sketch, "b", "y"), "b")
-                         .select("a", "b", "x", "y").mapInArrow(likely, "a string, b string")))
+                         .select("a", "b", "x", "y").mapInArrow(likely, "a binary, b binary")))
         sure = stage(few(few(near.join(side(sets, "a", "x"), "a")).join(side(sets, "b", "y"), "b")
-                         .select("a", "b", "x", "y").mapInArrow(confirmer(percent), "a string, b string")))
+                         .select("a", "b", "x", "y").mapInArrow(confirmer(percent), "a binary, b binary")))
         if sure.isEmpty():
             continue
         found = sure if found is None else found.union(sure)
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     source = identified(docs)
     of_id = docs.schema["doc_id"].dataType.simpleString()
-    drawn = stage(source.mapInArrow(sketches, f"doc_id {of_id}, row long, idh long, n long, node string, sketch array<long>"))
+    drawn = stage(source.mapInArrow(sketches, f"doc_id {of_id}, row long, idh long, n long, node binary, sketch array<long>"))
     full, empty = drawn.where("n > 0"), drawn.where("n = 0")
     nodes = stage(full.groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "idh")).alias("head"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     groups = links(nodes, source, percent)
     joined = nodes.select("node", "doc_id") if groups is None else nodes.select("node", "doc_id").join(groups, "node", "left")
     root = F.col("node") if groups is None else F.coalesce("root", "node")
-    joined = stage(joined.withColumn("component", root))
+    joined = stage(joined.withColumn("component", F.hex(root)))
     lowest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = stage(joined.select("node", "component").join(lowest, "component"))
     columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component", "row", "idh"]
