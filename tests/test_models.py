@@ -114,3 +114,35 @@ def test_clusters_are_ordered_by_stress(prepared):
     means = got.groupBy("cluster").agg(F.avg("burnout").alias("b"), F.avg("sprint_risk").alias("s"),
                                        F.avg("workload").alias("w")).orderBy("cluster").collect()
     assert [m["cluster"] for m in means] == [0, 1, 2] and means[0]["w"] < means[2]["w"]
+
+
+def test_scenarios_need_no_label_and_may_lack_features(spark, prepared):
+    fitted = {"sprint": models.fit_pipeline(prepared, models.OBJECTIVES["sprint"], lambda n, rows: models.gaussian_nb())[0],
+              "ttr": models.fit_pipeline(prepared, models.OBJECTIVES["ttr"], lambda n, rows: models.ridge(n, models.label_deviation(rows)))[0]}
+    form = spark.createDataFrame([(1, 20.0, None, "Bug", 8.0), (2, 20.0, 5.0, "Novelty", None)],
+                                 "row_id long, Planned_Story_Points_Sprint double, Blocked_Stories double, Issue_Type string, Original_Estimate_Hours double")
+    got = {(r["row_id"], r["objective"]): r for r in models.score_scenarios(form, fitted).collect()}
+    assert len(got) == 4 and all(0 <= got[i, "sprint"]["p"] <= 1 for i in (1, 2))
+    assert np.isclose(got[1, "ttr"]["delta"], got[1, "ttr"]["prediction"] - 8.0)
+    assert np.isclose(got[2, "ttr"]["delta"], got[2, "ttr"]["prediction"])
+
+
+def test_predictions_of_training_rows_match_the_split(prepared):
+    pipeline, _, test = models.fit_pipeline(prepared, models.OBJECTIVES["workload"], lambda n, rows: models.gaussian_nb())
+    want = {r["row_id"]: r["pred"] for r in models.classify(pipeline, test).collect()}
+    got = {r["row_id"]: r["pred_workload"] for r in models.with_predictions(prepared, {"workload": pipeline}).select("row_id", "pred_workload").collect()}
+    assert len(got) == prepared.count() and all(got[i] == p for i, p in want.items())
+
+
+def test_allocation_learns_its_classes(prepared):
+    ninth = prepared.withColumn("Assignee_Resource", F.when(F.col("row_id") % 7 == 0, "Zoe").otherwise(F.col("Assignee_Resource")))
+    s = models.prepare_split(ninth, models.OBJECTIVES["alloc"])
+    assert s.classes == sorted(s.classes) and "Zoe" in s.classes and s.train.count() + s.test.count() == ninth.count()
+    assert {r[0] for r in s.train.select("label").distinct().collect()} == set(map(float, range(len(s.classes))))
+
+
+def test_unknown_categories_get_their_own_columns(prepared):
+    odd = prepared.withColumn("Issue_Type", F.when(F.col("row_id") % 5 == 0, "Chore").otherwise(F.col("Issue_Type")))
+    flags = encode.one_hot(encode.levels_of(odd, ["Issue_Type"]))
+    assert "Issue_Type_Chore" in flags
+    assert odd.select(sum(flags.values()).alias("n")).where("n <> 1").isEmpty()

@@ -66,7 +66,7 @@ def levels_of(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> dict[
     """The distinct values of columns that are to become indicator columns."""
     out = {}
     for c in columns:
-        found = [row[0] for row in df.select(c).distinct().limit(limit + 1).collect()]
+        found = [row[0] for row in df.select(c).where(F.col(c).isNotNull()).distinct().limit(limit + 1).collect()]
         if len(found) > limit:
             raise ValueError(f"{c} has more than {limit} values; encode it instead of one-hot")
         out[c] = sorted(found)

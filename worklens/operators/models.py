@@ -19,12 +19,12 @@ from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembl
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from worklens import columns as C
 from worklens.operators import encode
 from worklens.operators.features import engineer_features
-from worklens.operators.prep import present
+from worklens.operators.prep import col_or_zero, present
 from worklens.storage import stage
 
 SEED = 42
@@ -40,11 +40,10 @@ class Objective:
     one_hot: Mapping[str, Sequence[str] | None] = field(default_factory=dict)
 
 
-_TTR_LEVELS = {"Issue_Type": C.ISSUE_TYPES, "Priority": C.PRIORITIES}
 OBJECTIVES = {
     "sprint": Objective("sprint", "Success_Label", C.BASE_SPRINT),
     "workload": Objective("workload", "Expected_Overload", C.WORKLOAD),
-    "ttr": Objective("ttr", "Resolution_Time_Hours", C.TTR_NUMERIC, _TTR_LEVELS),
+    "ttr": Objective("ttr", "Resolution_Time_Hours", C.TTR_NUMERIC, {"Issue_Type": None, "Priority": None}),
     "burnout": Objective("burnout", "Risk_Flag", C.BURNOUT),
     "alloc": Objective("alloc", "Assignee_Resource", C.ALLOC),
 }
@@ -71,6 +70,21 @@ def training_table(df: DataFrame, objective: Objective, extra: Sequence[str] = (
                      *[F.col(n).cast("double").alias(n) for n in numeric]), names
 
 
+def label_classes(df: DataFrame, objective: Objective) -> list[str] | None:
+    """The sorted classes of a label of text; None for a numeric label."""
+    if not isinstance(df.schema[objective.label].dataType, T.StringType):
+        return None
+    return encode.levels_of(df, [objective.label])[objective.label]
+
+
+def with_label_codes(df: DataFrame, objective: Objective, classes: Sequence[str] | None) -> DataFrame:
+    """The label as its place among the classes; rows without a label are left out."""
+    if classes is None:
+        return df
+    code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(objective.label)) - 1
+    return df.where(F.col(objective.label).isNotNull()).withColumn(objective.label, code.cast("int"))
+
+
 def fit_scaler(train: DataFrame, names: Sequence[str]) -> PipelineModel:
     """Assembler and scaler; the scaler divides by the population deviation."""
     n = train.count()
@@ -91,6 +105,8 @@ class Split:
     scaler: PipelineModel
     names: list[str]
     n_train: int
+    # names of the label codes 0, 1, ... where the label was text
+    classes: list[str] | None = None
 
 
 def _vectors(df: DataFrame, scaler: PipelineModel, weight: Column) -> DataFrame:
@@ -101,13 +117,14 @@ def _vectors(df: DataFrame, scaler: PipelineModel, weight: Column) -> DataFrame:
 def prepare_split(df: DataFrame, objective: Objective, extra: Sequence[str] = (), balanced: bool = False,
                   drop_first: bool = False) -> Split:
     """80/20 hash split, scaled on the training part and staged for repeated passes."""
-    table, names = training_table(df, objective, extra, drop_first)
+    classes = label_classes(df, objective)
+    table, names = training_table(with_label_codes(df, objective, classes), objective, extra, drop_first)
     table = stage(table, by="row_id")
     train, test = encode.split_80_20(table)
     scaler = fit_scaler(train, names)
     weight = encode.binary_weight(train, "label") if balanced else F.lit(1.0)
     train_v = stage(_vectors(train, scaler, weight), by="row_id")
-    return Split(train_v, _vectors(test, scaler, F.lit(1.0)), scaler, names, train_v.count())
+    return Split(train_v, _vectors(test, scaler, F.lit(1.0)), scaler, names, train_v.count(), classes)
 
 
 # -- estimators ----------------------------------------------------------------
@@ -197,19 +214,52 @@ def fit_pipeline(df: DataFrame, objective: Objective, make, balanced: bool = Fal
     return PipelineModel(stages=[*scaler.stages, model]), train, test
 
 
+def fitted_inputs(df: DataFrame, objective: Objective, names: Sequence[str]) -> dict[str, Column]:
+    """The features a pipeline was fitted on, for rows that need no label.
+
+    Absent columns and missing values count as 0; a category unknown to the fit sets no indicator.
+    """
+    def value(name: str) -> Column:
+        for c in objective.one_hot:
+            if name.startswith(f"{c}_"):
+                return F.when(F.col(c) == name[len(c) + 1:], 1.0).otherwise(0.0) if c in df.columns else F.lit(0.0)
+        return F.coalesce(col_or_zero(df, name).cast("double"), F.lit(0.0))
+
+    return {name: value(name) for name in names}
+
+
+def _scored_rows(df: DataFrame, objective: Objective, model: PipelineModel) -> DataFrame:
+    """The row as one struct ``_row``, beside its inputs and what the pipeline adds."""
+    names = model.stages[0].getInputCols()
+    derived = set(names) & {*C.ENGINEERED, *C.NOVEL}
+    if derived - set(df.columns):
+        df = engineer_features(df, novel=bool(derived & set(C.NOVEL)))
+    inputs = fitted_inputs(df, objective, names)
+    return model.transform(df.select(F.struct("*").alias("_row"), *[e.alias(n) for n, e in inputs.items()]))
+
+
+def with_predictions(df: DataFrame, fitted: Mapping[str, PipelineModel]) -> DataFrame:
+    """``df`` plus ``pred_<objective>`` and ``p_<objective>`` of every fitted 0/1 classifier; no shuffle."""
+    for name, model in fitted.items():
+        df = _scored_rows(df, OBJECTIVES[name], model).select(
+            "_row.*", F.col("prediction").cast("int").alias(f"pred_{name}"), vector_to_array("probability")[1].alias(f"p_{name}"))
+    return df
+
+
 def score_scenarios(df: DataFrame, fitted: Mapping[str, PipelineModel]) -> DataFrame:
     """All scenarios under all fitted objectives: (row_id, objective, prediction, p, delta).
 
-    ``delta`` is predicted minus estimated hours for time-to-resolve.
+    Scenarios need no label and may lack features. ``delta`` is predicted minus estimated
+    hours for time-to-resolve.
     """
     parts = []
     for name, model in fitted.items():
-        rows, _ = training_table(df, OBJECTIVES[name])
-        out = model.transform(rows)
+        out = _scored_rows(df, OBJECTIVES[name], model).withColumn("row_id", F.col("_row.row_id"))
         if name == "ttr":
             hours = F.greatest(F.col("prediction"), F.lit(0.0))
+            estimate = F.coalesce("_row.Original_Estimate_Hours", F.lit(0.0)) if "Original_Estimate_Hours" in df.columns else F.lit(0.0)
             out = out.select("row_id", F.lit(name).alias("objective"), hours.alias("prediction"),
-                             F.lit(None).cast("double").alias("p"), (hours - F.col("Original_Estimate_Hours")).alias("delta"))
+                             F.lit(None).cast("double").alias("p"), (hours - estimate).alias("delta"))
         else:
             out = out.select("row_id", F.lit(name).alias("objective"), F.col("prediction"),
                              vector_to_array("probability")[1].alias("p"), F.lit(None).cast("double").alias("delta"))

@@ -69,13 +69,6 @@ def align(df: DataFrame, features: Iterable[str], keep: Iterable[str] = ("row_id
                      *[col_or_zero(df, f).cast("double").alias(f) for f in features])
 
 
-def risk_flags(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "at_risk": (F.col("Success_Label") == 0).cast("int"),
-        "overloaded": (F.col("Expected_Overload") == 1).cast("int"),
-    })
-
-
 def rule_prediction(df: DataFrame) -> DataFrame:
     """The deterministic prediction used to exercise metrics: percent done as P(success)."""
     p = F.col("Percent_Done") / 100.0

@@ -47,6 +47,7 @@ CHAIN_TEXT = {
 }
 P1, P2, P3 = "\U0001F534 P1 — Immediate", "\U0001F7E1 P2 — This Sprint", "\U0001F4A1 P3 — Next Sprint"
 STEP_ICON = {"done": "✅", "alert": "⚠️", "action": "\U0001F4A1"}
+CLOSING = ("*Report auto-generated by the Agentic AI layer. ", " rows × 5 objectives scanned.*")
 STATUS_ICON = {"Healthy": "\U0001F7E2", "Needs Attention": "\U0001F7E1", "At Risk": "\U0001F534"}
 
 
@@ -230,5 +231,6 @@ def report_markdown(scanned: DataFrame, group_cols: Sequence[str] = ()) -> DataF
                      F.lit(" warning(s). "), text("healthy"), F.lit(" objective(s) returned healthy signals.")),
             F.lit("### Findings")),
         open_items, F.array(F.lit("### Healthy Signals")), good_items,
-        F.array(F.lit("### Chained Recommendations")), steps)
+        F.array(F.lit("### Chained Recommendations")), steps,
+        F.array(F.lit("---"), F.concat(F.lit(CLOSING[0]), text("records"), F.lit(CLOSING[1]))))
     return scanned.select(*group_cols, F.concat_ws("\n", lines).alias("report"))

@@ -241,7 +241,7 @@ def actions(keys: tuple[str, ...]) -> str:
         *scan_ctes(keys))
 
 
-def report(keys: tuple[str, ...]) -> str:
+def report(keys: tuple[str, ...], ctes: list[str] | None = None) -> str:
     k = "".join(f"{c}, " for c in keys)
     part_by = "group by " + ", ".join(keys) if keys else ""
     icon = f"case {BAND} " + " ".join(f"when {_q(b)} then {_q(i)}" for b, i in S.STATUS_ICON.items()) + " end"
@@ -258,8 +258,9 @@ def report(keys: tuple[str, ...]) -> str:
         f"select {k}2, 0, '### Healthy Signals' from he",
         f"select {k}3, seq, {bullet} from fi where severity = 'success'",
         f"select {k}4, 0, '### Chained Recommendations' from he",
-        f"select {k}5, step, '**Step ' || step || '** ' || {step_icon} || ' ' || label || chr(10) || detail from ch"])
-    return on(f"select {k}string_agg(line, chr(10) order by sec, ord) as report from ({rows}) {part_by}", *scan_ctes(keys))
+        f"select {k}5, step, '**Step ' || step || '** ' || {step_icon} || ' ' || label || chr(10) || detail from ch",
+        f"select {k}6, 0, '---' || chr(10) || '*Report auto-generated by the Agentic AI layer. ' || n || ' rows × 5 objectives scanned.*' from he"])
+    return on(f"select {k}string_agg(line, chr(10) order by sec, ord) as report from ({rows}) {part_by}", *(ctes or scan_ctes(keys)))
 
 
 def flat_sql() -> dict[str, str]:
@@ -530,7 +531,7 @@ def report_rows() -> str:
         RULE, f"pc as (select *, {f1} as f1 from ({per}))")
 
 
-def wide_sql(draws: int = 100) -> dict[str, str]:
+def wide_sql(draws: int = 1000) -> dict[str, str]:
     onehot = [(c, v) for c, vs in (("Issue_Type", C.ISSUE_TYPES), ("Priority", C.PRIORITIES)) for v in sorted(vs)]
     scored = (f"ps as (select *, {score()} as prob from (select *, {PL} as pl, {CO} as co, Percent_Done as pc, {DA} as da, {VE} as ve, "
               f"{BL} as bl, {SC} as sc, {WL} as wl, {CN} as cn from p))")
@@ -585,5 +586,42 @@ def gaussian_nb() -> str:
         *zscores(C.WORKLOAD, "row_id, label", "te", "tr"), stats, eps, ll)
 
 
+def bayes_ctes(tag: str, cols: tuple[str, ...], label: str) -> list[str]:
+    """``b_<tag>`` (row_id, pred, prob): what a model fitted on the training part says of every row."""
+    w = range(len(cols))
+    pick = ", ".join(f"cast({c} as double) as x{j}" for j, c in enumerate(cols))
+    scale = ", ".join(f"avg(x{j}) as m{j}, case when stddev_pop(x{j}) = 0 then 1e0 else stddev_pop(x{j}) end as s{j}" for j in w)
+    zs = ", ".join(f"(x{j} - m{j}) / s{j} as f{j}" for j in w)
+    lik = " + ".join(f"-0.5e0 * (ln({2.0 * math.pi!r}e0 * (v{j} + eps)) + (f{j} - m{j}) * (f{j} - m{j}) / (v{j} + eps))" for j in w)
+    return [
+        f"x_{tag} as (select row_id, {label} as label, {PART} <> 0 as fits, {pick} from p)",
+        f"z_{tag} as (select row_id, label, fits, {zs} from x_{tag}, (select {scale} from x_{tag} where fits))",
+        f"c_{tag} as (select label, count(*) as n, " + ", ".join(f"avg(f{j}) as m{j}, var_pop(f{j}) as v{j}" for j in w) + f" from z_{tag} where fits group by label)",
+        f"e_{tag} as (select 1e-9 * greatest(" + ", ".join(f"var_pop(f{j})" for j in w) + f") as eps, count(*) as total from z_{tag} where fits)",
+        f"l_{tag} as (select row_id, c_{tag}.label as c, ln(n * 1e0 / total) + {lik} as ll from z_{tag}, c_{tag}, e_{tag})",
+        f"b_{tag} as (select row_id, case when l1 > l0 then 1 else 0 end as pred, case when l0 - l1 > 7e2 then 0e0 else 1e0 / (1e0 + exp(l0 - l1)) end as prob from "
+        f"(select row_id, max(case when c = 0 then ll end) as l0, max(case when c = 1 then ll end) as l1 from l_{tag} group by row_id))"]
+
+
+def scanned_by_models() -> list[str]:
+    parts = {"sprint": (C.BASE_SPRINT, "Success_Label"), "workload": (C.WORKLOAD, "Expected_Overload"), "burnout": (C.BURNOUT, "Risk_Flag")}
+    added = ", ".join(f"b_{t}.pred as pred_{t}, b_{t}.prob as p_{t}" for t in parts)
+    joined = " ".join(f"join b_{t} on b_{t}.row_id = p.row_id" for t in parts)
+    return [*[cte for t, (cols, label) in parts.items() for cte in bayes_ctes(t, cols, label)],
+            f"pf as (select p.*, {added} from p {joined})",
+            *scan_ctes((), "pf", "pred_sprint = 0", "p_sprint", "pred_workload = 1", "p_workload", "pred_burnout = 1")]
+
+
+def fitted_sql() -> dict[str, str]:
+    scanned = scanned_by_models()
+    return {
+        "fit_gnb": gaussian_nb(),
+        "agent_scan_fitted": on("select * from fi", *scanned),
+        "decision_chain_fitted": on("select * from ch", *scanned),
+        "health_score_fitted": on(f"select criticals, warnings, health, {BAND} as band from he", *scanned),
+        "report_fitted": report((), scanned),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return flat_sql() | wide_sql() | {"fit_gnb": gaussian_nb()}
+    return flat_sql() | wide_sql() | fitted_sql()

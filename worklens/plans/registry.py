@@ -77,6 +77,8 @@ ALLOCATION = ("row_id", "Summary", "Labels", "Original_Estimate_Resource", "Stor
 SPRINT_INPUTS = ("row_id", "Sprint_Number", *features.INPUTS.values())
 LOOKUP = ("row_id", "Success_Label", *C.BASE_SPRINT)
 BY_SPRINT, BY_RESOURCE = ("Sprint_Number",), ("Resource_ID",)
+DURATION_INPUTS = ("row_id", "Resolution_Time_Hours", *C.TTR_NUMERIC, "Issue_Type", "Priority", *features.INPUTS.values())
+SCAN_INPUTS = ("row_id", *C.LABEL_THRESHOLDS, *C.BASE_SPRINT, *C.WORKLOAD, *C.BURNOUT)
 
 
 def _scanned(product, group_cols=()) -> Query:
@@ -153,8 +155,8 @@ def _flat_queries() -> dict[str, Query]:
     }
 
 
-# Draws per row in the registered simulation; the operator's default is 1000.
-DRAWS = 100
+# Draws per row in the registered simulation.
+DRAWS = 1000
 
 
 def _allocation_rows(df: DataFrame) -> DataFrame:
@@ -162,7 +164,7 @@ def _allocation_rows(df: DataFrame) -> DataFrame:
 
 
 def _one_hot(df: DataFrame) -> DataFrame:
-    flags = encode.one_hot({"Issue_Type": C.ISSUE_TYPES, "Priority": C.PRIORITIES})
+    flags = encode.one_hot(encode.levels_of(df, ["Issue_Type", "Priority"]))
     return df.select("row_id", *[e.alias(n) for n, e in flags.items()])
 
 
@@ -203,7 +205,7 @@ def _wide_queries() -> dict[str, Query]:
     return {
         "label_encode": _on_staged(("row_id", "Summary", "Labels"), lambda df: _allocation_rows(df).select("row_id", "Summary_enc", "Labels_enc")),
         "standardize": _on_staged(("row_id", *C.BASE_SPRINT), lambda df: encode.standardize(df, C.BASE_SPRINT)),
-        "one_hot": on(_one_hot),
+        "one_hot": _on_staged(("row_id", "Issue_Type", "Priority"), _one_hot),
         "split_80_20": on(encode.split_rows),
         "stratified_folds": on(lambda df: encode.stratified_folds(df.select("row_id", "Success_Label"), "Success_Label")),
         "class_weights": on(lambda df: encode.class_weights(df, "Success_Label")),
@@ -242,7 +244,7 @@ def _regressor(make: Callable[[models.Split], object], **options) -> Query:
     def op(df: DataFrame) -> DataFrame:
         s = _split(df, "ttr", **options)
         return models.regress(make(s).fit(s.train), s.test)
-    return _on_prepared(op)
+    return _on_staged(DURATION_INPUTS, op)
 
 
 def _members(n: int) -> dict[str, object]:
@@ -250,11 +252,9 @@ def _members(n: int) -> dict[str, object]:
 
 
 def _adaboost_allocation(df: DataFrame) -> DataFrame:
-    people = sorted(C.ASSIGNEES)
-    code = F.array_position(F.array(*[F.lit(a) for a in people]), F.col("Assignee_Resource")) - 1
-    s = _split(df.withColumn("Assignee_Resource", code.cast("int")), "alloc")
-    model = ensembles.AdaBoost(BOOSTS, classes=len(people)).fit(s.train)
-    names = F.array(*[F.lit(a) for a in people])
+    s = _split(df, "alloc")
+    model = ensembles.AdaBoost(BOOSTS, classes=len(s.classes)).fit(s.train)
+    names = F.array(*[F.lit(a) for a in s.classes])
     return model.transform(s.test).select("row_id", names[F.col("label").cast("int")].alias("y"),
                                           names[F.col("prediction").cast("int")].alias("predicted"))
 
@@ -311,6 +311,18 @@ def _scenarios(df: DataFrame) -> DataFrame:
     return models.score_scenarios(df, fitted)
 
 
+def _scanned_by_models(df: DataFrame) -> DataFrame:
+    """The scan of what Gaussian naive Bayes models of three objectives predict for every row."""
+    fitted = {name: models.fit_pipeline(df, models.OBJECTIVES[name], lambda n, rows: models.gaussian_nb())[0]
+              for name in ("sprint", "workload", "burnout")}
+    signals = risk_scan.prediction_signals(("pred_sprint", "p_sprint"), ("pred_workload", "p_workload"), "pred_burnout")
+    return risk_scan.scan(models.with_predictions(df, fitted), (), signals)
+
+
+def _with_models(product: Callable[[DataFrame], DataFrame]) -> Query:
+    return _on_staged(SCAN_INPUTS, lambda df: product(_scanned_by_models(df)))
+
+
 def _anomalies(df: DataFrame) -> DataFrame:
     return unsupervised.anomaly_flags(features.engineer_features(df), C.ANOMALY)
 
@@ -353,7 +365,11 @@ def _model_queries() -> dict[str, Query]:
         "calibrated_gbt": on(_calibrated),
         "baseline_delta": on(_baseline_delta),
         "feature_importance": on(_importance),
-        "score_scenarios": on(_scenarios),
+        "score_scenarios": _on_staged((*SCAN_INPUTS, *DURATION_INPUTS), _scenarios),
+        "agent_scan_fitted": _with_models(risk_scan.agent_scan),
+        "decision_chain_fitted": _with_models(risk_scan.decision_chain),
+        "health_score_fitted": _with_models(risk_scan.health_score),
+        "report_fitted": _with_models(risk_scan.report_markdown),
         "monte_carlo_fitted": _with_fitted(lambda df, score: whatif.monte_carlo(df, score, DRAWS)),
         "optimal_path_fitted": _with_fitted(whatif.optimal_path),
         "trajectory_fitted": _with_fitted(whatif.trajectory),

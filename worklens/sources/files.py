@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 
@@ -23,5 +25,6 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
 
-def write_text(df: DataFrame, column: str, path: str) -> None:
-    df.select(column).write.text(path)
+def write_text(df: DataFrame, column: str, path: str, keys: Sequence[str] = ()) -> None:
+    """One text per row; with ``keys``, in a folder for each of their values."""
+    df.select(*keys, column).write.partitionBy(*keys).text(path)
