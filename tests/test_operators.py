@@ -276,3 +276,12 @@ def test_pivot_keeps_people_outside_the_usual_list(spark, prepared):
     first = prepared.select(F.min(by)).first()[0]
     renamed = prepared.withColumn(by, F.when(F.col(by) == first, "Zoe").otherwise(F.col(by)))
     assert "Zoe" in rollups.workload_pivot(renamed).columns and first not in rollups.workload_pivot(renamed).columns
+
+
+def test_text_sink_keeps_keys(prepared, tmp_path):
+    scanned = risk_scan.scan(prepared, ["Sprint_Number"])
+    path = str(tmp_path / "keyed")
+    write_text(risk_scan.report_markdown(scanned, ["Sprint_Number"]), "report", path, ["Sprint_Number"])
+    back = prepared.sparkSession.read.text(path)
+    assert back.select("Sprint_Number").distinct().count() == scanned.count()
+    assert back.where("value like '%Report auto-generated%'").count() == scanned.count()
