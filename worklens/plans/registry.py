@@ -225,8 +225,9 @@ def _wide_queries() -> dict[str, Query]:
     }
 
 
-# Settings of the registered fits; the operators' defaults are the full sizes.
-ROUNDS, TREES, BOOSTS, FOLDS = 8, 10, 8, 3
+# Settings of the registered fits.
+ROUNDS, TREES, BOOSTS, FOLDS = 80, 60, 60, 5
+CALIBRATED_ROUNDS = 200
 
 
 def _split(df: DataFrame, objective: str, **options) -> models.Split:
@@ -260,7 +261,7 @@ def _adaboost_allocation(df: DataFrame) -> DataFrame:
 
 
 def _vote(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    s = _split(df, "sprint", extra=C.ENGINEERED)
+    s = _split(df, "sprint", extra=C.ENGINEERED, balanced=True)
     members = _members(s.n_train)
     return ensembles.vote_soft(ensembles.fit_members(members, s.train), s.test), list(members)
 
@@ -271,19 +272,19 @@ def _comparison(df: DataFrame) -> DataFrame:
 
 
 def _stacking(df: DataFrame) -> DataFrame:
-    s = _split(df, "sprint", extra=C.ENGINEERED)
+    s = _split(df, "sprint", extra=C.ENGINEERED, balanced=True)
     return ensembles.stacking(_members(s.n_train), s.train, s.test, FOLDS)
 
 
 def _scorecard(df: DataFrame) -> DataFrame:
-    s = _split(df, "sprint", extra=C.ENGINEERED)
+    s = _split(df, "sprint", extra=C.ENGINEERED, balanced=True)
     members = _members(s.n_train)
     return ensembles.cv_scorecard(ensembles.out_of_fold(members, s.train, FOLDS), list(members))
 
 
 def _calibrated(df: DataFrame) -> DataFrame:
     s = _split(df, "sprint", extra=C.ENGINEERED[:6] + C.NOVEL)
-    return ensembles.calibrated_gbt(s.train, s.test, FOLDS, ROUNDS)
+    return ensembles.calibrated_gbt(s.train, s.test, FOLDS, CALIBRATED_ROUNDS)
 
 
 def _baseline_delta(df: DataFrame) -> DataFrame:
