@@ -6,10 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from worklens.operators.ordering import hash_order_rank
-
-# A dictionary up to this many values is ranked in one task and broadcast.
-BOUNDED_VALUES = 100_000
+from worklens.operators.ordering import hash_order_rank, running_totals
 
 
 def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ("row_id",),
@@ -29,22 +26,15 @@ def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ("row_
     return df.select(*keep, *[z(c) for c in cols])
 
 
-def category_dict(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
-    """(value, code) with codes 0.. in sorted order, and whether it is small."""
-    values = df.select(F.col(column).cast("string").alias("value")).distinct()
-    small = values.limit(BOUNDED_VALUES + 1).count() <= BOUNDED_VALUES
-    if small:
-        coded = values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
-    else:
-        ranked = values.orderBy("value").rdd.zipWithIndex().map(lambda t: (t[0][0], t[1]))
-        coded = df.sparkSession.createDataFrame(ranked, "value string, code bigint")
-    return coded.select("value", F.col("code").cast("int").alias("code")), small
+def category_dict(df: DataFrame, column: str) -> DataFrame:
+    """(value, code) with codes 0.. in sorted order."""
+    values = df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
+    return running_totals(values, [], ["value"], {"n": F.lit(1)}).select("value", F.col("n_before").cast("int").alias("code"))
 
 
-def encode(df: DataFrame, column: str, dictionary: DataFrame, small: bool, alias: str) -> DataFrame:
-    """Left join on the dictionary; a value it lacks gets code 0."""
+def encode(df: DataFrame, column: str, dictionary: DataFrame, alias: str) -> DataFrame:
+    """Left join on the dictionary (broadcast when its measured size allows); a value it lacks gets code 0."""
     side = dictionary.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-    side = F.broadcast(side) if small else side
     joined = df.join(side, F.col(column).cast("string") == F.col("_value"), "left")
     return joined.withColumn(alias, F.coalesce("_code", F.lit(0))).drop("_value", "_code")
 
@@ -52,8 +42,7 @@ def encode(df: DataFrame, column: str, dictionary: DataFrame, small: bool, alias
 def label_encode(df: DataFrame, columns: Mapping[str, str], fit_on: DataFrame | None = None) -> DataFrame:
     """``columns`` maps a source column to the name of its code column."""
     for column, alias in columns.items():
-        dictionary, small = category_dict(df if fit_on is None else fit_on, column)
-        df = encode(df, column, dictionary, small, alias)
+        df = encode(df, column, category_dict(df if fit_on is None else fit_on, column), alias)
     return df
 
 

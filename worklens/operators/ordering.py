@@ -1,10 +1,11 @@
 """Order statistics that never sort a whole group in one task.
 
 Values are collapsed to distinct (key, value) rows first, so a hot value costs
-one row. Each key's value range is then cut into buckets; only per-bucket
-totals (a bounded table) are summed in one place, and exact order inside a
-bucket comes from a window over that bucket. Bucket edges are approximate
-quantiles: they decide the balance of the tasks, never the result.
+one row. Rows are then range-partitioned by (key, order) and written, each with
+the number of its partition: a key of any size spans as many partitions as it
+fills. Only the totals per key and partition are summed over a key, and exact
+order inside a partition comes from a window over it. Where the ranges are cut
+decides the balance of the tasks, never the result.
 """
 
 from __future__ import annotations
@@ -15,38 +16,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from worklens.storage import stage
 
-SPLITS, MAX_SPLITS = 64, 1024
 
-
-def _splits(df: DataFrame) -> int:
-    """Buckets per key: as many as the session has shuffle partitions, within limits."""
-    return min(MAX_SPLITS, max(SPLITS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
-def _with_bucket(df: DataFrame, keys: Sequence[str], value: str, splits: int) -> DataFrame:
-    """Adds ``_bucket``, non-decreasing in ``value`` within a key."""
-    cuts = F.percentile_approx(value, F.array(*[F.lit(i / splits) for i in range(1, splits)]), 1000)
-    place = F.size(F.filter("_edges", lambda e: e <= F.col(value)))
-    if keys:
-        with_edges = df.join(df.groupBy(*keys).agg(cuts.alias("_edges")), list(keys))
-    else:
-        with_edges = df.withColumn("_edges", df.agg(cuts.alias("_edges")).scalar())
-    return with_edges.withColumn("_bucket", place).drop("_edges")
-
-
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column | str],
-                   bucket: Column | None = None, splits: int | None = None) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column | str]) -> DataFrame:
     """``df`` plus, for each sum: ``<name>_before`` (strictly earlier rows of the
     key) and ``<name>_total`` (the whole key).
 
-    (keys, order) must identify a row. ``bucket`` may name a bucket that is
-    non-decreasing in ``order``; otherwise edges are taken from ``order[0]``.
+    (keys, order) must identify a row.
     """
     keys = list(keys)
-    # The input is read three times (edges, bucket totals, rows): stage it once.
-    df = stage(df.withColumns({f"_{n}": (F.col(e) if isinstance(e, str) else e) for n, e in sums.items()}))
-    bucketed = (df.withColumn("_bucket", bucket) if bucket is not None
-                else _with_bucket(df, keys, order[0], splits or _splits(df)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summed = df.withColumns({f"_{n}": (F.col(e) if isinstance(e, str) else e) for n, e in sums.items()})
+    # staged, so that a row keeps its partition's number in both passes
+    bucketed = stage(summed.repartitionByRange(parts, *keys, *order).withColumn("_bucket", F.spark_partition_id()))
     per_bucket = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(f"_{n}").alias(f"_{n}_sum") for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -59,19 +40,15 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
     local = bucketed.withColumns({f"_{n}_local": F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0)) for n in sums})
     joined = local.join(offsets, [*keys, "_bucket"])
     return joined.select(
-        *[c for c in df.columns if c[1:] not in sums or not c.startswith("_")],
+        *df.columns,
         *[(F.col(f"_{n}_local") + F.col(f"_{n}_offset")).alias(f"{n}_before") for n in sums],
         *[F.col(f"{n}_total") for n in sums])
 
 
-def hash_order_rank(df: DataFrame, keys: Sequence[str], row_id: str = "row_id", digits: int = 3) -> DataFrame:
-    """Adds ``rank`` (0-based) in the order of md5(row_id) within each key.
-
-    The first hex digits of the hash are uniform, so they are the buckets.
-    """
+def hash_order_rank(df: DataFrame, keys: Sequence[str], row_id: str = "row_id") -> DataFrame:
+    """Adds ``rank`` (0-based) in the order of md5(row_id) within each key."""
     hashed = df.withColumn("_h", F.md5(F.col(row_id).cast("string")))
-    out = running_totals(hashed, keys, ["_h", row_id], {"n": F.lit(1)},
-                         bucket=F.substring("_h", 1, digits))
+    out = running_totals(hashed, keys, ["_h", row_id], {"n": F.lit(1)})
     return out.withColumn("rank", F.col("n_before")).drop("_h", "n_before", "n_total")
 
 
