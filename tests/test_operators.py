@@ -192,8 +192,7 @@ def test_label_encode_unseen_is_zero(spark):
     assert [r["code"] for r in encode.label_encode(new, {"v": "code"}, fit_on=fit).collect()] == [2, 0, 0]
 
 
-def test_large_dictionary_path(spark, monkeypatch):
-    monkeypatch.setattr(encode, "BOUNDED_VALUES", 2)
+def test_dictionary_is_in_sorted_order(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "v string")
     got = encode.label_encode(df, {"v": "code"}).distinct().collect()
     assert {r["v"]: r["code"] for r in got} == {"a": 0, "b": 1, "c": 2}
