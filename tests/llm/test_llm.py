@@ -134,6 +134,20 @@ def test_near_duplicates_of_a_crowd(spark):
     assert {i: low[g] for (i, _), g in zip(data, groups)} == got.to_dict()
 
 
+def test_stage_links_from_80_percent_and_op2_from_85(spark, tmp_path):
+    """96 shingles; with the last k words changed, 96 - k of 96 + k are shared: 0.864, 0.811 and 0.794."""
+    words = long_text(21, 100).split()
+    texts = {0: words, **{k: words[:-k] + [f"new{k}x{j}" for j in range(k)] for k in (7, 10, 11)}}
+    by_pair = {k: len(shingles(" ".join(words)) & shingles(" ".join(t))) / len(shingles(" ".join(words)) | shingles(" ".join(t))) for k, t in texts.items()}
+    assert by_pair[7] >= 0.85 > by_pair[10] >= 0.8 > by_pair[11]
+    for k, kept, groups in ((7, 1, 1), (10, 1, 2), (11, 2, 2)):
+        df = spark.createDataFrame([(0, " ".join(words)), (k, " ".join(texts[k]))], "doc_id long, text string")
+        df.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        assert near_dedup.keep_one_each(df).count() == kept
+        got = near_dedup.op2_minhash_near_dedup(spark, f"{tmp_path}/{k}")
+        assert got.select("component_id").distinct().count() == groups
+
+
 def test_licenses(docs, empty):
     got = {(r["doc_id"], r["n_words"]): r for r in licenses.scan_licenses(docs).collect()}
     assert len(licenses.scan_licenses(docs).collect()) == len(ROWS)

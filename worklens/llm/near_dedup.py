@@ -17,8 +17,10 @@ list compares its members with one pivot (at first the one with the fewest rare
 only members of different groups so far. Lists that still hold several groups then compare
 the members of different groups with one another, in full and whatever their length: nothing
 is capped. Outside crowds a pair at the threshold escapes only if no shared shingle is among
-the first two dozen rare values (odds near 0.15^24), anywhere only if the estimate is off by
-seven deviations.
+the first two dozen rare values (odds near 0.15^24 at 85 percent, 0.2^24 at 80), anywhere only
+if the estimate is off by seven deviations (six at 80 percent).
+
+``op2_minhash_near_dedup`` links at 85 percent, as its contract says; the pipeline's stage at 80.
 
 Edge cases: null and empty texts (no word) have an empty set and are linked with nothing. Under
 five words the whole sequence is the one shingle. Rows of equal sets are one group whatever
@@ -259,10 +261,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("component", "row", "idh")
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("component", "row", "idh")
 
 
-def keep_one_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_one_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Pipeline stage: of each group the document with the smallest id (ties: the smallest text hash) stays, once."""
     decided = near_duplicates(docs.select("doc_id", "text"), percent)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "idh")).alias("first")
