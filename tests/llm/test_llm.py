@@ -199,6 +199,23 @@ def test_entropy(spark, word, hit):
     assert bool(secrets.find_secrets(df, ["doc_id"]).first()["extra"]) == hit
 
 
+KEYS = {"hex": "9f86d081884c7d659a2fea", "mixed": "aB3dE5gH7jK9mN1pQ3sT5vW7xY9z", "upper_hex": "9233A8ECF7C5B09FE5949719B6B82BC439E9329B",
+        "upper": "JBSWY3DPEHPK3PXPNZ4WC5TFOI2GQ6LB", "lower": "k3x9q0zv7m2hw8rt5ynb4jc6pd1gs7fu2ea0lo9i"}
+
+
+@pytest.mark.parametrize("kind", KEYS)
+def test_entropy_of_each_class(spark, kind):
+    """Without a keyword; the plain count of one class agrees, and a dull run of the same class stays."""
+    dull = {"hex": "0" * 20, "mixed": "aB1" * 8, "upper_hex": "AB1" * 8, "upper": "XYZ1" * 7, "lower": "xyz1" * 7}[kind]
+    bits = lambda w: -sum(n / 20 * np.log2(n / 20) for n in (w.count(c) for c in set(w)))
+    best = lambda t: max(bits(t[i:i + 20]) for i in range(len(t) - 19))
+    assert best(KEYS[kind]) >= secrets.BITS[kind] > best(dull)
+    text = f"see {KEYS[kind]} and {dull}."
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(s["start"], s["end"]) for s in secrets.find_secrets(df, ["doc_id"]).first()["extra"]] == [(4, 4 + len(KEYS[kind]))]
+    assert secrets.mask_secrets(df).first()["text"] == f"see [SECRET] and {dull}."
+
+
 def test_mixing_stage(docs, empty):
     out = mixing.repeat_to_mix(docs)
     assert out.columns == docs.columns and mixing.repeat_to_mix(empty).count() == 0

@@ -4,9 +4,11 @@ The first three kinds are patterns. The fourth is Shannon entropy over a sliding
 ``WINDOW`` characters of every candidate string (a run of at least that many letters, digits
 and ``+/_=-`` with a digit in it). A fold moves the window by one character at a time: it
 takes the leaving character out of the counts, puts the entering one in and adjusts the sum of
-c * log2(c), kept as whole thousandths so that no rounding builds up. Windows of hex digits
-only and windows mixing digits, lower and upper case have their own thresholds; the best window
-of each class decides. Candidates on the allow-list (placeholders, identifiers) or overlapping
+c * log2(c), kept as whole thousandths so that no rounding builds up. Each class of windows has
+its own threshold, and the best window of each decides: hex digits only in lower or in upper
+case, digits with lower and upper case, digits with upper case only and digits with lower case
+only. The last two hold nothing but letters and digits, as words joined by ``-``, ``_`` or ``/``
+are as varied as keys. Candidates on the allow-list (placeholders, identifiers) or overlapping
 a pattern's span are suppressed; pattern spans always stay.
 
 Spans count code points, the end is exclusive.
@@ -19,6 +21,8 @@ are read, so other columns cannot clash. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -33,7 +37,7 @@ KINDS = {
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST_SECRET = 6
 WINDOW = 20
-BITS = {"hex": 2.9, "mixed": 3.7}
+BITS = {"hex": 2.9, "mixed": 3.7, "upper_hex": 2.9, "upper": 3.5, "lower": 3.5}
 #: Strings that hold one of these (in either case) are no secrets, nor are UUIDs.
 ALLOWED = ("example", "sample", "dummy", "placeholder", "changeme", "your_", "your-", "xxxx", "0123456789", "deadbeef")
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
@@ -66,7 +70,7 @@ def _spans(text: Column, pattern: str, hits: Column, rank: int, kind: str, good:
 
 
 def _least_sums(string: Column) -> Column:
-    """Struct (hex, mixed): the least sum of weights over the string's windows of each class."""
+    """Struct (one field for each of ``BITS``): the least sum of weights over the string's windows of the class."""
     n = F.length(string)
     code = lambda i: F.ascii(F.substring(string, i, F.lit(1)))
     weights = F.array(*[F.lit(w) for w in WEIGHTS])
@@ -74,6 +78,7 @@ def _least_sums(string: Column) -> Column:
     between = lambda c, a, b: c.between(ord(a), ord(b)).cast("int")
     classes = {
         "hexes": lambda c: between(c, "0", "9") + between(c, "a", "f"),
+        "upper_hexes": lambda c: between(c, "0", "9") + between(c, "A", "F"),
         "digits": lambda c: between(c, "0", "9"),
         "lowers": lambda c: between(c, "a", "z"),
         "uppers": lambda c: between(c, "A", "Z"),
@@ -89,17 +94,22 @@ def _least_sums(string: Column) -> Column:
         counts = F.when(same, acc["counts"]).otherwise(F.transform(
             acc["counts"], lambda c, j: c + (j == enters).cast("int") - (j == leaves).cast("int")))
         sums = {k: acc[k] + f(enters) - F.when(leaves >= 0, f(leaves)).otherwise(0) for k, f in classes.items()}
-        hexed = (i >= WINDOW) & (sums["hexes"] == WINDOW)
-        mixed = (i >= WINDOW) & (sums["digits"] > 0) & (sums["lowers"] > 0) & (sums["uppers"] > 0)
+        digits, lowers, uppers = sums["digits"], sums["lowers"], sums["uppers"]
+        within = {
+            "hex": sums["hexes"] == WINDOW,
+            "mixed": (digits > 0) & (lowers > 0) & (uppers > 0),
+            "upper_hex": sums["upper_hexes"] == WINDOW,
+            "upper": (digits > 0) & (uppers > 0) & (digits + uppers == WINDOW),
+            "lower": (digits > 0) & (lowers > 0) & (digits + lowers == WINDOW),
+        }
         return F.struct(
             counts.alias("counts"), total.alias("total"), *[v.alias(k) for k, v in sums.items()],
-            F.when(hexed, F.least(acc["hex"], total)).otherwise(acc["hex"]).alias("hex"),
-            F.when(mixed, F.least(acc["mixed"], total)).otherwise(acc["mixed"]).alias("mixed"))
+            *[F.when((i >= WINDOW) & within[k], F.least(acc[k], total)).otherwise(acc[k]).alias(k) for k in BITS])
 
     top = F.lit(WEIGHTS[-1] + 1)
     start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).alias("total"), *[F.lit(0).alias(k) for k in classes],
-                     top.alias("hex"), top.alias("mixed"))
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: F.struct(acc["hex"].alias("hex"), acc["mixed"].alias("mixed")))
+                     *[top.alias(k) for k in BITS])
+    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: F.struct(*[acc[k].alias(k) for k in BITS]))
 
 
 def _suspicious(string: Column) -> Column:
@@ -108,7 +118,7 @@ def _suspicious(string: Column) -> Column:
     for word in ALLOWED:
         allowed = allowed | plain.contains(word)
     sums = _least_sums(string)
-    over = F.exists(F.array(sums), lambda s: (s["hex"] <= LIMITS["hex"]) | (s["mixed"] <= LIMITS["mixed"]))
+    over = F.exists(F.array(sums), lambda s: reduce(or_, [s[k] <= LIMITS[k] for k in BITS]))
     return F.when(string.rlike("[0-9]") & ~allowed, over).otherwise(False)
 
 
