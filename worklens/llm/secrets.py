@@ -8,8 +8,9 @@ c * log2(c), kept as whole thousandths so that no rounding builds up. Each class
 its own threshold, and the best window of each decides: hex digits only in lower or in upper
 case, digits with lower and upper case, digits with upper case only and digits with lower case
 only. The last two hold nothing but letters and digits, as words joined by ``-``, ``_`` or ``/``
-are as varied as keys. Candidates on the allow-list (placeholders, identifiers) or overlapping
-a pattern's span are suppressed; pattern spans always stay.
+are as varied as keys. Patterns' spans and words of the allow-list (placeholders) are cut out of a
+candidate and every piece that is left is scored by itself, so that they suppress only the
+windows that touch them; a piece that is a UUID is no secret. Pattern spans always stay.
 
 Spans count code points, the end is exclusive.
 
@@ -38,13 +39,14 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST_SECRET = 6
 WINDOW = 20
 BITS = {"hex": 2.9, "mixed": 3.7, "upper_hex": 2.9, "upper": 3.5, "lower": 3.5}
-#: Strings that hold one of these (in either case) are no secrets, nor are UUIDs.
+#: These (in either case) are no part of a secret, nor are UUIDs secrets.
 ALLOWED = ("example", "sample", "dummy", "placeholder", "changeme", "your_", "your-", "xxxx", "0123456789", "deadbeef")
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 #: c * log2(c) in thousandths, for c from 0 to WINDOW.
 WEIGHTS = [0] + [round(1000 * c * math.log2(c)) for c in range(1, WINDOW + 1)]
 #: The largest sum of weights that a window over the threshold has.
 LIMITS = {k: math.floor(1000 * WINDOW * (math.log2(WINDOW) - v)) for k, v in BITS.items()}
+_PLACES = "array<struct<start:int,end:int>>"
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -113,13 +115,34 @@ def _least_sums(string: Column) -> Column:
 
 
 def _suspicious(string: Column) -> Column:
+    over = F.exists(F.array(_least_sums(string)), lambda s: reduce(or_, [s[k] <= LIMITS[k] for k in BITS]))
+    return F.when(string.rlike("[0-9]") & ~string.rlike(UUID), over).otherwise(False)
+
+
+def _allowed(string: Column, at: Column) -> Column:
+    """Places (start, end) of every allow-list word in a string that starts at ``at``, overlapping ones included."""
     plain = F.lower(string)
-    allowed = string.rlike(UUID)
-    for word in ALLOWED:
-        allowed = allowed | plain.contains(word)
-    sums = _least_sums(string)
-    over = F.exists(F.array(sums), lambda s: reduce(or_, [s[k] <= LIMITS[k] for k in BITS]))
-    return F.when(string.rlike("[0-9]") & ~allowed, over).otherwise(False)
+
+    def places(word: str) -> Column:
+        n = len(word)
+        starts = F.filter(F.sequence(F.lit(1), F.length(plain)), lambda i: F.substring(plain, i, F.lit(n)) == word)
+        return F.when(plain.contains(word), F.transform(starts, lambda i: F.struct((at + i - 1).alias("start"), (at + i - 1 + n).alias("end")))).otherwise(
+            F.array().cast(_PLACES))
+    return F.concat(*[places(w) for w in ALLOWED])
+
+
+def _pieces(text: Column, candidate: Column, base: Column) -> Column:
+    """What base spans and allow-list words leave of a candidate: spans of at least ``WINDOW`` characters."""
+    start, end = candidate["start"], candidate["end"]
+    place = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end"))).cast(_PLACES)
+    covered = F.transform(F.filter(base, lambda b: (b["start"] < end) & (start < b["end"])), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
+    cuts = F.sort_array(F.concat(covered, _allowed(F.substring(text, start + 1, end - start), start)))
+    add = lambda acc, to: F.when(to - acc["at"] >= WINDOW, F.concat(acc["out"], place(acc["at"], to))).otherwise(acc["out"])
+    left = F.aggregate(
+        cuts, F.struct(start.alias("at"), F.array().cast(_PLACES).alias("out")),
+        lambda acc, c: F.struct(F.greatest(acc["at"], c["end"]).alias("at"), add(acc, c["start"]).alias("out")),
+        lambda acc: add(acc, end))
+    return F.transform(left, lambda p: F.struct(p["start"].alias("start"), candidate["rank"].alias("rank"), p["end"].alias("end"), candidate["kind"].alias("kind")))
 
 
 def joined(spans: Column) -> Column:
@@ -137,9 +160,9 @@ def find_secrets(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
         *keep,
         F.sort_array(F.concat(*[_spans(column, KINDS[k], F.col(f"__{k}"), i, k, secrets if k == "assign" else None)
                                 for i, k in enumerate(kinds)])).alias("__base"),
-        _spans(column, CANDIDATE, F.col("__candidate"), len(kinds), "entropy",
-               F.transform(F.col("__candidate"), _suspicious)).alias("__extra"))
-    clear = F.filter("__extra", lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        _spans(column, CANDIDATE, F.col("__candidate"), len(kinds), "entropy").alias("__run"), "__text")
+    pieces = F.flatten(F.transform("__run", lambda c: _pieces(column, c, F.col("__base"))))
+    clear = F.filter(pieces, lambda p: _suspicious(F.substring(column, p["start"] + 1, p["end"] - p["start"])))
     return placed.select(*keep, F.col("__base").alias("base"), clear.alias("extra"))
 
 
