@@ -39,7 +39,7 @@ ship(__name__)
 
 TOP = 10
 #: Documents and entries of a shard, documents of a block, width of the projection, bytes of the texts in a chunk of queries.
-SHARD, SHARD_ENTRIES = 16_384, 4_000_000
+SHARD, SHARD_ENTRIES = 8_192, 2_000_000
 BLOCK = 64
 WIDTH = 16
 CHUNK_BYTES = 1 << 20
