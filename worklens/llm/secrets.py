@@ -4,7 +4,8 @@ The first three kinds are patterns. The fourth is Shannon entropy over a sliding
 ``WINDOW`` characters of every candidate string (a run of at least that many letters, digits
 and ``+/_=-`` with a digit in it). A fold moves the window by one character at a time: it
 takes the leaving character out of the counts, puts the entering one in and adjusts the sum of
-c * log2(c), kept as whole thousandths so that no rounding builds up. Each class of windows has
+c * log2(c), kept as whole thousandths so that no rounding builds up. A step takes the same time for
+every character, so a candidate of any length (an embedded image, a certificate) is scanned in linear time. Each class of windows has
 its own threshold, and the best window of each decides: hex digits only in lower or in upper
 case, digits with lower and upper case, digits with upper case only and digits with lower case
 only. The last two hold nothing but letters and digits, as words joined by ``-``, ``_`` or ``/``
@@ -71,47 +72,65 @@ def _spans(text: Column, pattern: str, hits: Column, rank: int, kind: str, good:
     return F.when(F.size(hits) > 0, folded).otherwise(none)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _codes(string: Column) -> Column:
+    """A candidate's characters as numbers: digits 0-9, lower case 10-35, upper case 36-61, signs from 62 on."""
+    def code(c: Column) -> Column:
+        return _let(F.ascii(c), lambda a: F.when(a < ord(":"), F.when(a >= ord("0"), a - ord("0")).otherwise(F.when(a == ord("+"), 62).when(a == ord("-"), 63).otherwise(64)))
+                    .when(a >= ord("a"), a - ord("a") + 10).when((a >= ord("A")) & (a <= ord("Z")), a - ord("A") + 36).otherwise(F.when(a == ord("="), 65).otherwise(66)))
+    return F.transform(F.filter(F.split(string, ""), lambda c: c != ""), code)
+
+
 def _least_sums(string: Column) -> Column:
-    """Struct (one field for each of ``BITS``): the least sum of weights over the string's windows of the class."""
-    n = F.length(string)
-    code = lambda i: F.ascii(F.substring(string, i, F.lit(1)))
+    """Struct (one field for each of ``BITS``): the least sum of weights over the string's windows of the class.
+
+    One fold over the characters; whatever a step needs twice is evaluated once, so it takes the same time for every character.
+    """
     weights = F.array(*[F.lit(w) for w in WEIGHTS])
     weight = lambda c: F.get(weights, c)
-    between = lambda c, a, b: c.between(ord(a), ord(b)).cast("int")
+    within = lambda c, a, b: c.between(a, b).cast("int")
     classes = {
-        "hexes": lambda c: between(c, "0", "9") + between(c, "a", "f"),
-        "upper_hexes": lambda c: between(c, "0", "9") + between(c, "A", "F"),
-        "digits": lambda c: between(c, "0", "9"),
-        "lowers": lambda c: between(c, "a", "z"),
-        "uppers": lambda c: between(c, "A", "Z"),
+        "hexes": lambda c: within(c, 0, 15),
+        "upper_hexes": lambda c: within(c, 0, 9) + within(c, 36, 41),
+        "digits": lambda c: within(c, 0, 9),
+        "lowers": lambda c: within(c, 10, 35),
+        "uppers": lambda c: within(c, 36, 61),
     }
-
-    def step(acc: Column, i: Column) -> Column:
-        enters = code(i)
-        leaves = F.when(i > WINDOW, code(i - WINDOW)).otherwise(F.lit(-1))
-        a, b = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
-        same = enters == leaves
-        total = acc["total"] + F.when(same, 0).otherwise(
-            weight(a + 1) - weight(a) + F.when(leaves >= 0, weight(b - 1) - weight(b)).otherwise(0))
-        counts = F.when(same, acc["counts"]).otherwise(F.transform(
-            acc["counts"], lambda c, j: c + (j == enters).cast("int") - (j == leaves).cast("int")))
+    moves = _let(_codes(string), lambda codes: F.transform(codes, lambda c, i: F.struct(
+        c.alias("enters"), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(-1).alias("leaves"), (i >= WINDOW - 1).alias("full"))))
+
+    def step(acc: Column, x: Column) -> Column:
+        enters, leaves = x["enters"], x["leaves"]
+        total = F.when(enters == leaves, acc["total"]).otherwise(_let(
+            F.struct(F.get(acc["counts"], enters).alias("a"), F.get(acc["counts"], leaves).alias("b")),
+            lambda n: acc["total"] + weight(n["a"] + 1) - weight(n["a"]) + F.when(leaves >= 0, weight(n["b"] - 1) - weight(n["b"])).otherwise(0)))
+        counts = F.when(enters == leaves, acc["counts"]).otherwise(F.transform(
+            acc["counts"], lambda c, j: F.when(j == enters, c + 1).when(j == leaves, c - 1).otherwise(c)))
         sums = {k: acc[k] + f(enters) - F.when(leaves >= 0, f(leaves)).otherwise(0) for k, f in classes.items()}
-        digits, lowers, uppers = sums["digits"], sums["lowers"], sums["uppers"]
-        within = {
-            "hex": sums["hexes"] == WINDOW,
-            "mixed": (digits > 0) & (lowers > 0) & (uppers > 0),
-            "upper_hex": sums["upper_hexes"] == WINDOW,
-            "upper": (digits > 0) & (uppers > 0) & (digits + uppers == WINDOW),
-            "lower": (digits > 0) & (lowers > 0) & (digits + lowers == WINDOW),
-        }
-        return F.struct(
-            counts.alias("counts"), total.alias("total"), *[v.alias(k) for k, v in sums.items()],
-            *[F.when((i >= WINDOW) & within[k], F.least(acc[k], total)).otherwise(acc[k]).alias(k) for k in BITS])
+
+        def best(now: Column) -> Column:
+            digits, lowers, uppers = now["digits"], now["lowers"], now["uppers"]
+            holds = {
+                "hex": now["hexes"] == WINDOW,
+                "mixed": (digits > 0) & (lowers > 0) & (uppers > 0),
+                "upper_hex": now["upper_hexes"] == WINDOW,
+                "upper": (digits > 0) & (uppers > 0) & (digits + uppers == WINDOW),
+                "lower": (digits > 0) & (lowers > 0) & (digits + lowers == WINDOW),
+            }
+            return F.struct(
+                now["counts"].alias("counts"), now["total"].alias("total"), *[now[k].alias(k) for k in classes],
+                *[F.when(x["full"] & holds[k], F.least(acc[k], now["total"])).otherwise(acc[k]).alias(k) for k in BITS])
+
+        return _let(F.struct(counts.alias("counts"), total.alias("total"), *[v.alias(k) for k, v in sums.items()]), best)
 
     top = F.lit(WEIGHTS[-1] + 1)
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).alias("total"), *[F.lit(0).alias(k) for k in classes],
+    start = F.struct(F.array_repeat(F.lit(0), 67).alias("counts"), F.lit(0).alias("total"), *[F.lit(0).alias(k) for k in classes],
                      *[top.alias(k) for k in BITS])
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: F.struct(*[acc[k].alias(k) for k in BITS]))
+    return F.aggregate(moves, start, step, lambda acc: F.struct(*[acc[k].alias(k) for k in BITS]))
 
 
 def _suspicious(string: Column) -> Column:
@@ -119,15 +138,26 @@ def _suspicious(string: Column) -> Column:
     return F.when(string.rlike("[0-9]") & ~string.rlike(UUID), over).otherwise(False)
 
 
+def _runs(word: str) -> str:
+    """A pattern of a word and whatever further ones overlap it, each with the one before."""
+    again = [word[n:] for n in range(1, len(word)) if word.endswith(word[:n])]
+    return word + (f"(?:{'|'.join(sorted(again, key=len))})*+" if again else "")
+
+
 def _allowed(string: Column, at: Column) -> Column:
-    """Places (start, end) of every allow-list word in a string that starts at ``at``, overlapping ones included."""
+    """Places (start, end) of the allow-list words in a string that starts at ``at``; overlapping ones of a word are one place."""
     plain = F.lower(string)
 
     def places(word: str) -> Column:
-        n = len(word)
-        starts = F.filter(F.sequence(F.lit(1), F.length(plain)), lambda i: F.substring(plain, i, F.lit(n)) == word)
-        return F.when(plain.contains(word), F.transform(starts, lambda i: F.struct((at + i - 1).alias("start"), (at + i - 1 + n).alias("end")))).otherwise(
-            F.array().cast(_PLACES))
+        hits = F.regexp_extract_all(plain, F.lit(_runs(word)), F.lit(0))
+        between = F.arrays_zip(F.split(plain, _runs(word), -1).alias("piece"), hits.alias("hit"))
+        folded = F.aggregate(
+            F.filter(between, lambda x: x["hit"].isNotNull()), F.struct(at.alias("at"), F.array().cast(_PLACES).alias("out")),
+            lambda acc, x: _let(acc["at"] + F.length(x["piece"]), lambda start: F.struct(
+                (start + F.length(x["hit"])).alias("at"),
+                F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"))).cast(_PLACES)).alias("out"))),
+            lambda acc: acc["out"])
+        return F.when(plain.contains(word), folded).otherwise(F.array().cast(_PLACES))
     return F.concat(*[places(w) for w in ALLOWED])
 
 
@@ -212,20 +242,33 @@ def _oracle() -> str:
                        unnest(string_split_regex(t, '{r}')[1:len(regexp_extract_all(t, '{r}', 0))]) as p,
                        unnest(range(len(regexp_extract_all(t, '{r}', 0)))) as i
                 from d where regexp_matches(t, '{r}'))""")
-    allowed = " or ".join(f"contains(lower(hit), '{w}')" for w in ALLOWED)
+    words = ", ".join(f"'{w}'" for w in ALLOWED)
+    match = {
+        "hex": "regexp_full_match(w, '[0-9a-f]+')",
+        "mixed": "(regexp_matches(w, '[0-9]') and regexp_matches(w, '[a-z]') and regexp_matches(w, '[A-Z]'))",
+        "upper_hex": "regexp_full_match(w, '[0-9A-F]+')",
+        "upper": "(regexp_full_match(w, '[0-9A-Z]+') and regexp_matches(w, '[0-9]') and regexp_matches(w, '[A-Z]'))",
+        "lower": "(regexp_full_match(w, '[0-9a-z]+') and regexp_matches(w, '[0-9]') and regexp_matches(w, '[a-z]'))",
+    }
+    hot = " or ".join(f"({m} and total <= {LIMITS[k]})" for k, m in match.items())
     return f"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
 found as ({" union all ".join(parts)}),
 base as (select * from found where kind <> 'entropy' and good),
-cand as (select rid, rank, kind, s, e, hit from found where kind = 'entropy' and regexp_matches(hit, '[0-9]')
-         and not ({allowed}) and not regexp_matches(hit, '{UUID}')),
+runs as (select rid, s, hit, lower(hit) as low from found where kind = 'entropy' and regexp_matches(hit, '[0-9]')),
+cuts as (select runs.rid, runs.s as c, base.s as a, base.e as b from runs join base on base.rid = runs.rid and base.s < runs.s + length(runs.hit) and runs.s < base.e
+         union all select rid, s as c, s + k - 1 as a, s + k - 1 + length(word) as b
+         from (select rid, s, low, word, unnest(range(1, length(low) + 1)) as k from runs, (select unnest([{words}]) as word) where contains(low, word)) where low[k:k + length(word) - 1] = word),
+spots as (select rid, s as c, s + i - 1 as pos, hit[i] as ch from (select rid, s, hit, unnest(range(1, length(hit) + 1)) as i from runs)),
+clear as (select rid, c, pos, ch, pos - row_number() over (partition by rid, c order by pos) as island from spots
+          where not exists (select 1 from cuts where cuts.rid = spots.rid and cuts.c = spots.c and cuts.a <= spots.pos and spots.pos < cuts.b)),
+cand as (select rid, {len(KINDS)} as rank, 'entropy' as kind, min(pos) as s, max(pos) + 1 as e, string_agg(ch, '' order by pos) as hit from clear group by rid, c, island
+         having count(*) >= {WINDOW} and regexp_matches(string_agg(ch, '' order by pos), '[0-9]') and not regexp_matches(string_agg(ch, '' order by pos), '{UUID}')),
 wins as (select rid, s, hit[k:k+{WINDOW - 1}] as w from (select rid, s, hit, unnest(range(1, length(hit) - {WINDOW - 2})) as k from cand)),
 chars as (select rid, s, w, unnest(string_split(w, '')) as c from (select distinct rid, s, w from wins)),
 sums as (select rid, s, w, sum({WEIGHTS}[n + 1]) as total from (select rid, s, w, c, count(*) as n from chars group by all) group by all),
-hot as (select distinct rid, s from sums where (regexp_full_match(w, '[0-9a-f]+') and total <= {LIMITS["hex"]})
-        or (regexp_matches(w, '[0-9]') and regexp_matches(w, '[a-z]') and regexp_matches(w, '[A-Z]') and total <= {LIMITS["mixed"]})),
-extra as (select cand.* from cand join hot using (rid, s)
-          where not exists (select 1 from base where base.rid = cand.rid and base.s < cand.e and cand.s < base.e)),
+hot as (select distinct rid, s from sums where {hot}),
+extra as (select cand.* from cand join hot using (rid, s)),
 b as (select rid, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
              string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) as txt from base group by rid),
 a as (select rid, count(*) filter (kind = 'entropy') as n_entropy, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) as txt
