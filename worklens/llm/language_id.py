@@ -34,11 +34,12 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled rows that the weights are fitted on, ``max_languages``
-    the labels learnt (the most frequent); everything else is read whole."""
+    """``sample_rows`` bounds the labelled rows that the weights are fitted on; everything else is read
+    whole. All labels are learnt: a table with more than ``max_languages`` of them is refused, as
+    the weights grow with their number."""
 
     sample_rows: int = 2400
-    max_languages: int = 256
+    max_languages: int = 1024
     epochs: int = 2
     alpha: float = 0.5
     beta: float = 1.0
@@ -149,9 +150,11 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Model | None:
     """Learn from the rows that ``trainable`` keeps; None if there are none."""
     rows = docs.where(trainable()).select("text", "lang", F.pmod(F.xxhash64("text", "lang", "doc_id"), F.lit(1 << 30)).alias("draw"))
     sizes = (rows.groupBy("lang").agg(F.count("*").alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(s.max_languages).collect())
+             .orderBy(F.desc("n"), "lang").limit(s.max_languages + 1).collect())
     if not sizes:
         return None
+    if len(sizes) > s.max_languages:
+        raise ValueError(f"more than {s.max_languages} languages are labelled")
     languages = sorted(r["lang"] for r in sizes)
     total = sum(r["n"] for r in sizes)
     idf = np.full(1 << BITS, np.log(total + 1.0) + 1.0)
@@ -185,7 +188,8 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Model | None:
 
 def predictor(spark: SparkSession, model: Model | None):
     """An Arrow function from texts to (lang_pred, score)."""
-    held = spark.sparkContext.broadcast(model)
+    # plain values: executors need not have this module to read them
+    held = spark.sparkContext.broadcast(None if model is None else (model.languages, model.idf, model.weights, model.bias, model.temperature))
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: pa.Array) -> pa.Array:
@@ -198,9 +202,10 @@ def predictor(spark: SparkSession, model: Model | None):
                 scores.append(0.0)
                 continue
             at, counts = gram_counts(text)
-            p = softmax((weighted(at, counts, m.idf) @ m.weights[at] + m.bias) / m.temperature)
+            languages, idf, weights, bias, temperature = m
+            p = softmax((weighted(at, counts, idf) @ weights[at] + bias) / temperature)
             best = int(p.argmax())
-            langs.append(m.languages[best])
+            langs.append(languages[best])
             scores.append(float(p[best]))
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
