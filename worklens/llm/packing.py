@@ -6,9 +6,10 @@ piece goes into the tightest bin that has neither its source nor its cluster: th
 at the residual equal to its length and goes on to the next larger one that is in use until a
 compatible bin turns up, else a new bin is opened. Pieces come in order of decreasing length.
 
-Best fit is sequential, so pieces are dealt by a hash of document, piece and place in the input
-to shards of about ``SHARD_ROWS`` rows, each packed in one task from ids and lengths alone; a hot source or
-cluster is dealt over all shards. Bins never span shards.
+Best fit is sequential, so pieces are dealt by a hash of document, piece and number among its copies
+to shards of about ``SHARD_PIECES`` pieces, each packed in one task from ids and lengths alone; a hot source or
+cluster, or a document of many pieces, is dealt over all shards. The deal does not depend on how the input is
+laid out in files. Bins never span shards.
 
 Edge cases: tokens are runs other than ASCII white space; null and empty texts have none and get
 no piece. A null source conflicts with nothing. Equal lengths go in order of id, then text hash, then piece, nulls
@@ -24,12 +25,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from worklens.llm.common import ship, table
+from worklens.llm.common import ship, stage, table
 
 ship(__name__)
 
 CAPACITY = 2048
-SHARD_ROWS = 4096
+SHARD_PIECES = 4096
 _OUT = "bin_id string, slot int, doc_id {id}, piece int, first_token long, tokens long, source string"
 
 
@@ -78,7 +79,7 @@ def best_fit(sizes: list[int], sources: list[int | None], clusters: list[int], c
 
 def packer(capacity: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "doc_id", "row", "piece"], ascending=[False, True, True, True], na_position="last", kind="stable")
+        pdf = pdf.sort_values(["tokens", "doc_id", "row", "piece", "copy"], ascending=[False, True, True, True, True], na_position="last", kind="stable")
         number = lambda c: pd.factorize(pdf[c])[0].tolist()
         sources = [None if s < 0 else s for s in number("source")]
         pdf["bin"] = list(best_fit(pdf["tokens"].tolist(), sources, number("cluster"), capacity))
@@ -89,22 +90,22 @@ def packer(capacity: int):
 
 
 def pieces(docs: DataFrame, capacity: int) -> DataFrame:
-    """doc_id, source, row, cluster (documents of equal text), piece, first_token, tokens."""
+    """doc_id, source, row, cluster (documents of equal text), copy, piece, first_token, tokens."""
     counted = docs.select(
         "doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("row"), F.xxhash64(F.lower(F.trim("text"))).alias("cluster"),
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n")).where("n > 0")
-    cut = counted.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))))
+    # rows repeated in full are told apart by their number
+    each = counted.groupBy(*counted.columns).agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    cut = each.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))))
     return cut.withColumn("first_token", F.col("piece") * F.lit(capacity).cast("long")).withColumn(
         "tokens", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("first_token"))).drop("n")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row per piece: its bin, its place in it, the document and the tokens from first_token on."""
-    cut = pieces(docs, capacity)
-    rows = docs.count()
-    # the place in the input salts the deal, so that rows repeated in full do not meet in one shard
-    key = F.xxhash64("doc_id", "row", "piece", F.monotonically_increasing_id())
-    dealt = cut.withColumn("shard", F.pmod(key, F.lit(max(1, -(-rows // shard_rows)))))
+    cut = stage(pieces(docs, capacity))
+    shards = max(1, -(-cut.count() // shard_pieces))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row", "copy", "piece"), F.lit(shards)))
     of_id = docs.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("shard").applyInPandas(packer(capacity), _OUT.format(id=of_id))
 
