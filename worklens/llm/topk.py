@@ -7,8 +7,8 @@ queries; in each such cell a query takes its blocks in the order of their bounds
 once the next bound is below its k-th score so far. A bound equal to it is still scored, as a
 tie may have a smaller id. The best of all slices are merged per query.
 
-Edge cases: rows with a null id, a null vector, or null or non-finite components take no part. Rows equal in id and
-vector count once. Vectors of different lengths are padded with zeros. Fewer than k candidates give fewer rows;
+Edge cases: rows with a null id, a null vector, or null or non-finite components take no part. Repeated rows
+are candidates of their own, but a query is asked once; a query's own id is no candidate. Vectors of different lengths are padded with zeros. Fewer than k candidates give fewer rows;
 an empty table gives none. Scores must fit in 64 bits. Other columns are not read.
 """
 
@@ -130,7 +130,7 @@ def searcher(k: int):
 def top_k(vectors: DataFrame, asked: Column, k: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score of (vec_id, ints); queries are the rows where ``asked`` holds."""
     spark = vectors.sparkSession
-    rows = stage(vectors.where("vec_id is not null and ints is not null").distinct())
+    rows = stage(vectors.where("vec_id is not null and ints is not null"))
     facts = rows.agg(F.count("*").alias("n"), F.max(F.size("ints")).alias("width"), F.count(F.when(asked, 1)).alias("queries")).first()
     if not facts["queries"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -141,7 +141,7 @@ def top_k(vectors: DataFrame, asked: Column, k: int = TOP) -> DataFrame:
     chunks = -(-facts["queries"] // CHUNK)
     slice_ = F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int")
     laid = blocks.withColumn("slice", slice_).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    asks = (rows.where(asked).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"))
+    asks = (rows.where(asked).distinct().withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"))
             .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))))
     found = (asks.groupBy("slice", "chunk").cogroup(laid.groupBy("slice", "chunk"))
              .applyInPandas(searcher(k), "query_id long, vec_id long, score long"))
@@ -158,6 +158,6 @@ ORACLE = f"""
 with v as (select vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) as ints from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.ints::double[], c.ints::double[])::bigint as score
-  from v q join v c on q.vec_id % {EVERY} = 0 and q.vec_id <> c.vec_id)
+  from (select distinct vec_id, ints from v where vec_id % {EVERY} = 0) q join v c on q.vec_id <> c.vec_id)
 select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
 qualify row_number() over (partition by query_id order by score desc, vec_id) <= {TOP}"""
