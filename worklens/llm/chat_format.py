@@ -37,7 +37,8 @@ MARKER = r"(?i)^\s*[#*>\[<|]*\s*(user|human|customer|question|q|assistant|bot|ai
 GROUPS = {1: ("user", "human", "customer", "question", "q"), 2: ("assistant", "bot", "ai", "model", "answer", "a"), 3: ("system", "instruction", "instructions")}
 #: Values of each feature.
 SIZES = (4, 16, 9, 2, 2)
-MOST_ROLES = 16
+#: A table with more labelled roles than this is refused, as the model grows with their square.
+MOST_ROLES = 256
 UNKNOWN = "unknown"
 
 
@@ -73,7 +74,9 @@ class Model:
         total = Counter()
         for (what, role, _), c in counts.items():
             total[role] += c * (what == "f0")
-        self.roles = sorted(r for r, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:MOST_ROLES])
+        self.roles = sorted(total)
+        if len(self.roles) > MOST_ROLES:
+            raise ValueError(f"more than {MOST_ROLES} roles are labelled")
         get = lambda what, role, value: counts.get((what, role, value), 0) + 1.0
         log = lambda m: np.log(m / m.sum(axis=-1, keepdims=True))
         self.start = log(np.array([get("start", r, "") for r in self.roles])) if self.roles else None
@@ -148,19 +151,26 @@ def parse(turns: DataFrame) -> DataFrame:
     from pyspark.sql import Window
     spark = turns.sparkSession
     rows = ordered(turns)
+    edge = (rows.groupBy("part").agg(F.min_by("conv", "at").alias("first"), F.max_by(F.struct("conv", "role"), "at").alias("end"))
+            .select("part", "first", F.col("end.conv").alias("last"), F.col("end.role").alias("role")).orderBy("part").collect())
     place = Window.partitionBy("part").orderBy("at")  # a partition is one task's rows already
+    # the first turn of a partition follows the last one of the partition before it
+    earlier = {b["part"]: a for a, b in zip(edge, edge[1:], strict=False)}
+    of_part = lambda field: F.get(F.array(*[F.lit(earlier[p][field] if p in earlier else None) for p in range(max((r["part"] for r in edge), default=-1) + 1)]).cast("array<string>"), F.col("part"))
+    opens = F.row_number().over(place) == 1
+    before = lambda column, field: F.when(opens, of_part(field)).otherwise(F.lag(column).over(place))
     held = F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 3 == 1, F.lit(True))
-    lagged = rows.select("conv", "role", "shown", F.lag("role").over(place).alias("before"),
-                         F.coalesce(F.lag("conv").over(place) == F.col("conv"), F.lit(False)).alias("follows"), held.alias("held"))
+    lagged = rows.select("conv", "role", "shown", before("role", "role").alias("before"),
+                         F.coalesce(before("conv", "last") == F.col("conv"), F.lit(False)).alias("follows"), held.alias("held"))
     counted = lagged.mapInArrow(tally, "what string, role string, value string, n long").groupBy("what", "role", "value").agg(F.sum("n").alias("n"))
     counts = {(r["what"], r["role"], r["value"]): r["n"] for r in counted.collect()}
     model = Model(counts)
     out = "conv_id {}, turn {}, role string, text string, role_pred string".format(*[turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn")])
     if not model.roles:
         return rows.select("conv_id", "turn", "role", "text", F.lit(UNKNOWN).alias("role_pred"))
-    edge = rows.groupBy("part").agg(F.min_by("conv", "at").alias("first"), F.max_by("conv", "at").alias("last")).orderBy("part").collect()
-    runs = crossing([tuple(r) for r in edge])
-    shared = {(p, dict((r["part"], r) for r in edge)[p]["last" if i == 0 else "first"]): k for k, run in enumerate(runs) for i, p in enumerate(run)}
+    runs = crossing([tuple(r)[:3] for r in edge])
+    by_part = {r["part"]: r for r in edge}
+    shared = {(p, by_part[p]["last" if i == 0 else "first"]): k for k, run in enumerate(runs) for i, p in enumerate(run)}
     fixed: dict[tuple[int, str], tuple[int | None, int]] = {}
     if shared:
         wanted = F.array(*[F.lit(f"{p}/{c}") for p, c in shared])
