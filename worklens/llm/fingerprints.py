@@ -9,8 +9,10 @@ a text without any lexicon term has the hash of all its terms instead.
 
 Terms of the band are found in two passes over all documents without counting rare ones: a
 term in at least a share of all documents is in at least that share of some chunk of them (Savasere,
-Omiecinski and Navathe 1995). Each chunk puts forward its frequent terms; the second pass counts
-these in full. The lexicon's size is bounded by terms per document / least share.
+Omiecinski and Navathe 1995). Each chunk puts forward its frequent terms, and the rows that partitions
+have left over form one chunk together, so that many small partitions put forward no more than one large
+one. The second pass counts the terms put forward in full, joined as Spark sees fit by their size. Only the lexicon comes to
+the driver; its size is bounded by terms per document / least share.
 
 Edge cases: a null text is empty; empty texts have equal fingerprints. The next document in
 descending id is the one of the next smaller id; null ids come last, equal ids go by the
@@ -30,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from worklens.llm.common import partitions, rows_of, ship, table
+from worklens.llm.common import partitions, rows_of, ship, stage, table
 
 ship(__name__)
 
@@ -47,7 +49,7 @@ def terms_of(text: str) -> set[bytes]:
 
 def proposer(least: float):
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Frequent terms of every ``CHUNK`` rows; a chunk's counts are all that is held."""
+        """(term, n, rows): frequent terms of every ``CHUNK`` rows (n is null), and all counts of the rows left over (rows once)."""
         df, rows, kept = Counter(), 0, set()
         for batch in batches:
             for text in batch.column(0):
@@ -56,27 +58,31 @@ def proposer(least: float):
                 if rows == CHUNK:
                     kept.update(t for t, n in df.items() if n >= least * rows)
                     df, rows = Counter(), 0
-        kept.update(t for t, n in df.items() if n >= least * rows)
-        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary())], names=["term"])
+        terms, counts = [*kept, *df, None], [*[None] * len(kept), *df.values(), None]
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(counts, pa.int64()), pa.array([None] * (len(terms) - 1) + [rows], pa.int64())],
+                                         names=["term", "n", "rows"])
     return propose
 
 
-def counter(known: frozenset):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n) of the documents of every batch."""
+    for batch in batches:
         df = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                df.update(known & terms_of(text.as_py()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.binary()), pa.array(list(df.values()), pa.int64())], names=["term", "df"])
-    return count
+        for text in batch.column(0):
+            df.update(terms_of(text.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.binary()), pa.array(list(df.values()), pa.int64())], names=["term", "n"])
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[bytes]:
     """The sorted terms of the band, counted over all documents."""
     texts = docs.select(_text().alias("text"))
     rows = docs.count()
-    put = texts.mapInArrow(proposer(band[0]), "term binary").distinct().toPandas()["term"]
-    df = (texts.mapInArrow(counter(frozenset(map(bytes, put))), "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    # the rows that partitions have left over are one more chunk, counted by a shuffle
+    put = stage(texts.mapInArrow(proposer(band[0]), "term binary, n long, rows long"))
+    spare = put.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    candidates = put.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"), F.max(F.col("n").isNull()).alias("whole")).where(
+        F.col("whole") | (F.col("n") >= band[0] * spare)).select("term")
+    df = (texts.mapInArrow(count_terms, "term binary, n long").join(candidates, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
           .where(F.col("df").between(band[0] * rows, band[1] * rows)).select("term").toPandas()["term"])
     return sorted(map(bytes, df))
 
