@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from worklens import columns as C
-from worklens.operators import encode, ensembles, features, models, rollups, unsupervised
+from worklens.operators import boosting, encode, ensembles, features, models, objectives, rollups, unsupervised
 
 
 @pytest.fixture(scope="module")
@@ -146,3 +146,122 @@ def test_unknown_categories_get_their_own_columns(prepared):
     flags = encode.one_hot(encode.levels_of(odd, ["Issue_Type"]))
     assert "Issue_Type_Chore" in flags
     assert odd.select(sum(flags.values()).alias("n")).where("n <> 1").isEmpty()
+
+
+def plain_boosting(bins, cuts, y, rounds, depth, step):
+    """Gradient boosting by trying every split of every node, on whole arrays."""
+    mean = y.mean()
+    score = np.full(len(y), np.log(mean / (1 - mean)))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-score))
+        g, h = y - p, p * (1 - p)
+        leaves = [np.arange(len(y))]
+        for _ in range(depth):
+            grown = []
+            for rows in leaves:
+                best, pick = 1e-9, None
+                for f, cut in enumerate(cuts):
+                    for c in range(len(cut)):
+                        left = rows[bins[rows, f] <= c]
+                        if 0 < len(left) < len(rows):
+                            a, n, whole = g[left].sum(), len(left), g[rows].sum()
+                            gain = a ** 2 / n + (whole - a) ** 2 / (len(rows) - n) - whole ** 2 / len(rows)
+                            if gain > best + 1e-9:
+                                best, pick = gain, (f, c)
+                grown += [rows] if pick is None else [rows[bins[rows, pick[0]] <= pick[1]], rows[bins[rows, pick[0]] > pick[1]]]
+            leaves = grown
+        for rows in leaves:
+            score[rows] += step * g[rows].sum() / h[rows].sum()
+    return score
+
+
+def auc(y, p):
+    order = np.argsort(p)
+    ranks = np.empty(len(p))
+    values, inverse, counts = np.unique(p, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(counts) - (counts - 1) / 2)[inverse]
+    n = (y == 1).sum()
+    assert len(order) == len(values[inverse])
+    return (ranks[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
+
+
+def test_boosting_equals_plain_version(split):
+    model = models.gbt(3).fit(split.train)
+    x, y = local(split.train)
+    bins = np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(model.cuts)], axis=1)
+    want = 1 / (1 + np.exp(-plain_boosting(bins, model.cuts, y, 3, 3, 0.1)))
+    got = model.transform(split.train).select(vector_to_array("features").alias("f"), vector_to_array("probability")[1].alias("p")).collect()
+    by_row = {tuple(r["f"]): r["p"] for r in got}
+    assert np.allclose([by_row[tuple(r)] for r in x], want, atol=1e-9)
+
+
+def test_boosting_ranks_like_mllib(split):
+    from pyspark.ml.classification import GBTClassifier
+    theirs = models.classify(GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.1, maxBins=64, seed=42).fit(split.train), split.test).toPandas()
+    ours = models.classify(models.gbt(20).fit(split.train), split.test).toPandas()
+    assert auc(ours.y.to_numpy(), ours.p.to_numpy()) > auc(theirs.y.to_numpy(), theirs.p.to_numpy()) - 0.005
+
+
+def test_models_fitted_together_equal_models_fitted_alone(split, monkeypatch):
+    """Over folds and several refreshes of the scores, for boosting, AdaBoost and logistic regression."""
+    monkeypatch.setattr(boosting, "REFRESH", 2)
+    monkeypatch.setattr(boosting, "FAN_IN", 2)
+    folded = encode.stratified_folds(split.train, "label", 3)
+    data = boosting.Together.of(folded, (0, 1, 2, -1))
+    for make in (lambda: models.gbt(5, 2), lambda: ensembles.AdaBoost(4), lambda: models.softmax(weighted=True)):
+        for fold, one in zip((0, 1, 2, -1), make().fit_all(data)):
+            alone = make().fit_all(boosting.Together(boosting.Together.of(folded.where(f"fold <> {fold}")).blocks, data.cuts, (-1,)))[0]
+            if hasattr(one, "cuts"):  # the cuts of one part differ, so compare on the shared ones
+                rows = folded.where(f"fold <> {fold}").select(F.col("features"), "label", "weight")
+                flat = rows.select(vector_to_array("features").alias("_x"), F.col("label").alias("_y"), F.col("weight").alias("_w"), F.lit(-2).alias("_fold"))
+                blocks = boosting.stage(flat.mapInArrow(boosting._cutter(data.cuts, 1), boosting._BLOCKS))
+                alone = make().fit_all(boosting.Together(blocks, data.cuts, (-1,)))[0]
+            elif isinstance(one, ensembles.AdaBoostModel):
+                continue  # its cuts are part of the stumps; it shares its passes with boosting
+            score = lambda m: np.array([r["p"] for r in m.transform(split.test).orderBy("row_id").select(vector_to_array("probability")[1].alias("p")).collect()])
+            assert np.allclose(score(one), score(alone), atol=1e-7)
+
+
+def test_regressor_fits_residuals(prepared):
+    s = models.prepare_split(prepared, models.OBJECTIVES["ttr"])
+    got = models.regress(models.gbt_regressor(10, step=0.5).fit(s.train), s.test).toPandas()
+    assert ((got.y - got.predicted) ** 2).mean() < got.y.var() and (got.predicted >= 0).all()
+
+
+@pytest.mark.parametrize("classes", [2, 4])
+def test_softmax_gradient_is_zero(spark, classes):
+    rng = np.random.default_rng(classes)
+    x = rng.normal(size=(400, 3))
+    y = (x @ rng.normal(size=(3, classes)) + rng.gumbel(size=(400, classes))).argmax(axis=1)
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(float(b), Vectors.dense(a)) for a, b in zip(x.tolist(), y.tolist())], ["label", "features"]).repartition(5)
+    m = models.softmax(classes).fit(df)
+    z = x @ m.coefficients.T + m.intercepts
+    z = np.hstack([np.zeros((400, 1)), z]) if classes == 2 else z
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    hit = (y[:, None] == np.arange(classes)).astype(float)
+    miss = (p - hit)[:, 1:] if classes == 2 else p - hit
+    assert np.abs(miss.T @ x + m.coefficients).max() < 1e-5 and np.abs(miss.sum(axis=0)).max() < 1e-5
+    got = m.transform(df).select(vector_to_array("features").alias("f"), "prediction", vector_to_array("probability").alias("p")).collect()
+    by_row = {tuple(r["f"]): r for r in got}
+    assert all(np.allclose(by_row[tuple(a)]["p"], q) and by_row[tuple(a)]["prediction"] == q.argmax() for a, q in zip(x, p))
+
+
+def test_stratified_split_keeps_class_shares(prepared):
+    train, test = encode.stratified_split(prepared.select("row_id", "Success_Label"), "Success_Label")
+    share = lambda d: {r[0]: r[1] for r in d.groupBy("Success_Label").count().collect()}
+    a, b = share(train), share(test)
+    assert sum(a.values()) + sum(b.values()) == prepared.count() and all(0 <= 4 * b[c] - a[c] <= 4 for c in a)
+
+
+def test_objectives_skip_what_is_absent(prepared):
+    some = prepared.select("row_id", *C.BASE_SPRINT[:3], "Success_Label", F.lit(1).alias("Risk_Flag"), *C.BURNOUT)
+    got = objectives.train_objectives(some, objectives.CLOSED).collect()
+    assert [r["objective"] for r in got] == ["sprint"] and got[0]["accuracy"] > 0.5
+
+
+def test_suggested_assignee_of_a_known_item(prepared):
+    history = prepared.limit(200)
+    got = objectives.suggest_assignee(history.limit(20).drop("Assignee_Resource"), history)
+    assert got.count() == 20 and got.join(history, "row_id").where(F.col("predicted").isNull()).isEmpty()

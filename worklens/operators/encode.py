@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from worklens.operators.ordering import hash_order_rank, running_totals
+from worklens.storage import stage
 
 
 def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ("row_id",),
@@ -72,6 +73,20 @@ def split_80_20(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(part != 0), df.where(part == 0)
 
 
+def stratified_split(df: DataFrame, label: str, parts: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows with the same class shares: in hash order every ``parts``-th row of a class is a test row.
+
+    Classes are ranked by range partitions, so a class of any size spans several tasks.
+    """
+    dealt = stage(stratified_folds(df, label, parts))
+    return dealt.where("fold <> 0").drop("fold"), dealt.where("fold = 0").drop("fold")
+
+
+def stratified_rows(df: DataFrame, label: str) -> DataFrame:
+    part = stratified_folds(df.select("row_id", label), label)
+    return part.select("row_id", label, F.when(F.col("fold") == 0, "test").otherwise("train").alias("part"))
+
+
 def split_rows(df: DataFrame) -> DataFrame:
     return df.select("row_id", F.when(split_bucket() == 0, "test").otherwise("train").alias("part"))
 

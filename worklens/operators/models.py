@@ -12,17 +12,16 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from worklens import columns as C
 from worklens.operators import encode
+from worklens.operators.boosting import Boosting, Softmax
 from worklens.operators.features import engineer_features
 from worklens.operators.prep import col_or_zero, present
 from worklens.storage import stage
@@ -115,12 +114,12 @@ def _vectors(df: DataFrame, scaler: PipelineModel, weight: Column) -> DataFrame:
 
 
 def prepare_split(df: DataFrame, objective: Objective, extra: Sequence[str] = (), balanced: bool = False,
-                  drop_first: bool = False) -> Split:
-    """80/20 hash split, scaled on the training part and staged for repeated passes."""
+                  drop_first: bool = False, stratified: bool = False) -> Split:
+    """80/20 hash split (with equal class shares if ``stratified``), scaled on the training part and staged for repeated passes."""
     classes = label_classes(df, objective)
     table, names = training_table(with_label_codes(df, objective, classes), objective, extra, drop_first)
     table = stage(table, by="row_id")
-    train, test = encode.split_80_20(table)
+    train, test = encode.stratified_split(table, "label") if stratified else encode.split_80_20(table)
     scaler = fit_scaler(train, names)
     weight = encode.binary_weight(train, "label") if balanced else F.lit(1.0)
     train_v = stage(_vectors(train, scaler, weight), by="row_id")
@@ -146,12 +145,17 @@ def forest(trees: int = 100, max_depth: int = 10, weighted: bool = False) -> Est
     return est.setWeightCol("weight") if weighted else est
 
 
-def gbt(rounds: int = 80, max_depth: int = 3, step: float = 0.1) -> Estimator:
-    return GBTClassifier(maxIter=rounds, maxDepth=max_depth, stepSize=step, maxBins=MAX_BINS, seed=SEED)
+def gbt(rounds: int = 80, max_depth: int = 3, step: float = 0.1) -> Boosting:
+    return Boosting(rounds, max_depth, step)
+
+
+def gbt_regressor(rounds: int = 80, max_depth: int = 3, step: float = 0.1) -> Boosting:
+    return Boosting(rounds, max_depth, step, logistic=False)
 
 
-def gbt_regressor(rounds: int = 80, max_depth: int = 3, step: float = 0.1) -> Estimator:
-    return GBTRegressor(maxIter=rounds, maxDepth=max_depth, stepSize=step, maxBins=MAX_BINS, seed=SEED)
+def softmax(classes: int = 2, weighted: bool = False, c: float = 1.0) -> Softmax:
+    """The same objective as ``logistic``, for any number of classes, by Newton's method."""
+    return Softmax(classes, c, weighted)
 
 
 def gaussian_nb() -> Estimator:
@@ -188,7 +192,7 @@ def regress(model: Model, rows: DataFrame) -> DataFrame:
 
 def feature_importance(model: Model, spark, names: Sequence[str]) -> DataFrame:
     """Impurity importances, largest first, flagged when above their mean."""
-    values = model.featureImportances.toArray().tolist()
+    values = (model.importances if hasattr(model, "importances") else model.featureImportances.toArray()).tolist()
     rows = spark.createDataFrame(list(zip(names, values)), "feature string, importance double")
     mean = sum(values) / len(values)
     return rows.withColumn("above_mean", F.col("importance") > mean).orderBy(F.desc("importance"), "feature")
@@ -246,13 +250,15 @@ def with_predictions(df: DataFrame, fitted: Mapping[str, PipelineModel]) -> Data
     return df
 
 
-def score_scenarios(df: DataFrame, fitted: Mapping[str, PipelineModel]) -> DataFrame:
-    """All scenarios under all fitted objectives: (row_id, objective, prediction, p, delta).
+def score_scenarios(df: DataFrame, fitted: Mapping[str, PipelineModel], suggested: DataFrame | None = None) -> DataFrame:
+    """All scenarios under all fitted objectives: (row_id, objective, prediction, p, delta, suggestion).
 
     Scenarios need no label and may lack features. ``delta`` is predicted minus estimated
-    hours for time-to-resolve.
+    hours for time-to-resolve. ``suggested`` (row_id, predicted) adds the suggested assignee.
     """
-    parts = []
+    none = F.lit(None).cast("double")
+    parts = [] if suggested is None else [suggested.select(
+        "row_id", F.lit("alloc").alias("objective"), none.alias("prediction"), none.alias("p"), none.alias("delta"), F.col("predicted").alias("suggestion"))]
     for name, model in fitted.items():
         out = _scored_rows(df, OBJECTIVES[name], model).withColumn("row_id", F.col("_row.row_id"))
         if name == "ttr":
@@ -263,7 +269,7 @@ def score_scenarios(df: DataFrame, fitted: Mapping[str, PipelineModel]) -> DataF
         else:
             out = out.select("row_id", F.lit(name).alias("objective"), F.col("prediction"),
                              vector_to_array("probability")[1].alias("p"), F.lit(None).cast("double").alias("delta"))
-        parts.append(out)
+        parts.append(out.withColumn("suggestion", F.lit(None).cast("string")))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

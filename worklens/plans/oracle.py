@@ -503,14 +503,20 @@ CODED = ("enc as (select *, (select count(*) from (select distinct Summary as v
 PART = "('0x' || substr(md5(cast(row_id as varchar)), 1, 8))::bigint % 5"
 
 
-def classify() -> str:
-    return on(
+def classify_parts() -> tuple[list[str], str]:
+    picked = (
         "select query_id, tag as predicted from (select query_id, tag, row_number() over (partition by query_id "
-        "order by floor(w * 1e6 + 0.5e0) desc, tag) as o from votes) where o = 1",
+        "order by floor(w * 1e6 + 0.5e0) desc, tag) as o from votes) where o = 1")
+    return [
         CODED, f"tr as (select * from enc where {PART} <> 0)", f"te as (select * from enc where {PART} = 0)",
         *zscores(C.ALLOC, "row_id, Assignee_Resource", "te", "tr"), nearest(4, 5, "Assignee_Resource", "true"),
         "nz as (select query_id, e.d / 1e6 as d, e.tag as tag, min(e.d) over (partition by query_id) as d0 from nb)",
-        "votes as (select query_id, tag, sum(case when d0 = 0 then 1e0 else 1e0 / d end) as w from nz where d0 > 0 or d = 0 group by query_id, tag)")
+        "votes as (select query_id, tag, sum(case when d0 = 0 then 1e0 else 1e0 / d end) as w from nz where d0 > 0 or d = 0 group by query_id, tag)"], picked
+
+
+def classify() -> str:
+    ctes, picked = classify_parts()
+    return on(picked, *ctes)
 
 
 RULE = ("rp as (select Success_Label as y, case when Percent_Done / 1e2 > 0.5e0 then 1 else 0 end as pred, Percent_Done / 1e2 as p from p)")
@@ -544,6 +550,8 @@ def wide_sql(draws: int = 1000) -> dict[str, str]:
         "split_80_20": on(f"select row_id, case when {PART} = 0 then 'test' else 'train' end as part from p"),
         "stratified_folds": on("select row_id, Success_Label, cast((row_number() over (partition by Success_Label order by "
                                "md5(cast(row_id as varchar)), row_id) - 1) % 5 as int) as fold from p"),
+        "stratified_split": on("select row_id, Success_Label, case when (row_number() over (partition by Success_Label order by "
+                               "md5(cast(row_id as varchar)), row_id) - 1) % 5 = 0 then 'test' else 'train' end as part from p"),
         "class_weights": on(f"select Success_Label, records, {r('sum(records) over () * 1e0 / (count(*) over () * records)')} as weight "
                             "from (select Success_Label, count(*) as records from p group by 1)"),
         "classification_report": report_rows(),
@@ -603,6 +611,46 @@ def bayes_ctes(tag: str, cols: tuple[str, ...], label: str) -> list[str]:
         f"(select row_id, max(case when c = 0 then ll end) as l0, max(case when c = 1 then ll end) as l1 from l_{tag} group by row_id))"]
 
 
+FLAGS = [(f"{c}_{v}", f"case when {c} = {_q(v)} then 1e0 else 0e0 end") for c, vs in (("Issue_Type", C.ISSUE_TYPES), ("Priority", C.PRIORITIES)) for v in sorted(vs)]
+
+
+def least_squares(alpha: float, drop_first: bool) -> list[str]:
+    """``ls`` (row_id, y, predicted) of the held-out rows: normal equations on scaled features, solved by elimination."""
+    first = {f"{c}_{sorted(vs)[0]}" for c, vs in (("Issue_Type", C.ISSUE_TYPES), ("Priority", C.PRIORITIES))}
+    exprs = [e for name, e in FLAGS if not (drop_first and name in first)] + [f"cast({c} as double)" for c in C.TTR_NUMERIC]
+    w = range(len(exprs))
+    pick = ", ".join(f"{e} as x{j}" for j, e in enumerate(exprs))
+    scale = ", ".join(f"avg(x{j}) as m{j}, stddev_pop(x{j}) as s{j}" for j in w)
+    ctes = [f"lx as (select row_id, Resolution_Time_Hours as y, {PART} <> 0 as fits, {pick} from p)",
+            f"lz as (select row_id, y, fits, my, {', '.join(f'(x{j} - m{j}) / s{j} as z{j}' for j in w)} from lx, (select avg(y) as my, {scale} from lx where fits))"]
+    cells = [f"sum(z{i} * z{j}){f' + {alpha!r}e0' if i == j else ''} as a{i}_{j}" for i in w for j in w]
+    ctes.append(f"g0 as (select {', '.join(cells)}, {', '.join(f'sum(z{i} * (y - my)) as b{i}' for i in w)} from lz where fits)")
+    for k in list(w)[:-1]:
+        rows = [f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} as a{i}_{j}" if i > k else f"a{i}_{j}" for i in w for j in w if j >= i or i > k]
+        sides = [f"b{i} - a{i}_{k} * b{k} / a{k}_{k} as b{i}" if i > k else f"b{i}" for i in w]
+        ctes.append(f"g{k + 1} as (select {', '.join([*rows, *sides])} from g{k})")
+    last, before = len(exprs) - 1, f"g{len(exprs) - 1}"
+    for i in reversed(w):
+        rest = "".join(f" - a{i}_{j} * w{j}" for j in range(i + 1, last + 1))
+        ctes.append(f"v{i} as (select *, (b{i}{rest}) / a{i}_{i} as w{i} from {before})")
+        before = f"v{i}"
+    fit = " + ".join(f"w{j} * z{j}" for j in w)
+    ctes.append(f"ls as (select row_id, y, greatest(my + {fit}, 0e0) as predicted from lz, {before} where not fits)")
+    return ctes
+
+
+def objectives_closed() -> str:
+    """Held-out metrics of three naive Bayes models, ridge regression and five neighbours."""
+    parts = {"sprint": (C.BASE_SPRINT, "Success_Label"), "workload": (C.WORKLOAD, "Expected_Overload"), "burnout": (C.BURNOUT, "Risk_Flag")}
+    bayes = [cte for t, (cols, label) in parts.items() for cte in bayes_ctes(t, cols, label)]
+    rows = [f"select '{t}' as objective, 'Naive Bayes' as algorithm, count(*) as held_out, {r('avg(case when label = pred then 1e0 else 0e0 end)')} as accuracy, "
+            f"cast(null as double) as r2, cast(null as double) as mse from b_{t} join x_{t} using (row_id) where not fits" for t in parts]
+    rows.append(f"select 'ttr', 'Ridge Regression', count(*), null, {r('1e0 - avg((y - predicted) * (y - predicted)) / var_pop(y)')}, {r('avg((y - predicted) * (y - predicted))')} from ls")
+    near, picked = classify_parts()
+    rows.append(f"select 'alloc', 'KNN', count(*), {r('avg(case when Assignee_Resource = predicted then 1e0 else 0e0 end)')}, null, null from ({picked}) join p on row_id = query_id")
+    return on(" union all ".join(rows), *bayes, *least_squares(1.0, False), *near)
+
+
 def scanned_by_models() -> list[str]:
     parts = {"sprint": (C.BASE_SPRINT, "Success_Label"), "workload": (C.WORKLOAD, "Expected_Overload"), "burnout": (C.BURNOUT, "Risk_Flag")}
     added = ", ".join(f"b_{t}.pred as pred_{t}, b_{t}.prob as p_{t}" for t in parts)
@@ -616,6 +664,9 @@ def fitted_sql() -> dict[str, str]:
     scanned = scanned_by_models()
     return {
         "fit_gnb": gaussian_nb(),
+        "fit_ols": on(f"select row_id, {r('y')} as y, {r('predicted')} as predicted from ls", *least_squares(0.0, True)),
+        "fit_ridge": on(f"select row_id, {r('y')} as y, {r('predicted')} as predicted from ls", *least_squares(1.0, False)),
+        "train_objectives_closed": objectives_closed(),
         "agent_scan_fitted": on("select * from fi", *scanned),
         "decision_chain_fitted": on("select * from ch", *scanned),
         "health_score_fitted": on(f"select criticals, warnings, health, {BAND} as band from he", *scanned),

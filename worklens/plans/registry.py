@@ -11,7 +11,7 @@ from worklens import columns as C
 from worklens import storage
 from worklens.functions import settle
 from worklens.operators import (
-    encode, ensembles, features, metrics, models, neighbors, prep, profile, risk_scan, rollups, unsupervised, whatif,
+    encode, ensembles, features, metrics, models, neighbors, objectives, prep, profile, risk_scan, rollups, unsupervised, whatif,
 )
 from worklens.sources import scan_csv, scan_parquet, work_items, write_csv, write_parquet
 
@@ -81,6 +81,9 @@ DURATION_INPUTS = ("row_id", "Resolution_Time_Hours", *C.TTR_NUMERIC, "Issue_Typ
 SCAN_INPUTS = ("row_id", *C.LABEL_THRESHOLDS, *C.BASE_SPRINT, *C.WORKLOAD, *C.BURNOUT)
 
 
+OBJECTIVE_INPUTS = (*SCAN_INPUTS, *DURATION_INPUTS, *ALLOCATION)
+
+
 def _scanned(product, group_cols=()) -> Query:
     return _on_prepared(lambda df: product(risk_scan.scan(df, group_cols), group_cols))
 
@@ -208,6 +211,7 @@ def _wide_queries() -> dict[str, Query]:
         "one_hot": _on_staged(("row_id", "Issue_Type", "Priority"), _one_hot),
         "split_80_20": on(encode.split_rows),
         "stratified_folds": on(lambda df: encode.stratified_folds(df.select("row_id", "Success_Label"), "Success_Label")),
+        "stratified_split": on(lambda df: encode.stratified_rows(df, "Success_Label")),
         "class_weights": on(lambda df: encode.class_weights(df, "Success_Label")),
         "classification_report": on(report),
         "roc_auc": on(lambda df: metrics.roc_auc(prep.rule_prediction(df))),
@@ -227,7 +231,7 @@ def _wide_queries() -> dict[str, Query]:
 
 # Settings of the registered fits.
 ROUNDS, TREES, BOOSTS, FOLDS = 80, 60, 60, 5
-CALIBRATED_ROUNDS = 200
+CALIBRATED_ROUNDS, BURNOUT_ROUNDS = 200, 60
 
 
 def _split(df: DataFrame, objective: str, **options) -> models.Split:
@@ -252,12 +256,25 @@ def _members(n: int) -> dict[str, object]:
     return ensembles.default_members(n, TREES, ROUNDS, BOOSTS)
 
 
-def _adaboost_allocation(df: DataFrame) -> DataFrame:
-    s = _split(df, "alloc")
-    model = ensembles.AdaBoost(BOOSTS, classes=len(s.classes)).fit(s.train)
-    names = F.array(*[F.lit(a) for a in s.classes])
-    return model.transform(s.test).select("row_id", names[F.col("label").cast("int")].alias("y"),
-                                          names[F.col("prediction").cast("int")].alias("predicted"))
+def _allocation(make: Callable[[models.Split], object]) -> Query:
+    """A fit of many classes: (row_id, y, predicted) of the held-out rows, by name."""
+    def op(df: DataFrame) -> DataFrame:
+        s = _split(df, "alloc")
+        names = F.array(*[F.lit(a) for a in s.classes])
+        return make(s).fit(s.train).transform(s.test).select(
+            "row_id", names[F.col("label").cast("int")].alias("y"), names[F.col("prediction").cast("int")].alias("predicted"))
+    return _on_staged(ALLOCATION, op)
+
+
+def _burnout_vote(df: DataFrame) -> DataFrame:
+    """Boosted trees and a balanced forest on burnout, by the mean of their probabilities."""
+    s = _split(df, "burnout", extra=C.ENGINEERED[:4], balanced=True)
+    members = {"Gradient Boosting": models.gbt(BURNOUT_ROUNDS), "Random Forest": models.forest(TREES, weighted=True)}
+    return ensembles.vote_soft(ensembles.fit_members(members, s.train), s.test)
+
+
+def _regressors(df: DataFrame) -> DataFrame:
+    return objectives.compare_regressors(_split(df, "ttr", extra=C.ENGINEERED, drop_first=True), BURNOUT_ROUNDS)
 
 
 def _vote(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -283,14 +300,14 @@ def _scorecard(df: DataFrame) -> DataFrame:
 
 
 def _calibrated(df: DataFrame) -> DataFrame:
-    s = _split(df, "sprint", extra=C.ENGINEERED[:6] + C.NOVEL)
+    s = _split(df, "sprint", extra=C.ENGINEERED[:6] + C.NOVEL, stratified=True)
     return ensembles.calibrated_gbt(s.train, s.test, FOLDS, CALIBRATED_ROUNDS)
 
 
 def _baseline_delta(df: DataFrame) -> DataFrame:
-    base = _split(df, "sprint", balanced=True)
-    baseline = models.classify(models.logistic(base.n_train, weighted=True).fit(base.train), base.test)
-    rich = _split(df, "sprint", extra=C.ENGINEERED[:6] + C.NOVEL)
+    base = _split(df, "sprint", balanced=True, stratified=True)
+    baseline = models.classify(models.softmax(weighted=True).fit(base.train), base.test)
+    rich = _split(df, "sprint", extra=C.ENGINEERED[:6] + C.NOVEL, stratified=True)
     enriched = models.classify(models.gbt(ROUNDS).fit(rich.train), rich.test)
     return ensembles.baseline_delta(baseline, enriched)
 
@@ -309,7 +326,7 @@ def _scenarios(df: DataFrame) -> DataFrame:
     }
     fitted = {name: models.fit_pipeline(df, models.OBJECTIVES[name], make, balanced)[0]
               for name, (balanced, make) in makers.items()}
-    return models.score_scenarios(df, fitted)
+    return models.score_scenarios(df, fitted, objectives.suggest_assignee(df, df))
 
 
 def _scanned_by_models(df: DataFrame) -> DataFrame:
@@ -346,10 +363,14 @@ def _with_fitted(op: Callable[[DataFrame, whatif.ModelScore], DataFrame]) -> Que
     return _on_staged((*SPRINT_INPUTS, "Success_Label"), lambda df: op(df, _fitted_score(df)))
 
 
+def _with_inputs(op: Callable[[DataFrame], DataFrame]) -> Query:
+    return _on_staged((*SPRINT_INPUTS, "Success_Label"), op)
+
+
 def _model_queries() -> dict[str, Query]:
     on = _on_prepared
     return {
-        "fit_logistic": _classifier("workload", lambda s: models.logistic(s.n_train, weighted=True), balanced=True),
+        "fit_logistic": _classifier("workload", lambda s: models.softmax(weighted=True), balanced=True),
         "fit_tree": _classifier("sprint", lambda s: models.tree(6), balanced=True),
         "fit_forest": _classifier("burnout", lambda s: models.forest(TREES, weighted=True), balanced=True,
                                   extra=C.ENGINEERED[:4]),
@@ -358,15 +379,21 @@ def _model_queries() -> dict[str, Query]:
         "fit_gnb": _classifier("workload", lambda s: models.gaussian_nb()),
         "fit_ols": _regressor(lambda s: models.ols(), drop_first=True),
         "fit_ridge": _regressor(lambda s: models.ridge(s.n_train, models.label_deviation(s.train))),
-        "fit_adaboost": _on_staged(ALLOCATION, _adaboost_allocation),
+        "fit_adaboost": _allocation(lambda s: ensembles.AdaBoost(BOOSTS, classes=len(s.classes))),
+        "fit_multinomial": _allocation(lambda s: models.softmax(len(s.classes))),
+        "fit_forest_alloc": _allocation(lambda s: models.forest(100)),
+        "vote_burnout": _on_staged((*SCAN_INPUTS, *features.INPUTS.values()), _burnout_vote),
+        "compare_regressors": _on_staged(DURATION_INPUTS, _regressors),
+        "train_objectives": _on_staged(OBJECTIVE_INPUTS, objectives.train_objectives),
+        "train_objectives_closed": _on_staged(OBJECTIVE_INPUTS, lambda df: objectives.train_objectives(df, objectives.CLOSED)),
         "vote_soft": on(lambda df: _vote(df)[0]),
         "model_comparison": on(_comparison),
-        "stacking": on(_stacking),
-        "cv_scorecard": on(_scorecard),
-        "calibrated_gbt": on(_calibrated),
-        "baseline_delta": on(_baseline_delta),
+        "stacking": _with_inputs(_stacking),
+        "cv_scorecard": _with_inputs(_scorecard),
+        "calibrated_gbt": _with_inputs(_calibrated),
+        "baseline_delta": _with_inputs(_baseline_delta),
         "feature_importance": on(_importance),
-        "score_scenarios": _on_staged((*SCAN_INPUTS, *DURATION_INPUTS), _scenarios),
+        "score_scenarios": _on_staged(OBJECTIVE_INPUTS, _scenarios),
         "agent_scan_fitted": _with_models(risk_scan.agent_scan),
         "decision_chain_fitted": _with_models(risk_scan.decision_chain),
         "health_score_fitted": _with_models(risk_scan.health_score),
