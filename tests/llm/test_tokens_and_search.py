@@ -18,7 +18,7 @@ from tests.conftest import SF
 from worklens.llm import lexical_search, token_alignment, token_counts
 
 BPE, PIECES = public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model")
-ODD = ["a", "b", "the", "'", "re", "'re", "'ve", "'l", "l", "ing", " ", "  ", "\n", "\t", "1", "23", "é", "日本", "🎉", "ｆ", "!", "ß", "́", "\xa0", "　", "\x1c", "\x00",
+ODD = ["a", "b", "the", ",", ".", "?!", "ab.c", ". ",  "'", "re", "'re", "'ve", "'l", "l", "ing", " ", "  ", "\n", "\t", "1", "23", "é", "日本", "🎉", "ｆ", "!", "ß", "́", "\xa0", "　", "\x1c", "\x00",
        "<|endoftext|>", "<|endo", "<s>", "</s>", "<unk>", "<0x41>", "▁", "👩‍👩‍👧"]
 ROWS = [(1, "Hello world, this is it."), (1, "Hello world, this is it."), (None, "a  b\n c "), (3, None), (4, ""), (5, " "), (6, "日本語 🎉🎉 ｆｇ"), (7, "a ▁x"), (8, "x" * 30_000), (9, "<|endoftext|> </s>")]
 
@@ -122,9 +122,11 @@ def test_alignment_of_odd_texts(plain):
 
 def test_alignment_by_whole_texts_is_the_same(plain):
     aligner = token_alignment.Aligner(BPE, PIECES, 500)
-    aligner.by_words = False
     texts = made(15, seed=5, count=100)
-    assert [got[:4] for got in aligner.documents(texts)] == [plain.document(t)[:4] for t in texts]
+    for cut in (None, *(re.compile(c) for c, _ in token_alignment.CUTS)):
+        aligner.cut = cut
+        aligner.words.clear()
+        assert [got[:4] for got in aligner.documents(texts)] == [plain.document(t)[:4] for t in texts]
 
 
 def check_alignment(plain, rows, got):

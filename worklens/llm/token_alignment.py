@@ -11,9 +11,9 @@ A link is a pair of tokens that end together, so the shorter one is an ending of
 are at most as many pairs of ids as the tokens of both vocabularies have bytes, a bound that does not
 grow with the corpus. That is why the corpus-wide counts of pairs may be sent to every task.
 
-Both tokenizers start anew at a space between two other characters, so a text is encoded by such
-words, and a task keeps what it has found for a word. (B's vocabulary is searched for a piece
-that would go on over such a space; if there is one, texts are encoded whole.)
+Both tokenizers start anew at a space between two other characters, at a line end between two, and at a stop after a
+letter, so a text is encoded by such words (each with the sign before it), and a task keeps what it has found for a
+word. (B's vocabulary is searched for a piece that would go on over such a place; if there is one, texts are not cut there.)
 
 Edge cases: a text that is null, empty, or changed by one of the tokenizers (the decoded bytes are
 not the space and the text) has no tokens: zeros and no groups. Strings of special tokens are plain
@@ -38,12 +38,14 @@ from worklens.llm.token_counts import byte_of_character
 ship(__name__)
 
 #: Words whose alignment a task keeps, characters of words encoded together, links in one batch of results.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 500_000
 RUN = 20_000
 BATCH_LINKS = 500_000
 #: A pair of ids as one number: a * PAIR + b.
 PAIR = 1 << 32
-WORD = re.compile(r"(?<=\S) (?=\S)")
+#: Where a text may be cut: before a space or a line end between two other characters, and before a stop after a letter;
+#: each with what a piece of B would hold that goes on over it.
+CUTS = ((r"(?<=\S)(?= \S)", "[^▁]▁"), (r"(?<=\S)(?=\n\S)", r"\n"), (r"(?<=[^\W\d_])(?=[,.;:!?])", r"[^\W\d_][,.;:!?]"))
 SPACE = "▁"
 #: Tokens of A, of B, groups, the groups as text, the links.
 Found = tuple[int, int, int, str, bytes]
@@ -63,16 +65,23 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.a_bytes, self.b_bytes = vocabulary_bytes(a_path, b_path)
         self.single = [self.b.is_byte(i) for i in range(self.b.get_piece_size())]
-        pieces = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
-        self.by_words = not any(SPACE in piece.lstrip(SPACE) for piece in pieces)
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        cuts = [cut for cut, over in CUTS if not any(re.search(over, piece) for i, piece in enumerate(pieces) if not self.single[i])]
+        self.cut = re.compile("|".join(cuts)) if cuts else None
         self.words, self.kept = {}, kept
 
     def aligned(self, words: list[str]) -> list[Found | None]:
-        """What is found for words that are encoded as one text, a space before each; [None] if a tokenizer changes a word.
+        """What is found for words (each with the sign before it) that are encoded as one text; [None] if a tokenizer changes a word.
 
-        Of several words, none may begin or end with white space.
+        Of several words, none may begin or end with more white space than its sign.
         """
-        text = " " + " ".join(words)
+        parts, own = [], []
+        for word in words:
+            if word[0] != " ":  # B would put a space before the first one, and signs of two words may not meet
+                parts.append(" a")
+            own.append(len(parts))
+            parts.append(word)
+        text = "".join(parts)
         raw = text.encode()
         encoded, pieces = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
         a, b, spans = encoded.ids, [p.id for p in pieces], np.array(encoded.offsets, dtype=np.int64).reshape(-1, 2)
@@ -95,16 +104,16 @@ class Aligner:
         if shared.any() and single.any():
             upto = self.finer(a, b, *upto, shared, single)
         lengths = np.array([len(self.a_bytes[i]) for i in a]).cumsum()
-        word = np.searchsorted(np.cumsum([len(w.encode()) + 1 for w in words]), lengths[upto[0] - 1], side="left")
+        word = np.searchsorted(np.cumsum([len(p.encode()) for p in parts]), lengths[upto[0] - 1], side="left")
         links = np.array(a, dtype=np.int64)[upto[0] - 1] * PAIR + np.array(b, dtype=np.int64)[upto[1] - 1]
         names = list(map(str, a)), list(map(str, b))
         ends = upto[0].tolist(), upto[1].tolist()
         starts = [0, *ends[0]], [0, *ends[1]]
         shown = [f"{names[0][i]}|{names[1][j]}" if x - i == 1 == y - j else f"{','.join(names[0][i:x])}|{','.join(names[1][j:y])}"
                  for i, x, j, y in zip(starts[0], ends[0], starts[1], ends[1], strict=False)]
-        border = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
+        border = np.searchsorted(word, np.arange(len(parts) + 1)).tolist()
         return [(starts[0][hi] - starts[0][lo], starts[1][hi] - starts[1][lo], hi - lo, ";".join(shown[lo:hi]), links[lo:hi].tobytes())
-                for lo, hi in zip(border, border[1:], strict=False)]
+                for lo, hi in ((border[i], border[i + 1]) for i in own)]
 
     def finer(self, a: list[int], b: list[int], a_upto: np.ndarray, b_upto: np.ndarray, shared: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Coarse groups in which tokens of A share a character and B has single bytes, cut by the bytes they decode to."""
@@ -122,13 +131,14 @@ class Aligner:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Find the alignment of all words of some texts that are not known yet, many words at a time."""
-        new = {w for words in texts for w in words} - self.words.keys()
-        if len(self.words) + len(new) > self.kept:
+        new = set().union(*texts)
+        fresh = new.difference(self.words)
+        if len(self.words) + len(fresh) > self.kept:
             self.words.clear()
-            new = {w for words in texts for w in words}
-        alone = [w for w in new if not self.by_words or w[0].isspace() or w[-1].isspace()]
+            fresh = new
+        alone = [w for w in fresh if self.cut is None or w[1:2].isspace() or w[-1].isspace()]
         run, size = [], 0
-        for w in new.difference(alone):
+        for w in sorted(fresh.difference(alone)):
             run.append(w)
             size += len(w)
             if size >= RUN:
@@ -140,7 +150,7 @@ class Aligner:
 
     def documents(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
         """Per text the counts, the groups, and its distinct links with how often each stands in it."""
-        split = [(WORD.split(text) if self.by_words else [text]) if text else [] for text in texts]
+        split = [(self.cut.split(f" {text}") if self.cut else [f" {text}"]) if text else [] for text in texts]
         self.learn(split)
         for words in split:
             found = [self.words[w] for w in words]
