@@ -265,3 +265,27 @@ def test_suggested_assignee_of_a_known_item(prepared):
     history = prepared.limit(200)
     got = objectives.suggest_assignee(history.limit(20).drop("Assignee_Resource"), history)
     assert got.count() == 20 and got.join(history, "row_id").where(F.col("predicted").isNull()).isEmpty()
+
+
+def test_one_feature_is_not_clustered(prepared):
+    """Two of the four features are needed."""
+    bare = prepared.select("row_id", "Resource_ID", "Current_Workload_Percent")
+    assert not rollups.can_cluster(bare) and rollups.resource_vectors(bare, "Resource_ID").count() == 0
+    two = prepared.select("row_id", "Resource_ID", "Current_Workload_Percent", "Risk_Flag")
+    assert rollups.can_cluster(two) and rollups.resource_vectors(two, "Resource_ID").count() > 1
+
+
+def test_clusters_are_the_nearest_and_do_not_depend_on_layout(prepared):
+    vectors = rollups.resource_vectors(prepared, "Resource_ID")
+    a = unsupervised.cluster_resources(vectors, "Resource_ID", restarts=4).toPandas().sort_values("Resource_ID").reset_index(drop=True)
+    b = unsupervised.cluster_resources(vectors.repartition(7), "Resource_ID", restarts=4).toPandas().sort_values("Resource_ID").reset_index(drop=True)
+    assert (a.cluster == b.cluster).all() and len(a) == vectors.count()
+    x = a[list(unsupervised.VECTOR)].to_numpy()
+    z = (x - x.mean(axis=0)) / np.where(x.std(axis=0) == 0, 1, x.std(axis=0))
+    centers = np.array([z[a.cluster == c].mean(axis=0) for c in range(3)])
+    assert (((z[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1) == a.cluster).all()
+    d2 = ((z[:, None] - z[None]) ** 2).sum(axis=2)
+    c = a.cluster.to_numpy()
+    own = np.array([d2[i][(c == c[i]) & (np.arange(len(c)) != i)].mean() for i in range(len(c))])
+    far = np.array([min(d2[i][c == k].mean() for k in set(c) - {c[i]}) for i in range(len(c))])
+    assert np.isclose(a.silhouette[0], np.where(np.isnan(own), 0, (far - own) / np.maximum(own, far)).mean(), atol=1e-9)

@@ -199,8 +199,20 @@ def feature_means(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return means.unpivot([], list(features), "feature", "mean")
 
 
+#: What a resource vector is made of: each feature and the column it comes from.
+VECTOR_SOURCES = {"workload": "Current_Workload_Percent", "burnout": "Risk_Flag", "sprint_risk": "Success_Label", "consec": "Consecutive_Overloads"}
+
+
+def can_cluster(df: DataFrame) -> bool:
+    """Whether the table has two of the four features at least; with fewer there is nothing to cluster by."""
+    return len(set(VECTOR_SOURCES.values()) & set(df.columns)) >= 2
+
+
 def resource_vectors(df: DataFrame, by: str) -> DataFrame:
+    """Means per resource; a feature the table lacks is 0. A table with fewer than two of them gives no vectors."""
     m = _risk_means(df)
+    if not can_cluster(df):
+        df = df.where(F.lit(False))
     return df.groupBy(by).agg(m["workload"].alias("workload"), m["burnout"].alias("burnout"),
                               m["sprint_risk"].alias("sprint_risk"), m["consec"].alias("consec"))
 

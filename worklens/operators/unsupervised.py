@@ -3,43 +3,107 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark import cloudpickle
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
+from worklens.operators.boosting import Block, Together
 from worklens.operators.encode import standardize
 from worklens.operators.ordering import exact_quantiles
 from worklens.storage import stage
 
+# executors get these functions by value and need not have the repository installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # fixed values: cluster names in ascending order of stress
 CLUSTER_NAMES = ("High Performer", "Mid Performer", "Overloaded")
 VECTOR = ("workload", "burnout", "sprint_risk", "consec")
+MOST_CLUSTERS = 1000
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest center of every row (the first of equally near ones) and the squared distance to it."""
+    d2 = ((x[:, None, :] - centers[None]) ** 2).sum(axis=2)
+    at = d2.argmin(axis=1)
+    return at, d2[np.arange(len(x)), at]
+
+
+def lloyd(rows: DataFrame, by: str, k: int, restarts: int, seed: int, most: int = 100) -> np.ndarray:
+    """The centers of the best of several k-means runs over (``by``, label, features); all runs share their passes.
+
+    A run starts from the rows with the lowest hashes of (run, number of the center, row), so it does
+    not depend on the layout. A pass adds up, for every run and cluster, rows and coordinates.
+    """
+    x = vector_to_array("features")
+    hashed = lambda s, j: F.xxhash64(F.lit(seed + s), F.lit(j), by)
+    first = rows.agg(*[F.min_by(x, hashed(s, j)).alias(f"c{s}_{j}") for s in range(restarts) for j in range(k)]).first()
+    centers = np.array([[first[f"c{s}_{j}"] for j in range(k)] for s in range(restarts)])
+    data, width = Together.of(rows), centers.shape[2]
+
+    def sums(now: np.ndarray):
+        def share(b: Block) -> np.ndarray:
+            out = np.zeros((restarts, k, width + 2))
+            for s in range(restarts):
+                at, d2 = _nearest(b.x, now[s])
+                for i, column in enumerate((np.ones(len(at)), d2, *b.x.T)):
+                    out[s, :, i] = np.bincount(at, weights=column, minlength=k)
+            return out
+        return share
+
+    for _ in range(most):
+        held = data.total(sums(centers)).reshape(restarts, k, width + 2)
+        # a cluster without rows stays where it is
+        moved = np.where(held[:, :, :1] > 0, held[:, :, 2:] / np.maximum(held[:, :, :1], 1.0), centers)
+        if np.abs(moved - centers).max() < 1e-12:
+            break
+        centers = moved
+    return centers[held[:, :, 1].sum(axis=1).argmin()]
+
+
+def silhouette(rows: DataFrame, features: Sequence[str], cluster: str = "cluster") -> DataFrame:
+    """The mean silhouette (one row) of a clustering, by squared distances.
+
+    The mean squared distance from a row to a cluster is |x|^2 - 2 x.mean + mean |y|^2, so sums per cluster are all
+    that is needed. A row alone in its cluster counts 0, as does a table with a single cluster. There may be at most ``MOST_CLUSTERS`` of them, as their sums go to every row.
+    """
+    x = [F.col(f).cast("double") for f in features]
+    norm = sum((c * c for c in x[1:]), x[0] * x[0])
+    per = rows.groupBy(F.col(cluster).alias("_c")).agg(F.count(F.lit(1)).alias("n"), F.avg(norm).alias("norm"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)])
+    found = per.limit(MOST_CLUSTERS + 1).collect()
+    if len(found) > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    kind = rows.schema[cluster].dataType
+    known = F.array(*[F.struct(F.lit(r["_c"]).cast(kind).alias("_c"), *[F.lit(r[c]).alias(c) for c in per.columns[1:]]) for r in found])
+    if not found:
+        return per.agg(F.avg("norm").alias("silhouette"))
+    far = lambda c: norm - 2.0 * sum((v * c[f"m{i}"] for i, v in enumerate(x[1:], 1)), x[0] * c["m0"]) + c["norm"]
+    own = F.element_at(F.filter(known, lambda c: c["_c"].eqNullSafe(F.col(cluster))), 1)
+    other = F.array_min(F.transform(F.filter(known, lambda c: ~c["_c"].eqNullSafe(F.col(cluster))), far))
+    scored = rows.select(F.when(own["n"] > 1, far(own) * own["n"] / (own["n"] - 1)).alias("a"), other.alias("b"))
+    return scored.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
 def cluster_resources(vectors: DataFrame, by: str, k: int = 3, restarts: int = 10, seed: int = 42) -> DataFrame:
-    """k-means on standardised vectors, best of several seeds, clusters ordered by stress."""
-    z = standardize(vectors, VECTOR, keep=(by,))
-    rows = stage(VectorAssembler(inputCols=list(VECTOR), outputCol="features").transform(z).select(by, "features"))
-    k = min(k, rows.limit(k).count())
+    """k-means on standardised vectors, best of several runs, clusters ordered by stress."""
+    z = stage(standardize(stage(vectors), VECTOR, keep=(by, *[F.col(c).alias(f"raw_{c}") for c in VECTOR])))
+    k = min(k, z.limit(k).count())
     if k < 2:
         return vectors.withColumns({"cluster": F.lit(0), "cluster_name": F.lit(CLUSTER_NAMES[0]),
                                     "silhouette": F.lit(None).cast("double")})
-    fits = [KMeans(k=k, seed=s, initMode="k-means||").fit(rows) for s in range(seed, seed + restarts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    scored = best.transform(rows)
-    silhouette = ClusteringEvaluator().evaluate(scored)
-    stress = [float(c.mean()) for c in best.clusterCenters()]
-    order = sorted(range(len(stress)), key=lambda c: stress[c])
-    rank = F.create_map(*[F.lit(v) for c in range(len(stress)) for v in (c, order.index(c))])
+    rows = z.select(by, F.lit(0.0).alias("label"), array_to_vector(F.array(*VECTOR)).alias("features"))
+    centers = lloyd(rows, by, k, restarts, seed)
+    centers = centers[np.argsort(centers.mean(axis=1), kind="stable")]
+    far = [sum(((F.col(c) - float(v)) ** 2 for c, v in zip(VECTOR, center, strict=True)), F.lit(0.0)) for center in centers]
+    d2 = F.array(*far)
     names = F.array(*[F.lit(n) for n in CLUSTER_NAMES])
-    labelled = scored.select(by, rank[F.col("prediction")].alias("cluster"))
-    return (vectors.join(labelled, by)
-            .withColumn("cluster_name", names[F.col("cluster")]).withColumn("silhouette", F.lit(float(silhouette))))
+    labelled = z.withColumn("cluster", (F.array_position(d2, F.array_min(d2)) - 1).cast("int"))
+    return labelled.select(by, *[F.col(f"raw_{c}").alias(c) for c in VECTOR], "cluster", names[F.col("cluster")].alias("cluster_name"),
+                           silhouette(labelled, VECTOR).select("silhouette").scalar().alias("silhouette"))
 
 
 def _average_path(n: np.ndarray | int):

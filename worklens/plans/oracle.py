@@ -660,10 +660,28 @@ def scanned_by_models() -> list[str]:
             *scan_ctes((), "pf", "pred_sprint = 0", "p_sprint", "pred_workload = 1", "p_workload", "pred_burnout = 1")]
 
 
+def silhouette_of_bands() -> str:
+    """All pairs of rows and clusters, from the definition of mean squared distances."""
+    names = ("workload", "burnout", "sprint_risk", "consec")
+    stats = ", ".join(f"avg({c}) as m{j}, case when stddev_pop({c}) = 0 then 1e0 else stddev_pop({c}) end as s{j}" for j, c in enumerate(names))
+    d2 = " + ".join(f"(a.z{j} - b.z{j}) * (a.z{j} - b.z{j})" for j in range(4))
+    return on(
+        f"select {r('avg(case when n = 1 or far is null then 0e0 else coalesce((far - own) / nullif(greatest(own, far), 0), 0e0) end)')} as silhouette from "
+        "(select id, max(case when same then others end) + 1 as n, max(case when same then total / nullif(others, 0) end) as own, "
+        "min(case when not same then total / others end) as far from per group by id)",
+        "rv as (select Resource_ID as id, avg(Current_Workload_Percent) as workload, avg(cast(Risk_Flag as double)) as burnout, "
+        "avg(case when Success_Label = 0 then 1e0 else 0e0 end) as sprint_risk, avg(cast(Consecutive_Overloads as double)) as consec from p group by Resource_ID)",
+        "rz as (select id, case when workload > 1e2 then 2 when workload > 8e1 then 1 else 0 end as band, "
+        + ", ".join(f"({c} - m{j}) / s{j} as z{j}" for j, c in enumerate(names)) + f" from rv, (select {stats} from rv))",
+        f"per as (select a.id, a.band = b.band as same, b.band, count(case when a.id <> b.id then 1 end) as others, sum({d2}) as total "
+        "from rz a, rz b group by a.id, a.band, b.band)")
+
+
 def fitted_sql() -> dict[str, str]:
     scanned = scanned_by_models()
     return {
         "fit_gnb": gaussian_nb(),
+        "silhouette_of_bands": silhouette_of_bands(),
         "fit_ols": on(f"select row_id, {r('y')} as y, {r('predicted')} as predicted from ls", *least_squares(0.0, True)),
         "fit_ridge": on(f"select row_id, {r('y')} as y, {r('predicted')} as predicted from ls", *least_squares(1.0, False)),
         "train_objectives_closed": objectives_closed(),

@@ -349,6 +349,14 @@ def _clusters(df: DataFrame) -> DataFrame:
     return unsupervised.cluster_resources(rollups.resource_vectors(df, "Resource_ID"), "Resource_ID")
 
 
+def _band_silhouette(df: DataFrame) -> DataFrame:
+    """How far the workload bands of resources part them, as a silhouette of their standardised vectors."""
+    vectors = storage.stage(rollups.resource_vectors(df, "Resource_ID"))
+    band = F.when(F.col("workload") > 100.0, 2).when(F.col("workload") > 80.0, 1).otherwise(0).alias("band")
+    z = encode.standardize(vectors, unsupervised.VECTOR, keep=("Resource_ID", band))
+    return unsupervised.silhouette(storage.stage(z), unsupervised.VECTOR, "band")
+
+
 FITTED = (*C.BASE_SPRINT, *C.ENGINEERED, *C.NOVEL)
 
 
@@ -402,6 +410,7 @@ def _model_queries() -> dict[str, Query]:
         "optimal_path_fitted": _with_fitted(whatif.optimal_path),
         "trajectory_fitted": _with_fitted(whatif.trajectory),
         "cluster_resources": on(_clusters),
+        "silhouette_of_bands": on(_band_silhouette),
         "anomaly_flags": on(_anomalies),
         "anomaly_topk": on(lambda df: unsupervised.anomaly_topk(_anomalies(df))),
     }
