@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -40,6 +41,17 @@ def rows_of(batch: pa.RecordBatch, step: int = 512) -> Iterator[list]:
         yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
+def kept_by_worker(key: tuple, make):
+    """``make()``, kept by this Python worker for its later tasks: tables and caches whose size is bounded.
+
+    A new worker makes its own, so nothing depends on it.
+    """
+    kept = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def few(df: DataFrame) -> DataFrame:
     """Two tasks a core: enough for rows on links, which are few beside the documents, without a file for each shuffle partition."""
     return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
@@ -72,4 +84,4 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return stage(few(both.select("e.node", "e.root").distinct()))
 
 
-__all__ = ["components", "few", "partitions", "rows_of", "ship", "stage", "table", "utf8"]
+__all__ = ["components", "few", "kept_by_worker", "partitions", "rows_of", "ship", "stage", "table", "utf8"]

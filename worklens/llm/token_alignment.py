@@ -27,12 +27,13 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
-from worklens.llm.common import ship, stage, table
+from worklens.llm.common import kept_by_worker, ship, stage, table
 from worklens.llm.token_counts import byte_of_character
 
 ship(__name__)
@@ -64,7 +65,8 @@ class Aligner:
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
         self.a_bytes, self.b_bytes = vocabulary_bytes(a_path, b_path)
-        self.single = [self.b.is_byte(i) for i in range(self.b.get_piece_size())]
+        self.single = np.array([self.b.is_byte(i) for i in range(self.b.get_piece_size())], dtype=bool)
+        self.a_lengths = np.array([len(x) for x in self.a_bytes])
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         cuts = [cut for cut, over in CUTS if not any(re.search(over, piece) for i, piece in enumerate(pieces) if not self.single[i])]
         self.cut = re.compile("|".join(cuts)) if cuts else None
@@ -84,12 +86,13 @@ class Aligner:
         text = "".join(parts)
         raw = text.encode()
         encoded, pieces = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
-        a, b, spans = encoded.ids, [p.id for p in pieces], np.array(encoded.offsets, dtype=np.int64).reshape(-1, 2)
+        a, b, spans = encoded.ids, [p.id for p in pieces], np.fromiter(chain.from_iterable(encoded.offsets), dtype=np.int64).reshape(-1, 2)
         if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
             return [None] if len(words) == 1 else [x for word in words for x in self.aligned([word])]
         # B's spans are bytes of the text without its first space; of a character's bytes only the last has a span
-        b_ends = np.array([p.end + 1 for p in pieces], dtype=np.int64)
-        single = np.array([self.single[i] for i in b], dtype=bool)
+        b_ends = np.fromiter((p.end for p in pieces), dtype=np.int64, count=len(b)) + 1
+        ids = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        single = self.single[ids[1]]
         for i in np.flatnonzero(single)[::-1]:
             if pieces[i].begin == pieces[i].end:
                 b_ends[i] = b_ends[i + 1]
@@ -103,9 +106,9 @@ class Aligner:
         upto = np.searchsorted(a_ends, cuts, side="right"), np.searchsorted(b_ends, cuts, side="right")
         if shared.any() and single.any():
             upto = self.finer(a, b, *upto, shared, single)
-        lengths = np.array([len(self.a_bytes[i]) for i in a]).cumsum()
+        lengths = self.a_lengths[ids[0]].cumsum()
         word = np.searchsorted(np.cumsum([len(p.encode()) for p in parts]), lengths[upto[0] - 1], side="left")
-        links = np.array(a, dtype=np.int64)[upto[0] - 1] * PAIR + np.array(b, dtype=np.int64)[upto[1] - 1]
+        links = ids[0][upto[0] - 1] * PAIR + ids[1][upto[1] - 1]
         names = list(map(str, a)), list(map(str, b))
         ends = upto[0].tolist(), upto[1].tolist()
         starts = [0, *ends[0]], [0, *ends[1]]
@@ -188,7 +191,7 @@ def aligning(a_path: str, b_path: str, kept: int = KEPT_WORDS):
             return pa.RecordBatch.from_arrays([*numbers, pa.array(shown, pa.string()), *lists], names=[c.split()[0] for c in _ALIGNED.split(", ")])
 
         for batch in batches:
-            aligner = aligner or Aligner(a_path, b_path, kept)
+            aligner = aligner or kept_by_worker(("aligner", a_path, b_path, kept), lambda: Aligner(a_path, b_path, kept))
             for at in range(0, batch.num_rows, 64):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 64).columns)
                 for doc_id, found in zip(ids, aligner.documents(texts), strict=True):

@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from worklens.llm.common import rows_of, ship, table
+from worklens.llm.common import kept_by_worker, rows_of, ship, table
 
 ship(__name__)
 
@@ -166,6 +166,12 @@ class Pieces(dict):
         self.vocabulary, self.kept = vocabulary, kept
 
     def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.kept:
+            self.clear()
+        self[piece] = found = self.counted(piece)
+        return found
+
+    def counted(self, piece: str) -> bytes:
         raw = piece.encode()
         counts = self.vocabulary.piece_counts(raw)
         if len(raw) > len(piece):
@@ -174,10 +180,7 @@ class Pieces(dict):
         if piece in CONTRACTIONS:
             # before its last letter a contraction is an apostrophe and a letter of their own
             counts[1] = counts[0] + self.vocabulary.piece_counts(piece[1].encode())[-1]
-        if len(self) >= self.kept:
-            self.clear()
-        self[piece] = found = array("i", counts).tobytes()
-        return found
+        return array("i", counts).tobytes()
 
     def total(self, text: str) -> int:
         """The tokens of a text without special strings, cut afresh."""
@@ -237,7 +240,7 @@ def counter(path: str, kept: int = KEPT_PIECES, batch: int = BATCH_PREFIXES):
                                               names=["doc_id", "n_bytes", "prefix_tokens"])
 
         for rows in batches:
-            pieces = pieces or Pieces(Vocabulary(path), kept)
+            pieces = pieces if pieces is not None else kept_by_worker(("pieces", path, kept), lambda: Pieces(Vocabulary(path), kept))
             for doc_id, text in rows_of(rows):
                 counts = prefix_counts(pieces, text or "")
                 ids.append(doc_id)
