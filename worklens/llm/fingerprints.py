@@ -9,9 +9,8 @@ a text without any lexicon term has the hash of all its terms instead.
 
 Terms of the band are found in two passes over all documents without counting rare ones: a
 term in at least a share of all documents is in at least that share of some chunk of them (Savasere,
-Omiecinski and Navathe 1995). Each chunk puts forward its frequent terms, and the rows that partitions
-have left over form one chunk together, so that many small partitions put forward no more than one large
-one. The second pass counts the terms put forward in full, joined as Spark sees fit by their size. Only the lexicon comes to
+Omiecinski and Navathe 1995). Each chunk puts forward its frequent terms, and the partitions that are too small
+for a chunk form one together, so that many small partitions put forward no more than one large one. The second pass counts the terms put forward in full, joined as Spark sees fit by their size. Only the lexicon comes to
 the driver; its size is bounded by terms per document / least share.
 
 Edge cases: a null text is empty; empty texts have equal fingerprints. The next document in
@@ -39,7 +38,8 @@ ship(__name__)
 BAND = (0.01, 0.2)
 SUBSETS, TIERS = 40, 10
 BLANK = "-"
-CHUNK = 2048
+#: Documents of a chunk, and of the smallest one that puts terms forward by itself (a term must then be in six).
+CHUNK, LEAST_CHUNK = 2048, 512
 TERMS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -49,15 +49,25 @@ def terms_of(text: str) -> set[bytes]:
 
 def proposer(least: float):
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(term, n, rows): frequent terms of every ``CHUNK`` rows (n is null), and all counts of the rows left over (rows once)."""
-        df, rows, kept = Counter(), 0, set()
+        """(term, n, rows): frequent terms of every chunk (n is null); of a partition too small for one all counts, and its rows once.
+
+        The rows left over after a partition's last whole chunk belong to that chunk.
+        """
+        ready, ready_rows, df, rows, kept = Counter(), 0, Counter(), 0, set()
+
+        def put(counts: Counter, of: int) -> None:
+            kept.update(t for t, n in counts.items() if n >= least * of)
+
         for batch in batches:
             for text in batch.column(0):
                 df.update(terms_of(text.as_py()))
                 rows += 1
                 if rows == CHUNK:
-                    kept.update(t for t, n in df.items() if n >= least * rows)
-                    df, rows = Counter(), 0
+                    put(ready, ready_rows)
+                    ready, ready_rows, df, rows = df, rows, Counter(), 0
+        if ready_rows or rows >= LEAST_CHUNK:
+            put(ready + df, ready_rows + rows)
+            df, rows = Counter(), 0
         terms, counts = [*kept, *df, None], [*[None] * len(kept), *df.values(), None]
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(counts, pa.int64()), pa.array([None] * (len(terms) - 1) + [rows], pa.int64())],
                                          names=["term", "n", "rows"])
@@ -77,7 +87,7 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[bytes]:
     """The sorted terms of the band, counted over all documents."""
     texts = docs.select(_text().alias("text"))
     rows = docs.count()
-    # the rows that partitions have left over are one more chunk, counted by a shuffle
+    # the partitions too small for a chunk are one together, counted by a shuffle
     put = stage(texts.mapInArrow(proposer(band[0]), "term binary, n long, rows long"))
     spare = put.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     candidates = put.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"), F.max(F.col("n").isNull()).alias("whole")).where(
