@@ -10,7 +10,7 @@ a text without any lexicon term has the hash of all its terms instead.
 Terms of the band are found in two passes over all documents without counting rare ones: a
 term in at least a share of all documents is in at least that share of some chunk of them (Savasere,
 Omiecinski and Navathe 1995). Each chunk puts forward its frequent terms, and the partitions that are too small
-for a chunk form one together, so that many small partitions put forward no more than one large one. The second pass counts the terms put forward in full, joined as Spark sees fit by their size. Only the lexicon comes to
+for a chunk form one together, so that many small partitions put forward no more than one large one. The second pass counts the terms put forward in full; they are broadcast if they are few, else joined by a shuffle. Only the lexicon comes to
 the driver; its size is bounded by terms per document / least share.
 
 Edge cases: a null text is empty; empty texts have equal fingerprints. The next document in
@@ -40,6 +40,8 @@ SUBSETS, TIERS = 40, 10
 BLANK = "-"
 #: Documents of a chunk, and of the smallest one that puts terms forward by itself (a term must then be in six).
 CHUNK, LEAST_CHUNK = 2048, 512
+#: Terms put forward that are sent to all tasks; more are joined by a shuffle.
+SENT_TERMS = 200_000
 TERMS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -92,7 +94,10 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[bytes]:
     spare = put.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     candidates = put.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"), F.max(F.col("n").isNull()).alias("whole")).where(
         F.col("whole") | (F.col("n") >= band[0] * spare)).select("term")
-    df = (texts.mapInArrow(count_terms, "term binary, n long").join(candidates, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    candidates = stage(candidates)
+    # so few that they fit every task keep the other terms' counts out of the shuffle
+    side = F.broadcast(candidates) if candidates.count() <= SENT_TERMS else candidates
+    df = (texts.mapInArrow(count_terms, "term binary, n long").join(side, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
           .where(F.col("df").between(band[0] * rows, band[1] * rows)).select("term").toPandas()["term"])
     return sorted(map(bytes, df))
 
