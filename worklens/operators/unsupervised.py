@@ -56,7 +56,7 @@ def lloyd(rows: DataFrame, by: str, k: int, restarts: int, seed: int, most: int
         return share
 
     for _ in range(most):
-        held = data.total(sums(centers)).reshape(restarts, k, width + 2)
+        held = data.total(sums(centers), values=True).reshape(restarts, k, width + 2)
         # a cluster without rows stays where it is
         moved = np.where(held[:, :, :1] > 0, held[:, :, 2:] / np.maximum(held[:, :, :1], 1.0), centers)
         if np.abs(moved - centers).max() < 1e-12:
