@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from worklens import columns as C
-from worklens.operators import boosting, encode, ensembles, features, models, objectives, rollups, unsupervised
+from worklens.operators import boosting, encode, ensembles, features, isotonic, models, objectives, rollups, unsupervised
 
 
 @pytest.fixture(scope="module")
@@ -289,3 +289,51 @@ def test_clusters_are_the_nearest_and_do_not_depend_on_layout(prepared):
     own = np.array([d2[i][(c == c[i]) & (np.arange(len(c)) != i)].mean() for i in range(len(c))])
     far = np.array([min(d2[i][c == k].mean() for k in set(c) - {c[i]}) for i in range(len(c))])
     assert np.isclose(a.silhouette[0], np.where(np.isnan(own), 0, (far - own) / np.maximum(own, far)).mean(), atol=1e-9)
+
+
+def max_min(pairs):
+    """Isotonic values of (x, y) by the max-min form: {x: value}."""
+    xs = sorted({x for x, _ in pairs})
+    s = [sum(y for v, y in pairs if v == x) for x in xs]
+    w = [sum(1 for v, _ in pairs if v == x) for x in xs]
+    mean = lambda a, b: sum(s[a:b + 1]) / sum(w[a:b + 1])
+    n = len(xs)
+    return {xs[i]: max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)}
+
+
+def isotonic_rows():
+    rng = np.random.default_rng(3)
+    rising = [(0, float(x), float(rng.random() < x / 60)) for x in rng.integers(0, 60, 300)]
+    falling = [(1, float(x), float(60 - x)) for x in range(60)]
+    # rising inside every stretch of eight, falling from one to the next
+    saw = [(2, float(x), float(x % 8 - x // 8)) for x in range(64)]
+    sorted_ = [(3, float(x), float(x)) for x in range(40)]
+    return rising + falling + saw + sorted_ + [(4, 2.0, 1.0), (4, None, 0.0), (4, 3.0, None), (4, float("nan"), 0.0)]
+
+
+def test_isotonic_is_the_max_min_form(spark):
+    rows = isotonic_rows()
+    blocks = isotonic.fit(spark.createDataFrame(rows, "model int, x double, y double")).toPandas()
+    for model in range(4):
+        want = max_min([(x, y) for m, x, y in rows if m == model])
+        mine = blocks[blocks["model"] == model].sort_values("lo")
+        assert (mine["hi"].to_numpy()[:-1] < mine["lo"].to_numpy()[1:]).all()
+        for x, value in want.items():
+            held = mine[(mine["lo"] <= x) & (x <= mine["hi"])]
+            assert len(held) == 1 and abs(held["value"].iloc[0] - value) < 1e-9
+    assert blocks[blocks["model"] == 4][["lo", "hi", "value"]].to_numpy().tolist() == [[2.0, 2.0, 1.0]]
+
+
+def test_isotonic_values_are_lines_between_blocks(spark):
+    rows = isotonic_rows()
+    blocks = isotonic.fit(spark.createDataFrame(rows, "model int, x double, y double"))
+    asked = [(m, x) for m in range(4) for x in (-5.0, 0.0, 0.25, 7.5, 31.9, 31.9, 63.0, 99.0)] + [(0, None), (9, 1.0)]
+    got = isotonic.predict(blocks, spark.createDataFrame(asked, "model int, x double")).toPandas()
+    assert len(got) == len(asked)
+    for m, x, value in got.itertuples(index=False):
+        if m == 9 or x != x:
+            assert value is None or value != value
+            continue
+        want = sorted(max_min([(a, b) for k, a, b in rows if k == m]).items())
+        assert abs(value - np.interp(x, *zip(*want))) < 1e-9
+    assert isotonic.fit(spark.createDataFrame([], "model int, x double, y double")).count() == 0

@@ -522,6 +522,20 @@ def classify() -> str:
 RULE = ("rp as (select Success_Label as y, case when Percent_Done / 1e2 > 0.5e0 then 1 else 0 end as pred, Percent_Done / 1e2 as p from p)")
 
 
+def isotonic_rule() -> str:
+    """The largest over starts of the least mean over ends, then lines between the knots."""
+    value = ("case when lo.k is null then hi.v when hi.k is null or hi.k = lo.k then lo.v "
+             "else lo.v + (hi.v - lo.v) * (te.p - lo.k) / (hi.k - lo.k) end")
+    return on(
+        f"select row_id, y, {r('te.p')} as p, {r(value)} as calibrated from te asof left join knots lo on te.p >= lo.k asof left join knots hi on te.p <= hi.k",
+        f"rows_ as (select row_id, Success_Label as y, Percent_Done / 1e2 as p, {PART} = 0 as held from p)", "te as (select * from rows_ where held)",
+        "pool as (select p, row_number() over (order by p) as i, sum(sum(y)) over (order by p) as cs, sum(count(*)) over (order by p) as cw, sum(y) as s, count(*) as w "
+        "from rows_ where not held group by p)",
+        "least_ as (select a.i as a, b.i as i, b.p as k, min(cast(b.cs - a.cs + a.s as double) / cast(b.cw - a.cw + a.w as double)) over (partition by a.i order by b.i desc) as m "
+        "from pool a join pool b on a.i <= b.i)",
+        "knots as (select k, max(m) as v from least_ group by k)")
+
+
 def report_rows() -> str:
     f1 = "case when precision + recall > 0 then precision * recall * 2e0 / (precision + recall) else 0e0 end"
     per = ("select c as label, count(case when y = c then 1 end) as support, "
@@ -559,6 +573,7 @@ def wide_sql(draws: int = 1000) -> dict[str, str]:
             f"select {r('sum(case when y = 1 then below + ties / 2e0 end) / (count(case when y = 1 then 1 end) * cast(count(case when y = 0 then 1 end) as double))')} as auc from "
             "(select y, sum(1 - y) over (order by p range between unbounded preceding and current row) - sum(1 - y) over (partition by p) as below, "
             "sum(1 - y) over (partition by p) as ties from rp)", RULE),
+        "isotonic_rule": isotonic_rule(),
         "brier_score": on(f"select {r('avg((p - y) * (p - y))')} as brier from rp", RULE),
         "regression_metrics": on(
             f"select {r('1e0 - mse / spread')} as r2, {r('mse')} as mse, {r('sqrt(mse)')} as rmse, {r('mae')} as mae from "

@@ -11,7 +11,7 @@ from worklens import columns as C
 from worklens import storage
 from worklens.functions import settle
 from worklens.operators import (
-    encode, ensembles, features, metrics, models, neighbors, objectives, prep, profile, risk_scan, rollups, unsupervised, whatif,
+    encode, ensembles, features, isotonic, metrics, models, neighbors, objectives, prep, profile, risk_scan, rollups, unsupervised, whatif,
 )
 from worklens.sources import scan_csv, scan_parquet, work_items, write_csv, write_parquet
 
@@ -201,6 +201,13 @@ def _knn_classify(df: DataFrame) -> DataFrame:
     return neighbors.knn_vote(matches)
 
 
+def _isotonic_rule(df: DataFrame) -> DataFrame:
+    """The share done as a probability, calibrated on the training rows: (row_id, y, p, calibrated) of the held-out rows."""
+    train, test = (prep.rule_prediction(part).withColumn("model", F.lit(0)) for part in encode.split_80_20(df))
+    maps = isotonic.fit(train.withColumn("x", F.col("p")))
+    return isotonic.predict(maps, test, "p", "calibrated").select("row_id", "y", "p", "calibrated")
+
+
 def _wide_queries() -> dict[str, Query]:
     rule = whatif.rule_score()
     on = _on_prepared
@@ -217,6 +224,7 @@ def _wide_queries() -> dict[str, Query]:
         "roc_auc": on(lambda df: metrics.roc_auc(prep.rule_prediction(df))),
         "brier_score": on(lambda df: metrics.brier_score(prep.rule_prediction(df))),
         "regression_metrics": on(_regression),
+        "isotonic_rule": _on_staged(("row_id", "Percent_Done", "Success_Label"), _isotonic_rule),
         "agent_scan_scored": on(_scored_scan),
         "monte_carlo": on(lambda df: whatif.monte_carlo(df, rule, DRAWS)),
         "monte_carlo_histogram": on(lambda df: whatif.monte_carlo_histogram(df, rule, DRAWS)),
