@@ -337,3 +337,13 @@ def test_isotonic_values_are_lines_between_blocks(spark):
         want = sorted(max_min([(a, b) for k, a, b in rows if k == m]).items())
         assert abs(value - np.interp(x, *zip(*want))) < 1e-9
     assert isotonic.fit(spark.createDataFrame([], "model int, x double, y double")).count() == 0
+
+
+def test_tree_samples_are_the_lowest_hashes(spark):
+    from hashlib import md5
+    rows = spark.range(3000).withColumnRenamed("id", "row_id")
+    got = unsupervised.tree_samples(rows, trees=3, sample=64, seed=7).toPandas()
+    for tree in range(3):
+        want = sorted(range(3000), key=lambda i: (md5(f"7/{tree}/{i}".encode()).hexdigest(), i))[:64]
+        assert sorted(got[got["tree"] == tree]["row_id"]) == sorted(want)
+    assert unsupervised.tree_samples(rows.limit(5), trees=2).count() == 10 and unsupervised.tree_samples(rows.limit(0)).count() == 0

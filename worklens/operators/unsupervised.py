@@ -141,22 +141,33 @@ def _build(seed: int, depth_limit: int):
     return build
 
 
+def tree_samples(rows: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """``rows`` of each tree: the ``sample`` rows of the whole table with the lowest hashes of (seed, tree, row_id).
+
+    Only rows under a cut that leaves about twice as many to each tree are multiplied, so a large
+    table is not (a tree falls short of its sample by a deviation of eleven).
+    """
+    draw = lambda t: F.md5(F.concat_ws("/", F.lit(str(seed)), t.cast("string"), F.col("row_id").cast("string")))
+    cut = math.ceil(2 * sample / max(1, rows.count()) * (1 << 32))
+    tree = F.sequence(F.lit(0), F.lit(trees - 1))
+    if cut < 1 << 32:
+        # digits of a hash compare like its number
+        tree = F.filter(tree, lambda t: draw(t) < F.lit(f"{cut:08x}"))
+    drawn = rows.withColumn("tree", F.explode(tree))
+    # the group limit is applied before the shuffle
+    order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "row_id")
+    return drawn.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).drop("at")
+
+
 def isolation_scores(df: DataFrame, features: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """row_id and score in [-1, 0): lower is more isolated (Liu, Ting and Zhou, 2008).
 
-    Each tree sees the ``sample`` rows of the whole table with the lowest hashes of (tree, row).
-    Only rows under a cut that leaves about twice as many to each tree are multiplied, so a large
-    table is not (a tree falls short of its sample by a deviation of eleven). The forest (trees x at most 511 nodes) is shipped to the scoring tasks.
+    The trees grow on ``tree_samples``; the forest (trees x at most 511 nodes) is shipped to the scoring tasks.
     """
     spark = df.sparkSession
     rows = stage(df.select("row_id", F.array(*[F.col(f).cast("double") for f in features]).alias("f")), by="row_id")
     n = rows.count()
-    draw = lambda t: F.pmod(F.xxhash64(F.lit(seed + 1), t, "row_id"), F.lit(1 << 31))
-    cut = min(1 << 31, math.ceil(2 * sample / max(1, n) * (1 << 31)))
-    drawn = rows.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < cut)))
-    # the group limit is applied before the shuffle
-    order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "row_id")
-    picked = drawn.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).select("tree", "row_id", "f")
+    picked = tree_samples(rows, trees, sample, seed).select("tree", "row_id", "f")
     psi = max(2, min(sample, n))
     schema = "tree int, node int, dim int, cut double, left int, right int, path double"
     forest = picked.groupBy("tree").applyInPandas(_build(seed, math.ceil(math.log2(psi))), schema).toPandas()

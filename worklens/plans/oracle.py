@@ -574,6 +574,8 @@ def wide_sql(draws: int = 1000) -> dict[str, str]:
             "(select y, sum(1 - y) over (order by p range between unbounded preceding and current row) - sum(1 - y) over (partition by p) as below, "
             "sum(1 - y) over (partition by p) as ties from rp)", RULE),
         "isotonic_rule": isotonic_rule(),
+        "isolation_samples": on("select cast(tree as int) as tree, row_id from (select tree, row_id, row_number() over (partition by tree "
+                                "order by md5('42/' || tree || '/' || row_id), row_id) as place from p, range(100) t(tree)) where place <= 256"),
         "brier_score": on(f"select {r('avg((p - y) * (p - y))')} as brier from rp", RULE),
         "regression_metrics": on(
             f"select {r('1e0 - mse / spread')} as r2, {r('mse')} as mse, {r('sqrt(mse)')} as rmse, {r('mae')} as mae from "

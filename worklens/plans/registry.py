@@ -420,6 +420,7 @@ def _model_queries() -> dict[str, Query]:
         "cluster_resources": on(_clusters),
         "silhouette_of_bands": on(_band_silhouette),
         "anomaly_flags": on(_anomalies),
+        "isolation_samples": _on_staged(("row_id",), lambda df: unsupervised.tree_samples(df).select("tree", "row_id")),
         "anomaly_topk": on(lambda df: unsupervised.anomaly_topk(_anomalies(df))),
     }
 
