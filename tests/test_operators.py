@@ -171,6 +171,18 @@ def test_knn_equals_brute_force(spark, monkeypatch, own):
     assert {r["query_id"]: [n["row_id"] for n in r["neighbors"]] for r in got} == want
 
 
+@pytest.mark.parametrize(("top", "k"), [(1, 5), (4, 5), (4, 40)])
+def test_knn_of_two_levels_equals_brute_force(spark, monkeypatch, top, k):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(4)
+    pts = dict(enumerate(np.concatenate([np.full((30, 2), 0.5), rng.normal(size=(300, 2)), rng.normal(size=(40, 2)) * 1e-3 + 9.0])))
+    asked = {1000 + i: q for i, q in enumerate(np.concatenate([rng.normal(size=(40, 2)) * 3, [[50.0, -50.0], [9.0, 9.0], [0.5, 0.5]]]))}
+    frame = lambda rows: spark.createDataFrame([(i, *map(float, p)) for i, p in rows.items()], "row_id bigint, a double, b double")
+    got = neighbors.knn_join(frame(asked), frame(pts), ["a", "b"], k, top_leaves=top, leaf_rows=10).collect()
+    known = {i: p for i, p in pts.items() if i >= 30 or i <= k}
+    assert {r["query_id"]: [n["row_id"] for n in r["neighbors"]] for r in got} == brute(known, asked, k, False)
+
+
 def test_knn_fewer_rows_than_k(spark):
     df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 5.0)], "row_id bigint, a double")
     got = {r["query_id"]: [n["row_id"] for n in r["neighbors"]]
