@@ -309,6 +309,11 @@ def score_histogram(df: DataFrame, p: str, bins: int = 20) -> DataFrame:
     """Equal bins on [0, 1], the last one closed; empty bins are present with 0."""
     slot = F.least(F.floor(F.col(p) * float(bins)), F.lit(bins - 1)).cast("int")
     counted = df.groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("records"))
-    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return binned(counted, bins)
+
+
+def binned(counted: DataFrame, bins: int) -> DataFrame:
+    """Every bin with its start and its records; empty bins are present with 0."""
+    every = counted.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(counted, "bin", "left").select(
         "bin", (F.col("bin") / float(bins)).alias("bin_start"), F.coalesce("records", F.lit(0)).alias("records"))
