@@ -347,3 +347,31 @@ def test_tree_samples_are_the_lowest_hashes(spark):
         want = sorted(range(3000), key=lambda i: (md5(f"7/{tree}/{i}".encode()).hexdigest(), i))[:64]
         assert sorted(got[got["tree"] == tree]["row_id"]) == sorted(want)
     assert unsupervised.tree_samples(rows.limit(5), trees=2).count() == 10 and unsupervised.tree_samples(rows.limit(0)).count() == 0
+
+
+def test_trees_are_walked_by_columns():
+    """Every row gets the place that walking it down alone gives, and passes touch no row one by one."""
+    rng = np.random.default_rng(5)
+    bins = rng.integers(0, boosting.MAX_BINS, (6, 500)).astype(np.uint8)
+    for depth in (1, 2, 3, 4):
+        inner = (1 << depth) - 1
+        feature, cut = rng.integers(0, 6, inner), np.where(rng.random(inner) < 0.2, 255, rng.integers(0, boosting.MAX_BINS, inner))
+        want = []
+        for row in bins.T:
+            node = 0
+            for _ in range(depth):
+                node = 2 * node + 1 + int(row[feature[node]] > cut[node])
+            want.append(node - inner)
+        assert boosting._down(feature, cut, bins, depth).tolist() == want
+
+
+def test_stored_bins_stand_by_feature_and_scores_match_the_passes(split):
+    """A model's margins over vectors are those that its trees give over the staged bins."""
+    data = boosting.Together.of(split.train)
+    model = models.gbt(6, 4).fit_all(data)[0]
+    blocks = [b for r in data.blocks.toArrow().to_batches() for b in boosting._read([r], 1)]
+    assert all(b.bins.shape == (len(data.cuts), len(b.y)) and b.bins.flags.c_contiguous for b in blocks)
+    bins = np.hstack([b.bins for b in blocks])
+    want = model.start + sum(boosting._scores(t, bins) for t in model.trees)
+    got = split.train.select(model.margin(vector_to_array("features")).alias("m")).toPandas()["m"]
+    assert np.allclose(np.sort(want), np.sort(got.to_numpy()), atol=1e-12)
