@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as public
 import pytest
 import sentencepiece
@@ -234,3 +235,39 @@ def test_search_equals_sql(spark):
     got = sorted(map(tuple, lexical_search.op13_ranked_lexical_search(spark, SF).select(*columns).collect()))
     assert got and got == sorted(con.execute(f"select {', '.join(columns)} from ({lexical_search.ORACLE})").fetchall())
     assert spark.read.parquet(f"{SF}/benchmark.parquet").select(F.count("*")).first()[0] > 0
+
+
+def test_alignment_weighs_large_batches_in_parts(monkeypatch):
+    """The sums of a batch do not depend on how many rows are weighed at once, and no part is larger than asked."""
+    g = np.random.default_rng(3)
+    known = np.sort(g.choice(10_000, 300, replace=False)).astype(np.int64)
+    links, best = g.integers(1, 50, 300), g.integers(0, 2, 300)
+    pairs = [np.sort(g.choice(known, g.integers(0, 40), replace=False)) for _ in range(1000)]
+    times = [g.integers(1, 9, len(p)).astype(np.int32) for p in pairs]
+    batch = pa.RecordBatch.from_arrays([*[pa.array(np.arange(1000)) for _ in range(4)], pa.array(["x"] * 1000), pa.array(pairs, pa.list_(pa.int64())),
+                                        pa.array(times, pa.list_(pa.int32()))], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"])
+
+    class Counts:
+        value = known, links, best
+
+    parts = list(token_alignment.weigher(Counts)(iter([batch])))
+    assert max(p.num_rows for p in parts) <= token_alignment.WEIGHED_ROWS
+    got = pa.Table.from_batches(parts)
+    at = [np.searchsorted(known, p) for p in pairs]
+    assert got["doc_id"].to_pylist() == list(range(1000))
+    assert got["n_links"].to_pylist() == [int(t.sum()) for t in times]
+    assert got["n_best"].to_pylist() == [int((t * best[a]).sum()) for t, a in zip(times, at, strict=True)]
+    assert got["count_sum"].to_pylist() == [int((t * links[a]).sum()) for t, a in zip(times, at, strict=True)]
+
+
+def test_alignment_keeps_frequent_words_and_a_bounded_number():
+    aligner, fresh = token_alignment.Aligner(BPE, PIECES, 40), token_alignment.Aligner(BPE, PIECES, 10 ** 6)
+    asked = []
+    whole = aligner.aligned
+    aligner.aligned = lambda words: asked.extend(words) or whole(words)
+    for i in range(60):
+        text = f"often word{i} other{i} again{i}"
+        assert [x.tolist() if isinstance(x, np.ndarray) else x for x in next(aligner.documents([text]))] == [
+            x.tolist() if isinstance(x, np.ndarray) else x for x in next(fresh.documents([text]))]
+        assert len(aligner.words) + len(aligner.older) <= 40
+    assert asked.count(" often") == 1

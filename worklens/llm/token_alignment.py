@@ -33,15 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
-from worklens.llm.common import kept_by_worker, ship, stage, table
+from worklens.llm.common import forget, kept_by_worker, ship, stage, table
 from worklens.llm.token_counts import byte_of_character
 
 ship(__name__)
 
-#: Words whose alignment a task keeps, characters of words encoded together, links in one batch of results.
-KEPT_WORDS = 500_000
+#: Words whose alignment a worker keeps, characters of words encoded together, links in one batch of results, rows weighed at once.
+KEPT_WORDS = 250_000
 RUN = 20_000
 BATCH_LINKS = 500_000
+WEIGHED_ROWS = 256
 #: A pair of ids as one number: a * PAIR + b.
 PAIR = 1 << 32
 #: Where a text may be cut: before a space or a line end between two other characters, and before a stop after a letter;
@@ -50,7 +51,7 @@ CUTS = ((r"(?<=\S)(?= \S)", "[^▁]▁"), (r"(?<=\S)(?=\n\S)", r"\n"), (r"(?<=[^
 SPACE = "▁"
 #: Tokens of A, of B, groups, the groups as text, the links.
 Found = tuple[int, int, int, str, bytes]
-_ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups string, pairs array<long>, times array<long>"
+_ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups string, pairs array<long>, times array<int>"
 _COUNTED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, n_links long, n_best long, count_sum long"
 
 
@@ -70,7 +71,7 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         cuts = [cut for cut, over in CUTS if not any(re.search(over, piece) for i, piece in enumerate(pieces) if not self.single[i])]
         self.cut = re.compile("|".join(cuts)) if cuts else None
-        self.words, self.kept = {}, kept
+        self.words, self.older, self.kept = {}, {}, kept
 
     def aligned(self, words: list[str]) -> list[Found | None]:
         """What is found for words (each with the sign before it) that are encoded as one text; [None] if a tokenizer changes a word.
@@ -133,12 +134,19 @@ class Aligner:
         return tuple(np.sort(np.concatenate([x, np.array(y, dtype=np.int64)])) for x, y in zip(kept, added, strict=True))
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Find the alignment of all words of some texts that are not known yet, many words at a time."""
+        """Find the alignment of all words of some texts that are not known yet, many words at a time.
+
+        Words are kept in two halves: when the newer one is full it becomes the older one, and words that
+        are met again move to the newer one, so that frequent words stay.
+        """
         new = set().union(*texts)
         fresh = new.difference(self.words)
-        if len(self.words) + len(fresh) > self.kept:
-            self.words.clear()
+        if len(self.words) + len(fresh) > self.kept // 2:
+            self.words, self.older = {}, self.words
             fresh = new
+        met = [w for w in fresh if w in self.older]
+        self.words.update((w, self.older[w]) for w in met)
+        fresh = fresh.difference(met)
         alone = [w for w in fresh if self.cut is None or w[1:2].isspace() or w[-1].isspace()]
         run, size = [], 0
         for w in sorted(fresh.difference(alone)):
@@ -158,11 +166,11 @@ class Aligner:
         for words in split:
             found = [self.words[w] for w in words]
             if not found or None in found:
-                yield 0, 0, 0, "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+                yield 0, 0, 0, "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
             else:
                 n_a, n_b, n_groups, shown, links = zip(*found, strict=True)
                 pairs, times = np.unique(np.frombuffer(b"".join(links), dtype=np.int64), return_counts=True)
-                yield sum(n_a), sum(n_b), sum(n_groups), ";".join(shown), pairs, times
+                yield sum(n_a), sum(n_b), sum(n_groups), ";".join(shown), pairs, times.astype(np.int32)
 
 
 def vocabulary_bytes(a_path: str, b_path: str) -> tuple[list[bytes], list[bytes]]:
@@ -218,22 +226,28 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return counts.withColumn("best", F.col("links") == F.max("links").over(of_b))
 
 
+def weighed(part: pa.RecordBatch, known: np.ndarray, links: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+    """The rows of a batch with the sums over their links."""
+    pairs, times = part.column("pairs"), part.column("times")
+    flat, n = pairs.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
+    at = np.searchsorted(known, flat)
+    row = np.repeat(np.arange(part.num_rows), pairs.value_lengths().to_numpy())
+    sums = []
+    for x in (n, n * best[at], n * links[at]):
+        total = np.zeros(part.num_rows, dtype=np.int64)
+        np.add.at(total, row, x)
+        sums.append(pa.array(total))
+    kept = [part.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")]
+    return pa.RecordBatch.from_arrays([*kept, *sums], names=[c.split()[0] for c in _COUNTED.split(", ")])
+
+
 def weigher(counts):
+    """Sums over links a few hundred rows at a time: a batch holds thousands of rows of hundreds of links each."""
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, links, best = counts.value
+        forget("aligner")  # its words are not needed any more
         for batch in batches:
-            pairs, times = batch.column("pairs"), batch.column("times")
-            flat, n = pairs.flatten().to_numpy(), times.flatten().to_numpy()
-            at = np.searchsorted(known, flat)
-            lengths = pairs.value_lengths().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            sums = []
-            for x in (n, n * best[at], n * links[at]):
-                total = np.zeros(batch.num_rows, dtype=np.int64)
-                np.add.at(total, row, x)
-                sums.append(pa.array(total))
-            kept = [batch.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")]
-            yield pa.RecordBatch.from_arrays([*kept, *sums], names=[c.split()[0] for c in _COUNTED.split(", ")])
+            for at in range(0, batch.num_rows, WEIGHED_ROWS):
+                yield weighed(batch.slice(at, WEIGHED_ROWS), *counts.value)
     return weigh
 
 
