@@ -190,6 +190,22 @@ def test_knn_fewer_rows_than_k(spark):
     assert got == {1: [2, 3], 2: [1, 3], 3: [2, 1]}
 
 
+def test_knn_searches_a_point_once(spark, monkeypatch):
+    """Queries at one point share a search; own rows, repeated ids and ids that the history lacks are kept apart."""
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 20)
+    asked, visit = [], neighbors._visit
+    monkeypatch.setattr(neighbors, "_visit", lambda queries, *a: asked.append(queries.count()) or visit(queries, *a))
+    spots = np.random.default_rng(5).normal(size=(12, 2))
+    rows = {i: spots[i % 12] for i in range(600)}
+    frame = lambda ids: spark.createDataFrame([(i, *map(float, rows[i])) for i in ids], "row_id bigint, a double, b double")
+    df = frame(rows)
+    got = neighbors.knn_join(df, df, ["a", "b"], 5, exclude_self=True).collect()
+    assert len(got) == 600 and asked[0] == 12
+    assert {r["query_id"]: [n["row_id"] for n in r["neighbors"]] for r in got} == brute(rows, rows, 5, True)
+    got = neighbors.knn_join(df, frame(range(0, 600, 7)), ["a", "b"], 3).collect()
+    assert {r["query_id"]: [n["row_id"] for n in r["neighbors"]] for r in got} == brute({i: rows[i] for i in range(0, 600, 7)}, rows, 3, False)
+
+
 def test_knn_vote_zero_distance_and_ties(spark):
     rows = [(1, [(0.0, 5, "b"), (0.0, 6, "a"), (0.1, 7, "c"), (0.1, 8, "c"), (0.1, 9, "c")]),
             (2, [(0.5, 5, "b"), (0.5, 6, "a"), (1.0, 7, "c")]),
