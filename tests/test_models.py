@@ -1,6 +1,7 @@
 """Invariants of fitted models; exact trees are not comparable across libraries."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -375,3 +376,18 @@ def test_stored_bins_stand_by_feature_and_scores_match_the_passes(split):
     want = model.start + sum(boosting._scores(t, bins) for t in model.trees)
     got = split.train.select(model.margin(vector_to_array("features")).alias("m")).toPandas()["m"]
     assert np.allclose(np.sort(want), np.sort(got.to_numpy()), atol=1e-12)
+
+
+def test_copies_of_rows_cost_no_pass(split):
+    """Rows that are alike stand once in the blocks; models, clusters and thresholds are those of all rows."""
+    rows = split.train.select("row_id", "label", "features", "weight")
+    more = rows.unionByName(rows.where("row_id % 3 = 0")).unionByName(rows.where("row_id % 3 = 0"))
+    once, thrice = boosting.Together.of(rows.where("row_id % 3 = 0")), boosting.Together.of(rows.where("row_id % 3 = 0").crossJoin(rows.sparkSession.range(3)))
+    held = [sum(r["n"] for r in d.blocks.select("n").collect()) for d in (once, thrice)]
+    assert held[0] == held[1]
+    data = boosting.Together.of(more)
+    flat = more.select(vector_to_array("features").alias("_x"), F.col("label").alias("_y"), F.col("weight").alias("_w"), F.lit(-2).alias("_fold"))
+    plain = boosting.Together(boosting.stage(flat.mapInArrow(boosting._cutter(data.cuts, 1), boosting._BLOCKS)), data.cuts, (-1,))
+    score = lambda m: np.array([r["p"] for r in m.transform(split.test).orderBy("row_id").select(vector_to_array("probability")[1].alias("p")).collect()])
+    for make in (lambda: models.gbt(5, 2), lambda: boosting.Boosting(4, 2, weighted=True), lambda: ensembles.AdaBoost(4), lambda: models.softmax(weighted=True), lambda: models.softmax()):
+        assert np.allclose(score(make().fit_all(data)[0]), score(make().fit_all(plain)[0]), atol=1e-9)

@@ -51,7 +51,7 @@ def lloyd(rows: DataFrame, by: str, k: int, restarts: int, seed: int, most: int
             for s in range(restarts):
                 at, d2 = _nearest(b.x, now[s])
                 for i, column in enumerate((np.ones(len(at)), d2, *b.x.T)):
-                    out[s, :, i] = np.bincount(at, weights=column, minlength=k)
+                    out[s, :, i] = np.bincount(at, weights=column * b.times, minlength=k)
             return out
         return share
 
