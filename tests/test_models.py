@@ -391,3 +391,27 @@ def test_copies_of_rows_cost_no_pass(split):
     score = lambda m: np.array([r["p"] for r in m.transform(split.test).orderBy("row_id").select(vector_to_array("probability")[1].alias("p")).collect()])
     for make in (lambda: models.gbt(5, 2), lambda: boosting.Boosting(4, 2, weighted=True), lambda: ensembles.AdaBoost(4), lambda: models.softmax(weighted=True), lambda: models.softmax()):
         assert np.allclose(score(make().fit_all(data)[0]), score(make().fit_all(plain)[0]), atol=1e-9)
+
+
+def test_packed_isolation_trees_score_like_a_walk(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 3)).round(1)
+    pdf = unsupervised._build(5, 6)(pd.DataFrame({"tree": 0, "row_id": range(300), "f": list(x)})).sort_values("node")
+    want = []
+    for row in x:
+        at = 0
+        while pdf["dim"].iloc[at] >= 0:
+            at = int(pdf["left" if row[pdf["dim"].iloc[at]] <= pdf["cut"].iloc[at] else "right"].iloc[at])
+        want.append(pdf["path"].iloc[at])
+    deep, dim, cut, turn, path = unsupervised._packed(pdf, 3)
+    at = np.zeros(300, dtype=np.int64)
+    for _ in range(deep):
+        at = turn[2 * at + (x[np.arange(300), dim[at]] <= cut[at])]
+    assert path[at].tolist() == want
+
+
+def test_tree_samples_spread_over_all_cores(spark):
+    """A few files of ids are dealt out before they are hashed, and no array of hashes is built."""
+    rows = spark.range(5000).withColumnRenamed("id", "row_id").coalesce(1)
+    plan = unsupervised.tree_samples(rows, trees=3, sample=64)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "filter(" not in plan

@@ -147,16 +147,31 @@ def tree_samples(rows: DataFrame, trees: int = 100, sample: int = 256, seed: int
     Only rows under a cut that leaves about twice as many to each tree are multiplied, so a large
     table is not (a tree falls short of its sample by a deviation of eleven).
     """
-    draw = lambda t: F.md5(F.concat_ws("/", F.lit(str(seed)), t.cast("string"), F.col("row_id").cast("string")))
     cut = math.ceil(2 * sample / max(1, rows.count()) * (1 << 32))
-    tree = F.sequence(F.lit(0), F.lit(trees - 1))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows.rdd.getNumPartitions() < parts:
+        # a few MB of ids are much hashing: every core gets a part of them
+        rows = rows.repartition(parts, "row_id")
+    # rows of generated code, not elements of an array: pairs of row and tree only stream by
+    draw = F.md5(F.concat_ws("/", F.col("_tree"), F.col("_id")))
+    drawn = (rows.withColumn("_id", F.col("row_id").cast("string"))
+             .select("*", F.posexplode(F.array(*[F.lit(f"{seed}/{t}") for t in range(trees)])).alias("tree", "_tree")))
     if cut < 1 << 32:
         # digits of a hash compare like its number
-        tree = F.filter(tree, lambda t: draw(t) < F.lit(f"{cut:08x}"))
-    drawn = rows.withColumn("tree", F.explode(tree))
+        drawn = drawn.where(draw < F.lit(f"{cut:08x}"))
     # the group limit is applied before the shuffle
-    order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "row_id")
-    return drawn.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).drop("at")
+    order = Window.partitionBy("tree").orderBy(draw, "row_id")
+    return drawn.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).drop("at", "_id", "_tree")
+
+
+def _packed(nodes: pd.DataFrame, width: int) -> tuple:
+    """A tree for scoring: its depth, and per node its dimension, cut, children (right, left) and path; a leaf leads to itself."""
+    dim, cut, left, right, path = (nodes[c].to_numpy() for c in ("dim", "cut", "left", "right", "path"))
+    leaf, here, deep, level = dim < 0, np.arange(len(dim)), 0, np.zeros(1, dtype=np.int64)
+    turn = np.stack([np.where(leaf, here, right), np.where(leaf, here, left)], axis=1).astype(np.int64)
+    while not leaf[level].all():
+        deep, level = deep + 1, np.unique(turn[level])
+    return deep, np.clip(dim, 0, width - 1).astype(np.int64), cut, turn.ravel(), path
 
 
 def isolation_scores(df: DataFrame, features: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
@@ -171,8 +186,7 @@ def isolation_scores(df: DataFrame, features: Sequence[str], trees: int = 100, s
     psi = max(2, min(sample, n))
     schema = "tree int, node int, dim int, cut double, left int, right int, path double"
     forest = picked.groupBy("tree").applyInPandas(_build(seed, math.ceil(math.log2(psi))), schema).toPandas()
-    packed = [tuple(part.sort_values("node")[c].to_numpy() for c in ("dim", "cut", "left", "right", "path"))
-              for _, part in forest.groupby("tree", sort=True)]
+    packed = [_packed(part.sort_values("node"), len(features)) for _, part in forest.groupby("tree", sort=True)]
     shipped = spark.sparkContext.broadcast(packed)
     scale = float(_average_path(psi))
 
@@ -180,17 +194,12 @@ def isolation_scores(df: DataFrame, features: Sequence[str], trees: int = 100, s
     def score(points: pd.Series) -> pd.Series:
         x = np.stack(points.to_numpy()) if len(points) else np.zeros((0, 1))
         total = np.zeros(len(x))
-        each = np.arange(len(x))
-        for dim, cut, left, right, path in shipped.value:
+        flat, start = x.ravel(), np.arange(len(x)) * x.shape[1]
+        for deep, dim, cut, turn, path in shipped.value:
             at = np.zeros(len(x), dtype=np.int64)
-            while True:
-                d = dim[at]
-                inner = d >= 0
-                if not inner.any():
-                    break
-                go_left = x[each, np.maximum(d, 0)] <= cut[at]
-                at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-            total += path[at]
+            for _ in range(deep):
+                at = turn.take(2 * at + (flat.take(start + dim.take(at)) <= cut.take(at)))
+            total += path.take(at)
         return pd.Series(-np.exp2(-(total / max(len(shipped.value), 1)) / scale))
 
     return rows.select("row_id", score("f").alias("score"))
