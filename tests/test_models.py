@@ -415,3 +415,25 @@ def test_tree_samples_spread_over_all_cores(spark):
     rows = spark.range(5000).withColumnRenamed("id", "row_id").coalesce(1)
     plan = unsupervised.tree_samples(rows, trees=3, sample=64)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and "filter(" not in plan
+
+
+def test_preparing_a_fit_hashes_once_and_learns_from_plain_columns(spark, monkeypatch):
+    n = 200
+    rows = spark.createDataFrame([(i, i % 2, float(i * i % 37), 5.0, float(i)) for i in range(n)],
+                                 "row_id bigint, Success_Label int, Planned_Story_Points_Sprint double, Completed_Story_Points double, Percent_Done double")
+    staged, real = [], models.stage
+    monkeypatch.setattr(models, "stage", lambda df, by=None: staged.append(by) or real(df, by))
+    s = models.prepare_split(rows, models.OBJECTIVES["sprint"], balanced=True)
+    assert staged == ["row_id", None]          # the rows are dealt once, their vectors stay where they are
+    assert "md5" not in s.test._jdf.queryExecution().optimizedPlan().toString()
+    x, _ = local(s.train)
+    train, test = encode.split_80_20(rows)
+    assert s.n_train == train.count() and s.test.count() == test.count()
+    raw = np.array(train.select(*s.names).collect())
+    at = {r["row_id"]: r["features"].toArray() for r in s.train.collect()}
+    want = (raw - raw.mean(axis=0)) / np.where(raw.std(axis=0) > 0, raw.std(axis=0), np.inf)
+    for i, row in enumerate(train.select("row_id").collect()):
+        assert np.allclose(at[row["row_id"]], want[i], atol=1e-12)
+    del staged[:]
+    models.fit_pipeline(rows, models.OBJECTIVES["sprint"], lambda n, rows: models.gaussian_nb())
+    assert staged == ["row_id"]                # naive Bayes reads its rows once: no vectors are written

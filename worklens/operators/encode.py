@@ -106,7 +106,11 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def binary_weight(df: DataFrame, label: str) -> Column:
     """The balanced class weight of a 0/1 label as a row expression."""
-    share = df.agg(F.avg(F.col(label).cast("double")).alias("s")).first()["s"]
+    return weight_at(df.agg(F.avg(F.col(label).cast("double")).alias("s")).first()["s"], label)
+
+
+def weight_at(share: float | None, label: str) -> Column:
+    """The balanced class weight where ``share`` of the rows have label 1."""
     if share is None or share in (0.0, 1.0):
         raise ValueError(f"{label} has a single class")
     return F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1.0 - share))

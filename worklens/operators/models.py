@@ -28,6 +28,8 @@ from worklens.storage import stage
 
 SEED = 42
 MAX_BINS = 64
+#: Estimators that read their rows about once.
+ONE_PASS = (NaiveBayes, LinearRegression)
 
 
 @dataclass(frozen=True)
@@ -84,20 +86,41 @@ def with_label_codes(df: DataFrame, objective: Objective, classes: Sequence[str]
     return df.where(F.col(objective.label).isNotNull()).withColumn(objective.label, code.cast("int"))
 
 
-def fit_scaler(train: DataFrame, names: Sequence[str]) -> PipelineModel:
-    """Assembler and scaler; the scaler divides by the population deviation."""
-    n = train.count()
+def fit_scaler(mean: Sequence[float], spread: Sequence[float], n: int, names: Sequence[str], spark) -> PipelineModel:
+    """Assembler and scaler of ``n`` rows of these means and sample deviations; the scaler divides by the population deviation."""
+    # two rows of the same mean and deviation teach MLlib's scaler what a pass over vectors of all rows would
+    ends = [Vectors.dense([m + side * s / math.sqrt(2.0) for m, s in zip(mean, spread, strict=True)]) for side in (-1.0, 1.0)]
+    scaler = StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True).fit(spark.createDataFrame([(e,) for e in ends], ["_raw"]))
     up = math.sqrt(n / (n - 1)) if n > 1 else 1.0
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=list(names), outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True),
+    return PipelineModel(stages=[
+        VectorAssembler(inputCols=list(names), outputCol="_raw"), scaler,
         ElementwiseProduct(inputCol="_z", outputCol="features", scalingVec=Vectors.dense([up] * len(names))),
-    ]).fit(train)
+    ])
+
+
+def learn(train: DataFrame, names: Sequence[str], balanced: bool) -> tuple[int, PipelineModel, Column]:
+    """Number, scaler and weight of training rows, from one aggregation of plain columns."""
+    found = train.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("label").cast("double")).alias("share"),
+                      F.array(*[F.avg(c) for c in names]).alias("mean"),
+                      F.array(*[F.stddev_samp(c) for c in names]).alias("spread")).first()
+    if not found["n"]:
+        raise ValueError("there are no training rows")
+    mean, spread = ([v or 0.0 for v in found[k]] for k in ("mean", "spread"))
+    weight = encode.weight_at(found["share"], "label") if balanced else F.lit(1.0)
+    return found["n"], fit_scaler(mean, spread, found["n"], names, train.sparkSession), weight
+
+
+def _staged_split(table: DataFrame, stratified: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows of the staged table; the hash of a row's id is taken once, not per pass."""
+    if stratified:
+        return encode.stratified_split(stage(table, by="row_id"), "label")
+    table = stage(table.withColumn("_part", encode.split_bucket()), by="row_id")
+    return table.where("_part <> 0").drop("_part"), table.where("_part = 0").drop("_part")
 
 
 @dataclass
 class Split:
-    """Staged train and test rows (row_id, label, features vector, weight)."""
+    """Train and test rows (row_id, label, features vector, weight)."""
 
     train: DataFrame
     test: DataFrame
@@ -114,16 +137,17 @@ def _vectors(df: DataFrame, scaler: PipelineModel, weight: Column) -> DataFrame:
 
 
 def prepare_split(df: DataFrame, objective: Objective, extra: Sequence[str] = (), balanced: bool = False,
-                  drop_first: bool = False, stratified: bool = False) -> Split:
-    """80/20 hash split (with equal class shares if ``stratified``), scaled on the training part and staged for repeated passes."""
+                  drop_first: bool = False, stratified: bool = False, one_pass: bool = False) -> Split:
+    """80/20 hash split (with equal class shares if ``stratified``), scaled on the training part and staged for repeated passes.
+
+    ``one_pass``: the training vectors are read about once, so they are not staged; their rows are.
+    """
     classes = label_classes(df, objective)
     table, names = training_table(with_label_codes(df, objective, classes), objective, extra, drop_first)
-    table = stage(table, by="row_id")
-    train, test = encode.stratified_split(table, "label") if stratified else encode.split_80_20(table)
-    scaler = fit_scaler(train, names)
-    weight = encode.binary_weight(train, "label") if balanced else F.lit(1.0)
-    train_v = stage(_vectors(train, scaler, weight), by="row_id")
-    return Split(train_v, _vectors(test, scaler, F.lit(1.0)), scaler, names, train_v.count(), classes)
+    train, test = _staged_split(table, stratified)
+    n, scaler, weight = learn(train, names, balanced)
+    train_v = _vectors(train, scaler, weight)
+    return Split(train_v if one_pass else stage(train_v), _vectors(test, scaler, F.lit(1.0)), scaler, names, n, classes)
 
 
 # -- estimators ----------------------------------------------------------------
@@ -209,12 +233,12 @@ def fit_pipeline(df: DataFrame, objective: Objective, make, balanced: bool = Fal
     ``make(n, train_vectors)`` builds the estimator.
     """
     table, names = training_table(df, objective, extra)
-    table = stage(table, by="row_id")
-    train, test = encode.split_80_20(table)
-    scaler = fit_scaler(train, names)
-    weight = encode.binary_weight(train, "label") if balanced else F.lit(1.0)
-    vectors = stage(_vectors(train, scaler, weight), by="row_id")
-    model = make(vectors.count(), vectors).fit(vectors)
+    train, test = _staged_split(table)
+    n, scaler, weight = learn(train, names, balanced)
+    vectors = _vectors(train, scaler, weight)
+    estimator = make(n, vectors)
+    # means and normal equations come from one pass, all others read their rows again and again
+    model = estimator.fit(vectors if isinstance(estimator, ONE_PASS) else stage(vectors))
     return PipelineModel(stages=[*scaler.stages, model]), train, test
 
 

@@ -22,18 +22,20 @@ class Fit:
     algorithm: str
     make: Callable[[models.Split], object] | None = None
     balanced: bool = False
+    # whether the estimator reads its rows about once
+    one_pass: bool = False
 
 
 FAST: Mapping[str, Fit] = {
     "sprint": Fit("Decision Tree", lambda s: models.tree(6), balanced=True),
-    "workload": Fit("Naive Bayes", lambda s: models.gaussian_nb()),
-    "ttr": Fit("Ridge Regression", lambda s: models.ridge(s.n_train, models.label_deviation(s.train))),
+    "workload": Fit("Naive Bayes", lambda s: models.gaussian_nb(), one_pass=True),
+    "ttr": Fit("Ridge Regression", lambda s: models.ridge(s.n_train, models.label_deviation(s.train)), one_pass=True),
     "burnout": Fit("Decision Tree", lambda s: models.tree(5), balanced=True),
     "alloc": Fit("KNN"),
 }
 
 #: The same objectives by methods with a closed form.
-CLOSED: Mapping[str, Fit] = FAST | {name: Fit("Naive Bayes", lambda s: models.gaussian_nb()) for name in ("sprint", "burnout")}
+CLOSED: Mapping[str, Fit] = FAST | {name: Fit("Naive Bayes", lambda s: models.gaussian_nb(), one_pass=True) for name in ("sprint", "burnout")}
 
 
 def coded(df: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -85,7 +87,7 @@ def train_objectives(df: DataFrame, fits: Mapping[str, Fit] = FAST) -> DataFrame
             scored = test.join(voted, F.col("row_id") == F.col("query_id")).select(F.col("Assignee_Resource").alias("y"), F.col("predicted").alias("pred"))
             parts.append(_row(scored, name, fit.algorithm, False))
             continue
-        split = models.prepare_split(df, objective, balanced=fit.balanced)
+        split = models.prepare_split(df, objective, balanced=fit.balanced, one_pass=fit.one_pass)
         model = fit.make(split).fit(split.train)
         scored = models.regress(model, split.test) if name == "ttr" else models.classify(model, split.test)
         parts.append(_row(scored, name, fit.algorithm, name == "ttr"))
