@@ -437,3 +437,10 @@ def test_preparing_a_fit_hashes_once_and_learns_from_plain_columns(spark, monkey
     del staged[:]
     models.fit_pipeline(rows, models.OBJECTIVES["sprint"], lambda n, rows: models.gaussian_nb())
     assert staged == ["row_id"]                # naive Bayes reads its rows once: no vectors are written
+
+
+def test_forests_keep_the_node_of_a_row_between_levels(split):
+    kept = models.forest(3, max_depth=4)
+    assert kept.getCacheNodeIds()
+    walked = kept.copy().setCacheNodeIds(False)
+    assert [t.toDebugString for t in kept.fit(split.train).trees] == [t.toDebugString for t in walked.fit(split.train).trees]

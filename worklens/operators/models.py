@@ -165,7 +165,8 @@ def tree(max_depth: int = 6, weighted: bool = True, min_leaf: int = 10) -> Estim
 
 
 def forest(trees: int = 100, max_depth: int = 10, weighted: bool = False) -> Estimator:
-    est = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, maxBins=MAX_BINS, seed=SEED)
+    # the nodes of a row are kept between levels, so that deep trees are not walked again at every level
+    est = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, maxBins=MAX_BINS, seed=SEED, cacheNodeIds=True)
     return est.setWeightCol("weight") if weighted else est
 
 
