@@ -130,6 +130,25 @@ def test_alignment_by_whole_texts_is_the_same(plain):
         assert [got[:4] for got in aligner.documents(texts)] == [plain.document(t)[:4] for t in texts]
 
 
+def test_alignment_shows_the_groups_of_a_run_at_once(plain):
+    """Groups of many words are written as one text; a word's own part of it is what the word gives alone."""
+    aligner = token_alignment.Aligner(BPE, PIECES, 500)
+    ids, upto = (np.array([7, 8, 9, 10]), np.array([5, 6, 0])), (np.array([2, 3, 4]), np.array([1, 2, 3]))
+    text, starts = aligner.shown(ids, upto)
+    assert text == "7,8|5;9|6;10|0;" and [text[i:] for i in starts] == [text, "9|6;10|0;", "10|0;", ""]
+    words = [" plain", ",", " na\u00efve", "\nline", " \U0001f642x", ".", " \u6f22\u5b57", " words"]
+    assert aligner.aligned(words) == [aligner.aligned([w])[0] for w in words]
+    assert [w[:4] for w in aligner.aligned([" na\u00efve", " words"])] == [plain.document(t)[:4] for t in ("na\u00efve", "words")]
+
+
+def test_alignment_looks_for_cuts_at_their_signs_only():
+    aligner = token_alignment.Aligner(BPE, PIECES, 500)
+    assert aligner.cut.pattern.startswith(token_alignment.SIGNS)
+    plain = re.compile("|".join(c for c, _ in token_alignment.CUTS if c in aligner.cut.pattern))
+    for text in [*made(25, seed=3, count=300), " a.b, c;\n\nd !e 1.2 \u00e9.\u00e9 x\n.y"]:
+        assert aligner.cut.split(f" {text}") == plain.split(f" {text}")
+
+
 def check_alignment(plain, rows, got):
     found = [(i, *plain.document(t)) for i, t in rows]
     counts = Counter(link for row in found for link in row[5])

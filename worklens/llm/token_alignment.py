@@ -48,6 +48,8 @@ PAIR = 1 << 32
 #: Where a text may be cut: before a space or a line end between two other characters, and before a stop after a letter;
 #: each with what a piece of B would hold that goes on over it.
 CUTS = ((r"(?<=\S)(?= \S)", "[^▁]▁"), (r"(?<=\S)(?=\n\S)", r"\n"), (r"(?<=[^\W\d_])(?=[,.;:!?])", r"[^\W\d_][,.;:!?]"))
+#: What a cut stands before: other places are passed over at once.
+SIGNS = r"(?=[ \n,.;:!?])"
 SPACE = "▁"
 #: Tokens of A, of B, groups, the groups as text, the links.
 Found = tuple[int, int, int, str, bytes]
@@ -55,6 +57,14 @@ _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups string, pairs
 _COUNTED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, n_links long, n_best long, count_sum long"
 
 
+class Shown:
+    """Ids as text, by 2 * id within a group and by 2 * id + 1 at the end of its side: what follows differs."""
+
+    def __init__(self, count: int, end: str):
+        self.texts = np.array([f"{i}{sign}" for i in range(count) for sign in (",", end)], dtype=object)
+        self.lengths = np.array(list(map(len, self.texts)), dtype=np.int64)
+
+
 class Aligner:
     """Both tokenizers, and what was found for the words met so far."""
 
@@ -70,7 +80,8 @@ class Aligner:
         self.a_lengths = np.array([len(x) for x in self.a_bytes])
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         cuts = [cut for cut, over in CUTS if not any(re.search(over, piece) for i, piece in enumerate(pieces) if not self.single[i])]
-        self.cut = re.compile("|".join(cuts)) if cuts else None
+        self.cut = re.compile(f"{SIGNS}(?:{'|'.join(cuts)})") if cuts else None
+        self.a_shown, self.b_shown = Shown(len(self.a_bytes), "|"), Shown(len(self.b_bytes), ";")
         self.words, self.older, self.kept = {}, {}, kept
 
     def aligned(self, words: list[str]) -> list[Found | None]:
@@ -88,10 +99,10 @@ class Aligner:
         raw = text.encode()
         encoded, pieces = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
         a, b, spans = encoded.ids, [p.id for p in pieces], np.fromiter(chain.from_iterable(encoded.offsets), dtype=np.int64).reshape(-1, 2)
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return [None] if len(words) == 1 else [x for word in words for x in self.aligned([word])]
         # B's spans are bytes of the text without its first space; of a character's bytes only the last has a span
-        b_ends = np.fromiter((p.end for p in pieces), dtype=np.int64, count=len(b)) + 1
+        b_ends = np.array([p.end for p in pieces], dtype=np.int64) + 1
         ids = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
         single = self.single[ids[1]]
         for i in np.flatnonzero(single)[::-1]:
@@ -103,21 +114,34 @@ class Aligner:
             a_ends = np.append(first, len(raw))[a_ends]
         # an end is a coarse cut of A if the next token does not share its last character
         shared = np.append(spans[1:, 0] < spans[:-1, 1], False)
-        cuts = np.intersect1d(a_ends[~shared], b_ends)
+        ends = np.zeros((2, len(raw) + 1), dtype=bool)
+        ends[0, a_ends[~shared]] = ends[1, b_ends] = True
+        cuts = np.flatnonzero(ends[0] & ends[1])
         upto = np.searchsorted(a_ends, cuts, side="right"), np.searchsorted(b_ends, cuts, side="right")
         if shared.any() and single.any():
             upto = self.finer(a, b, *upto, shared, single)
         lengths = self.a_lengths[ids[0]].cumsum()
-        word = np.searchsorted(np.cumsum([len(p.encode()) for p in parts]), lengths[upto[0] - 1], side="left")
-        links = ids[0][upto[0] - 1] * PAIR + ids[1][upto[1] - 1]
-        names = list(map(str, a)), list(map(str, b))
-        ends = upto[0].tolist(), upto[1].tolist()
-        starts = [0, *ends[0]], [0, *ends[1]]
-        shown = [f"{names[0][i]}|{names[1][j]}" if x - i == 1 == y - j else f"{','.join(names[0][i:x])}|{','.join(names[1][j:y])}"
-                 for i, x, j, y in zip(starts[0], ends[0], starts[1], ends[1], strict=False)]
-        border = np.searchsorted(word, np.arange(len(parts) + 1)).tolist()
-        return [(starts[0][hi] - starts[0][lo], starts[1][hi] - starts[1][lo], hi - lo, ";".join(shown[lo:hi]), links[lo:hi].tobytes())
-                for lo, hi in ((border[i], border[i + 1]) for i in own)]
+        sizes = list(map(len, parts)) if len(raw) == len(text) else [len(p.encode()) for p in parts]
+        word = np.searchsorted(np.cumsum(sizes), lengths[upto[0] - 1], side="left")
+        links = (ids[0][upto[0] - 1] * PAIR + ids[1][upto[1] - 1]).tobytes()
+        shown, chars = self.shown(ids, upto)
+        border = np.searchsorted(word, np.arange(len(parts) + 1))
+        lo, hi = border[own], border[np.array(own) + 1]
+        n_a, n_b = (np.append(0, x)[hi] - np.append(0, x)[lo] for x in upto)
+        first, last = chars[lo], np.maximum(chars[hi] - 1, chars[lo])  # without the sign after the last group
+        return [(i, j, y - x, shown[f:e], links[8 * x:8 * y])
+                for i, j, x, y, f, e in zip(*(c.tolist() for c in (n_a, n_b, lo, hi, first, last)), strict=True)]
+
+    def shown(self, ids: tuple[np.ndarray, np.ndarray], upto: tuple[np.ndarray, np.ndarray]) -> tuple[str, np.ndarray]:
+        """All groups as one text, each with a sign after it, and where in it each group begins (at last its length)."""
+        line, lengths = np.empty(len(ids[0]) + len(ids[1]), dtype=object), np.zeros(len(ids[0]) + len(ids[1]) + 1, dtype=np.int64)
+        for names, tokens, own, before in ((self.a_shown, ids[0], upto[0], np.append(0, upto[1])), (self.b_shown, ids[1], upto[1], upto[0])):
+            # a token stands after those of its own side and those of the other side's groups before it
+            at = np.arange(len(tokens)) + np.repeat(before[:len(own)], np.diff(own, prepend=0))
+            name = 2 * tokens
+            name[own - 1] += 1
+            line[at], lengths[at + 1] = names.texts[name], names.lengths[name]
+        return "".join(line.tolist()), lengths.cumsum()[np.append(0, upto[0] + upto[1])]
 
     def finer(self, a: list[int], b: list[int], a_upto: np.ndarray, b_upto: np.ndarray, shared: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Coarse groups in which tokens of A share a character and B has single bytes, cut by the bytes they decode to."""
