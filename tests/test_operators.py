@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +184,24 @@ def test_knn_of_two_levels_equals_brute_force(spark, monkeypatch, top, k):
     assert {r["query_id"]: [n["row_id"] for n in r["neighbors"]] for r in got} == brute(known, asked, k, False)
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_knn_search_measures_few_points_and_misses_none(shift):
+    """The reach of a query leaves out most points of a cell, and none of its best, also far from the origin and with ties."""
+    rng = np.random.default_rng(6)
+    pts = np.concatenate([rng.normal(size=(900, 4)), rng.integers(0, 3, (100, 4)) * 1.0, np.full((24, 4), 0.5)]) + shift
+    near = ((pts[:, None] - pts[None]) ** 2).sum(axis=2)
+    reach = neighbors._reach(near, 1e-12, np.full(len(pts), 2.0 ** 53), 6)
+    assert (near > reach[:, None]).mean() > 0.9
+    ids = rng.permutation(len(pts)) * 3
+    points = pa.array(pts.tolist(), pa.list_(pa.float64()))
+    queries = pa.table({"query_id": ids, "home": ids, "f": points, "bound": np.full(len(pts), 2.0 ** 53), "hbs": np.ones(len(pts), dtype=np.int32)})
+    history = pa.table({"row_id": ids, "f": points, "payload": pa.array(["1"] * len(pts))})
+    got = neighbors._search(5, True, 4)(queries, history)
+    rows = dict(zip(ids.tolist(), pts, strict=True))
+    found = {i: [c["row_id"] for c in cand] for i, cand in zip(got["query_id"].to_pylist(), got["cand"].to_pylist(), strict=True)}
+    assert found == brute(rows, rows, 5, True)
+
+
 def test_knn_fewer_rows_than_k(spark):
     df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 5.0)], "row_id bigint, a double")
     got = {r["query_id"]: [n["row_id"] for n in r["neighbors"]]
