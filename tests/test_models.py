@@ -446,3 +446,33 @@ def test_forests_keep_the_node_of_a_row_between_levels(split):
     # the first line names the model
     drawn = lambda forest: [t.toDebugString.split("\n", 1)[1] for t in forest.fit(split.train).trees]
     assert drawn(kept) == drawn(walked)
+
+
+def test_passes_add_up_the_lighter_child_only(split, monkeypatch):
+    """The root's weights are added up once, then one child of two; curvatures at the last level, for the leaves."""
+    data, sizes, real = boosting.Together.of(split.train), [], boosting.Together.total
+    monkeypatch.setattr(boosting.Together, "total", lambda *a, **k: sizes.append(real(*a, **k)) or sizes[-1])
+    model = models.gbt(2, 3).fit_all(data)[0]
+    one = len(data.cuts) * boosting.MAX_BINS
+    assert [s.size / one for s in sizes[1:]] == [2, 2, 2 * 2 + 4, 1, 2, 2 * 2 + 4]
+    # every row is in one leaf, and what was taken from the parent is what a count over rows gives
+    bins = np.hstack([boosting._block(r, 1).bins for r in data.read(False).collect()])
+    y = np.concatenate([boosting._block(r, 1).y for r in data.read(False).collect()])
+    times = np.concatenate([boosting._block(r, 1).times for r in data.read(False).collect()])
+    p, leaf = 1 / (1 + np.exp(-model.start)), boosting._down(model.trees[0].feature, model.trees[0].cut, bins, 3)
+    for at in range(8):
+        w = times * (leaf == at)
+        assert np.isclose(model.trees[0].value[at], 0.1 * (w * (y - p)).sum() / (w * p * (1 - p)).sum() if w.sum() else 0.0, atol=1e-12)
+
+
+def test_features_counted_in_pairs_have_their_own_sums():
+    rng = np.random.default_rng(3)
+    for width, slots in ((5, 1), (4, 2), (1, 4)):
+        bins, slot = rng.integers(0, boosting.MAX_BINS, (width, 30_000)).astype(np.uint8), rng.integers(0, slots, 30_000).astype(np.uint8)
+        rows, part = np.flatnonzero(rng.random(30_000) < 0.9), rng.normal(size=30_000)
+        got = boosting._tables(bins, boosting._pairs(bins), slot[rows], rows, (part[rows], np.ones(len(rows))), slots)
+        want = np.zeros((2, slots, width, boosting.MAX_BINS))
+        for f in range(width):
+            np.add.at(want[0, :, f], (slot[rows], bins[f, rows]), part[rows])
+            np.add.at(want[1, :, f], (slot[rows], bins[f, rows]), 1.0)
+        assert np.allclose(got, want, atol=1e-9)
