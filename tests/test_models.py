@@ -476,3 +476,24 @@ def test_features_counted_in_pairs_have_their_own_sums():
             np.add.at(want[0, :, f], (slot[rows], bins[f, rows]), part[rows])
             np.add.at(want[1, :, f], (slot[rows], bins[f, rows]), 1.0)
         assert np.allclose(got, want, atol=1e-9)
+
+
+def test_rows_of_megabytes_are_cut_into_small_row_groups(spark, split):
+    """Passes hold a block at a time; no codec takes pages of many blocks off the heap."""
+    import pyarrow.parquet as pq
+    from worklens.storage import stage
+    rows = spark.range(40).coalesce(1).select("id", F.expr("transform(sequence(1, 131072), x -> sin(x * (id + 1)))").alias("v"))
+    footer = lambda df: pq.ParquetFile(df.inputFiles()[0].removeprefix("file://")).metadata
+    found = footer(stage(rows, wide=True))
+    assert max(found.row_group(i).num_rows for i in range(found.num_row_groups)) <= 20
+    assert {found.row_group(0).column(i).compression for i in range(2)} == {"ZSTD"}
+    assert footer(boosting.Together.of(split.train).blocks).row_group(0).column(1).compression == "ZSTD"
+
+
+def test_newer_scores_replace_the_older_files(split, monkeypatch):
+    monkeypatch.setattr(boosting, "REFRESH", 1)
+    data, dropped, real = boosting.Together.of(split.train), [], boosting.drop
+    monkeypatch.setattr(boosting, "drop", lambda spark, path: dropped.append(path) or real(spark, path))
+    models.gbt(4, 1).fit_all(data)
+    assert len(set(dropped)) == 3 and set(data.files) == {False}
+    assert data.read(False).map(lambda r: r[0]).sum() == sum(r["n"] for r in data.blocks.select("n").collect())
