@@ -331,3 +331,23 @@ def test_text_sink_keeps_keys(prepared, tmp_path):
     back = prepared.sparkSession.read.text(path)
     assert back.select("Sprint_Number").distinct().count() == scanned.count()
     assert back.where("value like '%Report auto-generated%'").count() == scanned.count()
+
+
+def test_steps_of_the_neighbour_join_are_removed_and_dealt_in_slices(spark, monkeypatch):
+    """Slices change no answer, and of the tables staged on the way only those that the answer reads are left."""
+    rng = np.random.default_rng(4)
+    pts = np.vstack([rng.normal(size=(400, 2)), np.ones((60, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "row_id bigint, a double, b double")
+    join = lambda: {r["query_id"]: [(n["distance"], n["row_id"]) for n in r["neighbors"]] for r in
+                    neighbors.knn_join(df, df, ["a", "b"], 4, exclude_self=True, top_leaves=top, leaf_rows=20).collect()}
+    staged, dropped, stage, unstage = [], [], neighbors.stage, neighbors.unstage
+    monkeypatch.setattr(neighbors, "stage", lambda *a: staged.append(stage(*a)) or staged[-1])
+    monkeypatch.setattr(neighbors, "unstage", lambda *tables: dropped.extend(t._staged for t in tables) or unstage(*tables))
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(axis=2))
+    want = {i: sorted((np.floor(d[i, j] * 1e6 + 0.5) / 1e6, j) for j in range(len(pts)) if j != i)[:4] for i in range(len(pts))}
+    for top, slices in ((4, 1), (4, 3), (1024, 3)):
+        monkeypatch.setattr(neighbors, "SLICE_ROWS", len(pts) // slices)
+        del staged[:], dropped[:]
+        assert join() == want
+        wide = [t for t in staged if "f" in t.columns]
+        assert len(wide) >= 3 and {t._staged for t in wide} <= set(dropped) and len(dropped) == len(set(dropped))
