@@ -449,12 +449,12 @@ def test_forests_keep_the_node_of_a_row_between_levels(split):
 
 
 def test_passes_add_up_the_lighter_child_only(split, monkeypatch):
-    """The root's weights are added up once, then one child of two; curvatures at the last level, for the leaves."""
+    """The root's rows are counted once, then one child of two; curvatures are added up at the last level, for the leaves."""
     data, sizes, real = boosting.Together.of(split.train), [], boosting.Together.total
     monkeypatch.setattr(boosting.Together, "total", lambda *a, **k: sizes.append(real(*a, **k)) or sizes[-1])
     model = models.gbt(2, 3).fit_all(data)[0]
     one = len(data.cuts) * boosting.MAX_BINS
-    assert [s.size / one for s in sizes[1:]] == [2, 2, 2 * 2 + 4, 1, 2, 2 * 2 + 4]
+    assert [s.size / one for s in sizes[1:]] == [1 + 1, 2 + 1, 4 + 2 + 4, 1, 2 + 1, 4 + 2 + 4]
     # every row is in one leaf, and what was taken from the parent is what a count over rows gives
     bins = np.hstack([boosting._block(r, 1).bins for r in data.read(False).collect()])
     y = np.concatenate([boosting._block(r, 1).y for r in data.read(False).collect()])
@@ -481,10 +481,10 @@ def test_features_counted_in_pairs_have_their_own_sums():
 def test_rows_of_megabytes_are_cut_into_small_row_groups(spark, split):
     """Passes hold a block at a time; no codec takes pages of many blocks off the heap."""
     import pyarrow.parquet as pq
-    from worklens.storage import stage
+    from worklens.storage import WIDE, stage
     rows = spark.range(40).coalesce(1).select("id", F.expr("transform(sequence(1, 131072), x -> sin(x * (id + 1)))").alias("v"))
     footer = lambda df: pq.ParquetFile(df.inputFiles()[0].removeprefix("file://")).metadata
-    found = footer(stage(rows, wide=True))
+    found = footer(stage(rows, options=WIDE))
     assert max(found.row_group(i).num_rows for i in range(found.num_row_groups)) <= 20
     assert {found.row_group(0).column(i).compression for i in range(2)} == {"ZSTD"}
     assert footer(boosting.Together.of(split.train).blocks).row_group(0).column(1).compression == "ZSTD"
